@@ -46,14 +46,14 @@ WITH c AS (SELECT page_id, {HOST} AS host, DATE '2024-01-01' + (page_id * 7919 %
 n AS (SELECT DISTINCT unnest({DOMAINS}) AS domain FROM c WHERE host IS NOT NULL),
 k AS (SELECT domain, ascii(domain) * 37 + coalesce(ascii(substring(domain, 3, 1)), 0) * 11 + length(domain) * 5 AS k FROM n),
 e AS (
-  SELECT 'ads' AS list, domain, 'add' AS action, k % 300 AS day FROM k UNION ALL
+  SELECT 'ads' AS list, domain, 'add' AS action, k % 300 AS number FROM k UNION ALL
   SELECT 'ads', domain, 'remove', k % 300 + k % 60 + 1 FROM k UNION ALL
   SELECT 'ads', domain, 'add', k % 300 + 90 FROM k UNION ALL
   SELECT 'malware', domain, 'add', k % 200 FROM k WHERE k % 3 = 0 UNION ALL
   SELECT 'malware', domain, 'remove', k % 200 + 100 FROM k WHERE k % 2 = 0 UNION ALL
   SELECT 'adult', domain, 'add', -30 FROM k WHERE k % 5 = 0),
-a AS (SELECT list, domain, DATE '2024-01-01' + day::INT AS at, max(action) AS action FROM e GROUP BY ALL),
-v AS (SELECT list, domain, at AS since, lead(at) OVER (PARTITION BY list, domain ORDER BY at) AS until, action FROM a),
+a AS (SELECT list, domain, DATE '2024-01-01' + number::INT AS day, max(action) AS action FROM e GROUP BY ALL),
+v AS (SELECT list, domain, day AS since, lead(day) OVER (PARTITION BY list, domain ORDER BY day) AS until, action FROM a),
 x AS (SELECT page_id, fetched_at, unnest({DOMAINS}) AS domain FROM c WHERE host IS NOT NULL),
 h AS (SELECT page_id, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists, arg_max(domain, length(domain)) AS domain, min(since) AS listed_since
   FROM x JOIN v USING (domain) WHERE action = 'add' AND since <= fetched_at AND (until IS NULL OR fetched_at < until) GROUP BY page_id)
