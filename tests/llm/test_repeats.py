@@ -1,0 +1,68 @@
+import hashlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.llm import repeats
+from millrace.llm.queries import op5_repeats
+from millrace.llm.suffix_array import common_with_previous, suffix_array
+
+
+def brute(texts, length):
+    """By counting every string."""
+    data = [(k, (t or "").encode()) for k, t in texts]
+    seen = Counter(d[i : i + length] for _, d in data for i in range(len(d) - length + 1))
+    out = []
+    for k, d in data:
+        gone = np.zeros(len(d) + 2, np.int8)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i + 1 : i + 1 + length] = 1
+        kept = bytes(b for b, g in zip(d, gone[1:]) if not g)
+        out.append((k, len(d), int(gone.sum()), int((np.diff(gone) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(map(repr, out))
+
+
+def digest(found):
+    n = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    rows = found.select("doc_id", "n_bytes", n, F.size("spans"), F.sha2("kept", 256)).collect()
+    return sorted(repr(tuple(r)) for r in rows)
+
+
+@pytest.mark.parametrize("options", [{"length": 40, "gram": 12}, {"length": 40, "gram": 12, "shard_bytes": 500}, {"length": 40, "gram": 12, "crowd": 1}, {"length": 400, "gram": 100}, {"length": 7, "gram": 7}])
+def test_odd_documents(odd, texts, options):
+    odd, texts = odd.where("length(text) < 100000 or text is null"), [x for x in texts if len(x[1] or "") < 100000]
+    assert digest(repeats.repeats(odd, **options)) == brute(texts, options["length"])
+
+
+def test_query(spark, small):
+    texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    assert sorted(repr(tuple(r)) for r in op5_repeats(spark, small).collect()) == brute(texts, 400)
+
+
+def test_a_text_of_several_steps(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "REACH", 1000)
+    rng = np.random.default_rng(2)
+    prose = "".join(chr(97 + c) for c in rng.integers(0, 26, 9000))
+    texts = [(1, prose + prose[100:700] + "ab" * 900), (2, prose[995:1600]), (3, prose[4000:4500] + "x")]
+    assert digest(repeats.repeats(spark.createDataFrame(texts, "doc_id long, text string"), length=50, gram=20)) == brute(texts, 50)
+
+
+def test_empty(empty):
+    assert repeats.repeats(empty).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.one_of(st.binary(max_size=80), st.text("ab", max_size=80).map(str.encode), st.tuples(st.text("abc", min_size=1, max_size=4), st.integers(1, 25)).map(lambda x: (x[0] * x[1]).encode())))
+def test_suffix_array(data):
+    text = np.frombuffer(data, np.uint8)
+    sa = suffix_array(text, len(data) + 1)
+    assert sa.tolist() == sorted(range(len(data)), key=lambda i: data[i:])
+    shared = common_with_previous(text, sa)
+    for k in range(1, len(sa)):
+        a, b = data[sa[k - 1] :], data[sa[k] :]
+        assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))

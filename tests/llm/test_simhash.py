@@ -1,0 +1,91 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from millrace.llm import simhash
+from millrace.llm.components import components
+
+
+def plain_fingerprint(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def classes(values):
+    """Least member of each value's class, by all pairs."""
+    root = {v: v for v in values}
+    for a in sorted(values):
+        for b in values:
+            if (a ^ b).bit_count() <= 2 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {k: new if r == old else r for k, r in root.items()}
+    return root
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "É", "x\x0b", " ", "zz", " y", "\n", ""]), max_size=12))
+def test_fingerprint(words):
+    text = " ".join(words)
+    assert simhash.fingerprint(text) == plain_fingerprint(text)
+
+
+def test_near_groups_of_odd_documents(odd, texts):
+    prints = [(k, plain_fingerprint(t)) for k, t in texts]
+    root = classes({f for _, f in prints})
+    least = {}
+    for k, f in prints:
+        if k is not None:
+            least[root[f]] = min(k, least.get(root[f], k))
+    got = simhash.near_groups(odd).collect()
+    assert sorted(repr((r["doc_id"], r["fingerprint"], r["component_id"])) for r in got) == sorted(repr((k, f"{f:016x}", least.get(root[f]))) for k, f in prints)
+    assert sum(r["kept"] for r in got) == len(set(root.values()))
+
+
+@pytest.mark.parametrize("crowd", [48, 2])
+def test_links_join_all_that_are_near(spark, crowd):
+    rng = random.Random(crowd)
+    values = set()
+    for _ in range(60):
+        v = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 12)):
+            values.add(v)
+            for _ in range(rng.randint(1, 3)):
+                v ^= 1 << rng.randrange(64)
+    signed = [(int(np.uint64(v).astype(np.int64)),) for v in values]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), crowd)
+    roots = {r["node"]: r["root"] for r in components(found).collect()}
+    wanted = classes(values)
+    mine = {v: roots.get(s[0], s[0]) for v, s in ((v, (int(np.uint64(v).astype(np.int64)),)) for v in values)}
+    pairs = {(wanted[v], mine[v]) for v in values}
+    assert len(pairs) == len(set(wanted.values())) == len(set(mine.values()))
+
+
+def test_golay_keys_meet():
+    """Words at most 2 bits apart share a key."""
+    tables, rng = simhash.golay_tables(), random.Random(1)
+    for _ in range(300):
+        a = rng.getrandbits(22)
+        b = a ^ (1 << rng.randrange(22)) ^ (1 << rng.randrange(22))
+        places, keys = simhash.golay_keys(np.array([a, b]), tables)
+        assert set(keys[places == 0]) & set(keys[places == 1])
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)] + [(7, 7), (900, 901), (901, 900)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 600)}, 900: 900, 901: 900}
+
+
+def test_empty(empty):
+    assert simhash.near_groups(empty).count() == 0
+    assert simhash.links(empty.select(F.lit(1).cast("long").alias("fp"))).count() == 0
