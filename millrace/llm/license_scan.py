@@ -49,19 +49,13 @@ def words_of(text: Column) -> Column:
     return F.concat(F.lit(" "), F.ltrim(F.concat(F.rtrim(F.regexp_replace(ascii_lower(text), GAP, " ")), F.lit(" "))))
 
 
-def count_of(spaced: Column) -> Column:
-    return (F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) - 1).cast("long")
-
-
-def places(spaced: Column, phrase: str) -> Column:
-    """Word numbers, from 0, at which the phrase's words stand consecutively."""
-    words = phrase.split()
+def places(spaced: Column, words: Column, phrase: str) -> Column:
+    """Word numbers, from 0, at which the phrase's words stand consecutively; words has to be a column, not an expression."""
 
     def here(i: Column) -> Column:
-        return reduce(Column.__and__, [F.get(all_words, i + k) == w for k, w in enumerate(words)])
+        return reduce(Column.__and__, [F.get(words, i + k) == w for k, w in enumerate(phrase.split())])
 
-    all_words = F.split(F.trim(spaced), " ")
-    found = F.filter(F.sequence(F.lit(0), F.size(all_words) - 1), here)
+    found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
     return F.when(F.contains(spaced, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
 
@@ -109,18 +103,19 @@ def license_scan(
     rare = sorted({p[0] for p in prefixes})
 
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    spaced = docs.withColumn("spaced", words_of(F.col("text")))
-    spaced = spaced.withColumns({f"at_{i}": places(F.col("spaced"), p) for i, p in enumerate(phrases)})
+    # Cut into words once; what follows refers to the column, so that no expression cuts them again.
+    spaced = docs.withColumn("spaced", words_of(F.col("text"))).withColumn("words", F.split(F.trim("spaced"), " "))
+    spaced = spaced.withColumns({f"at_{i}": places(F.col("spaced"), F.col("words"), p) for i, p in enumerate(phrases)})
     found = F.concat(*[F.col(f"at_{i}") for i in range(len(phrases))])
     base = F.filter(F.array(*[F.when(F.size(f"at_{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]), lambda x: x.isNotNull())
     # Only documents that hold a word of some template's prefix are cut into blocks.
-    has_rare = reduce(Column.__or__, [F.contains("spaced", F.lit(f" {w} ")) for w in rare])
-    blocks = F.transform(F.split("text", "\n"), lambda x: words_of(x))
-    blocks = F.filter(blocks, lambda x: reduce(Column.__or__, [F.contains(x, F.lit(f" {w} ")) for w in rare]))
+    has_rare = F.arrays_overlap("words", F.lit(rare))
+    blocks = F.transform(F.split("text", "\n"), lambda x: F.split(F.trim(words_of(x)), " "))
+    blocks = F.filter(blocks, lambda x: F.arrays_overlap(x, F.lit(rare)))
     per_doc = spaced.select(
         "row",
         "id",
-        count_of(F.col("spaced")).alias("n_words"),
+        F.when(F.col("spaced") == " ", 0).otherwise(F.size("words")).cast("long").alias("n_words"),
         F.size(found).cast("long").alias("n_base"),
         F.array_min(found).cast("long").alias("first_word"),
         F.array_max(found).cast("long").alias("last_word"),
@@ -129,7 +124,7 @@ def license_scan(
     )
     # The block's template words by rank; others can't add to what is shared.
     ranked = F.map_from_arrays(F.lit([w for w in rank]), F.lit([rank[w] for w in rank]))
-    held = F.array_intersect(F.split(F.trim("block"), " "), F.lit(vocabulary))
+    held = F.array_intersect("block", F.lit(vocabulary))
     held = F.transform(F.array_sort(F.transform(held, lambda w: F.struct(F.element_at(ranked, w).alias("r"), w.alias("w")))), lambda s: s["w"])
     per_doc = per_doc.withColumn("held", F.when(F.col("block").isNotNull(), held))
     fewest = min((p[6] for p in prefixes), default=1)
