@@ -169,7 +169,9 @@ def repeats(
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     found = table(stretches(rows, length, gram))
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1")
-    shared = table(found.join(keys.select("key", (F.col("a") == F.col("b")).alias("alone")), "key"))
+    # As a table of its own: Spark splits a frequent key's rows only where no aggregate stands below the join.
+    keys = table(keys.select("key", (F.col("a") == F.col("b")).alias("alone")))
+    shared = table(found.join(keys, "key"))
     mixed_keys = shared.where("not alone")
     classes = mixed_keys.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "start", "size")).alias("one"))
     classes = table(classes)
