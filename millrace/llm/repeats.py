@@ -184,7 +184,8 @@ def repeats(
     pieces = table(pieces.select("w.*", "row", F.substring("data", F.col("w.start").cast("int") + 1, F.col("w.size")).alias("data")))
     in_shards = repeated_in_shards(pieces.where(F.col("classes") <= crowd).repartition("key").sortWithinPartitions("key"), length, shard_bytes)
     singly = counted_singly(pieces.where(F.col("classes") > crowd), length)
-    several = classes.where("n > 1").select("key", "class")
+    # A merge join: of the joins that deal out both sides, the one whose frequent keys Spark splits.
+    several = classes.where("n > 1").select("key", "class").hint("merge")
     whole = shared.where("alone").select("row", "start", "size").unionByName(mixed_keys.join(several, ["key", "class"]).select("row", "start", "size"))
     whole = whole.select("row", F.col("start").alias("first"), (F.col("start") + F.col("size") - length + 1).alias("last"))
     hit = whole.unionByName(in_shards).unionByName(singly)
