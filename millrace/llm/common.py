@@ -57,6 +57,18 @@ def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return docs.withColumn(number, F.monotonically_increasing_id()).join(gone, number, "left_anti").drop(number)
 
 
+def smallest(rows: DataFrame, n: int, order: str, total: DataFrame) -> DataFrame:
+    """The n rows of the smallest `order`, a 64-bit hash, about as many as `total` has; fewer if some lack there.
+
+    First the hash is bounded so that about 4 n rows are left, so the task that sorts them gets as many however many
+    partitions there are.
+    """
+    share = 4 * n / max(1, total.count())
+    if share < 1:
+        rows = rows.where(F.col(order) < F.lit(int(share * 2**64) - 2**63))
+    return rows.orderBy(*[order, *sorted(c for c in rows.columns if c != order)]).limit(n)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

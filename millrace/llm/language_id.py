@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, span_hashes, spans_of, steps
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, smallest, span_hashes, spans_of, steps
 from millrace.llm.quality import fold
 
 BITS = 17
@@ -198,8 +198,8 @@ def fit(words: Words, truth: np.ndarray, languages: list[str], epochs: int = 3,
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, max_train: int = 1500) -> Model:
     """From the whole texts of at most max_train rows with a language whose fold is not `held`, in order of a hash."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).where(fold(F.col(id_col), folds) != held)
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("o"))
+    known = docs.where(F.col(lang_col).isNotNull()).where(fold(F.col(id_col), folds) != held)
+    rows = known.where(F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("o"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pickle
@@ -221,7 +221,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             words = Words(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "hashes", "affixes", "grams", "first")))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(words, np.concatenate(truth), languages))], pa.binary())], names=["model"])
 
-    found = rows.orderBy("o", "lang", "text").limit(max_train).coalesce(1).select("text", "lang").mapInArrow(run, "model binary").first()
+    found = smallest(rows, max_train, "o", known).coalesce(1).select("text", "lang").mapInArrow(run, "model binary").first()
     if not found:
         return Model([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 0)), np.empty(0, np.uint64))
     import pickle

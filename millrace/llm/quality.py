@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, span_hashes, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, smallest, span_hashes, steps, text_or_empty
 
 BITS = 18
 #: Of each byte: 0 white space and controls, 1 letters and digits, 2 punctuation.
@@ -144,7 +144,8 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     """
     labels = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(fold(F.col(id_col), folds) != held)
     order = F.xxhash64(id_col)
-    chosen = labels.groupBy(id_col).agg(F.max(label_col).alias("label")).withColumn("order", order).orderBy("order").limit(max_train)
+    labels = labels.groupBy(id_col).agg(F.max(label_col).alias("label")).withColumn("order", order)
+    chosen = smallest(labels, max_train, "order", labels)
     # At most max_train ids and labels, so small by contract.
     labelled = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     weights = train(labelled, max_train)
