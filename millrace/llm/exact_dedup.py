@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_or_empty
+from millrace.llm.common import cut, table, text_or_empty
 
 #: The runs that are not one plain space already; single spaces need no replacement.
 SPACES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
@@ -89,7 +89,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = cut(identities(docs, id_col, text_col, block_bytes))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row")))
-    groups = rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    # As a table of its own: Spark splits a large group's rows only where no aggregate stands below the join.
+    groups = table(rows.groupBy("n_blocks", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")))
     return rows.join(groups, ["n_blocks", "name"]).select(
         "row",
         F.col("id").alias(id_col),
