@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, text_or_empty
+from millrace.llm.common import cut, table, text_or_empty
 from millrace.llm.components import components
 
 SEED = 42
@@ -159,7 +159,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = components(links(classes))
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = cut(rooted)
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    best = table(rooted.groupBy("root").agg(F.min("first").alias("best")))
     found = rooted.join(best, "root").select("fp", "best")
     return rows.join(found, "fp").select(
         "row",
