@@ -1,9 +1,134 @@
-"""The registered catalog queries and their SQL."""
+"""The registered catalog queries."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from millrace.functions import text
+from millrace.operators import likes, listing, writes
+from millrace.plans.catalog_sql import ORACLES
+from millrace.sources.products import from_tables
+
+NOW = 1_700_000_000_000
+
+
+def toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'")
+    return events.select(F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").alias("id"))
+
+
+def liked_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likes.liked(toggles(spark, sf_dir))
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.feed(from_tables(spark, sf_dir), liked_set(spark, sf_dir))
+
+
+def categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.categories(from_tables(spark, sf_dir))
+
+
+def brands_in_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.brands(from_tables(spark, sf_dir), "PROMO")
+
+
+def products_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.products_by(from_tables(spark, sf_dir), "PROMO", "Brand#13")
+
+
+def products_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.products_by(from_tables(spark, sf_dir), "PROMO")
+
+
+def products_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.products_by(from_tables(spark, sf_dir), "", "Brand#13")
+
+
+def products_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.products_by(from_tables(spark, sf_dir), "", None)
+
+
+def product_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.detail(from_tables(spark, sf_dir), liked_set(spark, sf_dir), 7)
+
+
+def product_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.details(listing.marked(from_tables(spark, sf_dir), liked_set(spark, sf_dir)))
+
+
+def owner_editable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p, owner = from_tables(spark, sf_dir), F.col("owner_id")
+    return p.select("id", text.owned_by(owner, "1").alias("by_user"), text.owned_by(owner, None).alias("by_nobody"), text.owned_by(owner, None, strict=True).alias("strict"))
+
+
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made up over part so that every reason and every blank occurs."""
+    k, nbsp = F.col("p_partkey"), F.lit("\u00a0")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("p_partkey"), F.col("url").alias("page"))
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").join(pages, "p_partkey", "left")
+    return part.select(
+        k.alias("draft_id"),
+        F.when(k % 13 != 0, F.format_string("file:///i/%d.jpeg", k)).alias("image_uri"),
+        F.when(k % 7 == 0, F.concat(F.lit("\t "), nbsp)).otherwise(F.concat(F.lit("  "), "p_name", F.lit("\t\n"))).alias("title"),
+        F.concat(nbsp, "p_brand", F.lit(" ")).alias("brand"),
+        F.when(k % 3 == 0, "   ").otherwise(F.concat(F.lit(" "), F.col("p_retailprice").cast("string"), F.lit("\n"))).alias("price"),
+        F.when(k % 11 == 0, "").otherwise(F.col("p_type")).alias("category"),
+        F.when(k % 2 == 0, " ").otherwise(F.concat(F.lit(" "), "page", F.lit(" "))).alias("url"),
+        F.when(k % 17 != 0, "u1").alias("user_id"),
+    )
+
+
+def normalize_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.normalised(drafts(spark, sf_dir))
+
+
+def rejected_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return writes.rejected(drafts(spark, sf_dir)).select("draft_id", "reject_reason")
+
+
+def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    n = F.col("id").cast("long")
+    url = F.when(n % 2 == 0, "").otherwise(" http://n ")
+    patches = p.where(n % 5 == 0).select("id", F.concat(F.lit(" "), "title", F.lit(" v2 ")).alias("title"), "brand", "category", F.lit("  ").alias("price"), url.alias("url"))
+    return writes.updated(p, patches)
+
+
+def apply_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = writes.normalised(drafts(spark, sf_dir)).withColumns({"id": F.concat(F.lit("n"), F.col("draft_id").cast("string")), "created_at": F.lit(None).cast("timestamp_ntz")})
+    return writes.prepended(from_tables(spark, sf_dir), new).select("pos", "id", "title", "owner_id")
+
+
+def image_path_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = text.file_ext(F.col("url"))
+    path = text.object_path(ext, F.lit(NOW))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", ext.alias("ext"), text.mime_type(ext).alias("mime"), path.alias("path"), text.public_url("https://store/", path).alias("public_url"))
+
+
+def brand_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    return p.select("id", text.brand_route(F.col("category"), F.col("brand")).alias("route"), text.category_route(F.col("category")).alias("category_route"), text.uri_component(F.col("url")).alias("encoded"))
+
+
+def listing_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = from_tables(spark, sf_dir).select("brand", "category").distinct()
+    none = F.lit("")
+    return pairs.select("brand", "category", *[text.listing_title(b, c).alias(n) for n, b, c in (("both", F.col("brand"), F.col("category")), ("no_brand", none, F.col("category")), ("no_category", F.col("brand"), none))])
+
+
+def edit_form(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return listing.edit_form(from_tables(spark, sf_dir))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    own = [feed, categories, brands_in_category, products_both, products_category, products_brand, products_all, product_detail, product_details, liked_set, owner_editable]
+    own += [normalize_drafts, rejected_drafts, apply_update, apply_insert, image_path_fields, brand_route, listing_title, edit_form]
+    return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
