@@ -147,7 +147,7 @@ def counted_singly(pieces: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "row", "first", "once"])
 
     singles = table(pieces.select("key", "row", "start", "once", "data").mapInArrow(run, "h1 long, h2 long, row long, first long, once boolean"))
-    many = table(singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    many = table(singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")).hint("merge")
     return singles.where("once").join(many, ["h1", "h2"]).select("row", "first", (F.col("first") + 1).alias("last"))
 
 
