@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: Bytes of text that a numpy step handles at once (one longer document is a step of its own).
 STEP_BYTES = 1 << 20
 
+#: Bytes of an Arrow batch, of which the JVM and each Python worker hold several at a time; Spark's own bound is 64 MB.
+BATCH_BYTES = 4 << 20
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -69,6 +72,17 @@ def smallest(rows: DataFrame, n: int, order: str, total: DataFrame) -> DataFrame
     return rows.orderBy(*[order, *sorted(c for c in rows.columns if c != order)]).limit(n)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of about BATCH_BYTES, or of the session's own size if it has set one; a longer row is a batch of its own.
+
+    Spark reads the size when the query runs, so it stays set in the session.
+    """
+    conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if size not in conf.getAll:
+        conf.set(size, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

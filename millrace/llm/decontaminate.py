@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, prefix_sums, span_hashes, spans_of, steps, text_or_empty
 
 GAPS = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.zeros(256, bool)
@@ -149,7 +149,7 @@ def rarity(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int64)), pa.array(at), pa.array(v[at])], names=["width", "token", "n"])
 
     counts = {n: np.zeros(len(v), np.int64) for n, v in windows.vocabulary.items()}
-    for r in docs.mapInArrow(count, "width long, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n")).collect():
+    for r in map_batches(docs, count, "width long, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n")).collect():
         counts[r["width"]][r["token"]] = r["n"]
     return counts
 
@@ -177,7 +177,7 @@ def hits(docs: DataFrame, windows: Windows, id_type: str, item_type: str) -> Dat
                 names=["row", "id", "n_words", "spans", "items"],
             )
 
-    return docs.mapInArrow(find, schema)
+    return map_batches(docs, find, schema)
 
 
 ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

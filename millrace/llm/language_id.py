@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, smallest, span_hashes, spans_of, steps
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, map_batches, mixed, prefix_sums, smallest, span_hashes, spans_of, steps
 from millrace.llm.quality import fold
 
 BITS = 17
@@ -285,7 +285,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                 columns.append(pa.array(found.runs, pa.list_(pa.struct({"lang": pa.string(), "first": pa.int64(), "last": pa.int64()}))))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", "n_words", *["runs"] * runs])
 
-    return docs.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col), F.col(text_col).alias("text")), run, schema)
 
 
 def known_languages(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.3) -> DataFrame:
@@ -297,7 +297,7 @@ def known_languages(docs: DataFrame, model: Model, text_col: str = "text", least
             found = predict(batch.column(at), handle.value)
             yield batch.filter(pa.array((found.lang != "und") & (found.score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, max_train: int = 1500) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_or_empty
+from millrace.llm.common import map_batches, text_or_empty
 
 #: Of a text longer than this, pieces are tokenised one by one; they end where the pattern always parts words.
 LONG = 1 << 20
@@ -184,4 +184,4 @@ def pack(
         if kind is not None and (pieces := pieces + packer.flush(end=True)):
             yield rows(pieces)
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col(id_col), text_or_empty(text_col).alias("text")), run, schema)

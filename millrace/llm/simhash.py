@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import cut, table, text_or_empty
+from millrace.llm.common import cut, map_batches, table, text_or_empty
 from millrace.llm.components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"row long, id {kind}, fp long")
+    return map_batches(rows, run, f"row long, id {kind}, fp long")
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def segment_keys(classes: DataFrame) -> DataFrame:
                 key = (i << 34) | (same[places] << 12) | codes
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp.view(np.int64)[places])], names=["key", "fp"])
 
-    return classes.select("fp").mapInArrow(run, "key long, fp long")
+    return map_batches(classes.select("fp"), run, "key long, fp long")
 
 
 def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
