@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a numpy step handles at once (one longer document is a step of its own).
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
 
 #: Bytes of an Arrow batch, of which the JVM and each Python worker hold several at a time; Spark's own bound is 64 MB.
 BATCH_BYTES = 4 << 20
