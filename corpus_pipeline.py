@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import decontaminate, exact_dedup, language_id, packing, simhash
+from millrace.llm import decontaminate, exact_dedup, language_id, minhash, packing, simhash
 from millrace.llm.common import shared_dir, without
 from millrace.llm.queries import byte_bpe_ranks, with_crc
 
@@ -29,8 +29,11 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document of the smallest id stays."""
-    return without(docs, simhash.near_groups(docs).where("not kept"))
+    """Of each component of near copies, the document of the smallest id stays.
+
+    Linked are documents that op9_simhash links and those with a Jaccard similarity of at least 0.8 over shingles of five words.
+    """
+    return without(docs, simhash.near_groups(docs, similarity=minhash.SIMILARITY).where("not kept"))
 
 
 def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,9 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import minhash
 from millrace.llm.common import cut, map_batches, table, text_or_empty
 from millrace.llm.components import components
 
@@ -54,18 +55,19 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(row, id, fp) for each row of docs; fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, set_width: int = 0) -> DataFrame:
+    """(row, id, fp) for each row of docs; fp is the fingerprint as a signed long. With set_width also (set, size, keys) by minhash.marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2)
             found = np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["row", "id", "fp"])
+            more = minhash.marks(texts, set_width) if set_width else ()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64)), *more], names=["row", "id", "fp", "set", "size", "keys"][: 3 + len(more)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return map_batches(rows, run, f"row long, id {kind}, fp long")
+    return map_batches(rows, run, f"row long, id {kind}, fp long" + (", set long, size long, keys array<long>" if set_width else ""))
 
 
 def golay_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,6 +129,10 @@ def segment_keys(classes: DataFrame) -> DataFrame:
     return map_batches(classes.select("fp"), run, "key long, fp long")
 
 
+def near(u: Column, v: Column) -> Column:
+    return F.bit_count(u.bitwiseXOR(v)) <= 2
+
+
 def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
     """(u, v): enough links between distinct fingerprints at most 2 bits apart to join all that are so linked.
 
@@ -136,8 +142,7 @@ def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(keyed.join(sizes, "key"))
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
-    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where(F.col("u") < F.col("v")).where(near)
+    pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where(F.col("u") < F.col("v")).where(near(F.col("u"), F.col("v")))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
     met = many.select("fp", F.explode(around).alias("word"))
@@ -146,17 +151,20 @@ def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
     return pairs.select("u", "v").unionByName(stars)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, set_width: int = minhash.WIDTH) -> DataFrame:
     """One row per row of docs: row, the id column, fp (signed long), fingerprint (16 hex digits), component_id, kept.
 
     component_id is the smallest id that links reach; null if all ids there are null. kept marks one row of each
     component: that of the smallest id, of repeated or null ids the first row. Null and empty texts and those of white
     space have fingerprint zero and are linked like any other. An empty table gives no rows. Other columns are ignored.
+
+    With a similarity, texts are linked besides whose sets of shingles of set_width words have that Jaccard similarity
+    or more (see minhash); docs then has to be a table as read, so that its rows are numbered alike each time.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width))
+    rows = cut(fingerprints(docs, id_col, text_col, width, 0 if similarity is None else set_width))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("first")
     classes = cut(rows.groupBy("fp").agg(first))
-    roots = components(links(classes))
+    roots = components(links(classes)) if similarity is None else minhash.similar_components(rows, docs, links(classes), components, near, text_col, similarity, set_width)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = cut(rooted)
     best = table(rooted.groupBy("root").agg(F.min("first").alias("best")))
