@@ -48,11 +48,18 @@ def object_path(ext: Column, millis: Column) -> Column:
     return F.concat(F.lit("products/"), millis.cast("string"), F.lit("."), ext)
 
 
+def now_millis() -> Column:
+    return F.unix_millis(F.current_timestamp())
+
+
 def public_url(base: str, path: Column) -> Column:
     """The address of a stored object; empty for no path."""
     return F.coalesce(F.concat(F.lit(base), path), F.lit(""))
 
 
+# Fixed values in the functions below: titles, labels and routes as the screens spell them.
+
+
 def listing_title(brand: Column, category: Column) -> Column:
     """The brand, or 'Products', a space, and the category in capitals if there is one."""
     name = F.when(present(brand), brand).otherwise("Products")
@@ -77,6 +84,11 @@ def category_route(category: Column) -> Column:
     return F.concat(F.lit("/shoe-brands?category="), category)
 
 
+def product_route(key: Column) -> Column:
+    """The route to one product's page."""
+    return F.concat(F.lit("/"), uri_component(key.cast("string")))
+
+
 def owned_by(owner: Column, user: str | None, strict: bool = False) -> Column:
     """Whether owner and user are the same; null and empty are one. strict: nobody owns what has no owner."""
     same = F.coalesce(owner.cast("string"), F.lit("")) == F.lit(user or "")

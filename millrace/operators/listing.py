@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions.text import category_label, link_label, present
-from millrace.sources.products import stored
+from millrace.sources.shared import table
 
 
 def age(time: Column) -> Column:
@@ -29,7 +29,7 @@ def positions(df: DataFrame, *by: Column, name: str = "pos") -> DataFrame:
     Tasks sort ranges of the rows; a range's first place comes from the counts of the ranges before it, so only
     counts, one a task, meet in one window.
     """
-    rows = stored(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()))
+    rows = table(df.orderBy(*by).withColumn("_at", F.monotonically_increasing_id()))
     task = F.shiftright("_at", 33)
     counts = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1))
@@ -50,7 +50,7 @@ def feed(products: DataFrame, likes: DataFrame) -> DataFrame:
     order = F.col("liked").desc(), age(F.col("created_at")).asc_nulls_first(), F.col("id")
     cards = positions(marked(products, likes), *order)
     image = F.when(present(F.col("image_url")), F.col("image_url")).otherwise("IMG")
-    return cards.select("pos", "id", image.alias("image"), "brand", "title", F.when(present(F.col("price")), F.col("price")).alias("price"), "liked")
+    return cards.select("pos", "id", image.alias("image"), "brand", F.upper("brand").alias("brand_label"), "title", F.when(present(F.col("price")), F.col("price")).alias("price"), "liked")
 
 
 def first_seen(products: DataFrame, column: str) -> DataFrame:
@@ -74,6 +74,16 @@ def products_by(products: DataFrame, category: str | None = None, brand: str | N
     return products.where(reduce(Column.__and__, asked, F.lit(True))).select("id", "brand", "title", "price", "url")
 
 
+# What an empty listing says.
+NO_PRODUCTS = "No products yet for this brand in this category."
+NO_BRANDS = "No brands yet for this category."
+
+
+def if_empty(rows: DataFrame, message: str) -> DataFrame:
+    """One row (message) if there are no rows, none if there are; reads no more than one row a task."""
+    return rows.limit(1).agg(F.count(F.lit(1)).alias("n")).where("n = 0").select(F.lit(message).alias("message"))
+
+
 def lookup(products: DataFrame, key) -> DataFrame:
     """The first row, in base order, whose id reads like the key; no rows if there is none."""
     return products.where(F.col("id").cast("string") == str(key)).orderBy(age(F.col("created_at")).asc_nulls_first(), "id").limit(1)
@@ -90,6 +100,7 @@ def details(rows: DataFrame) -> DataFrame:
         "id",
         image.alias("image"),
         "brand",
+        F.upper("brand").alias("brand_label"),
         "title",
         category_label(F.col("category")).alias("category"),
         F.when(present(F.col("price")), F.col("price")).alias("price"),

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import blank_to_null, owned_by, present, trimmed
+from millrace.functions.text import blank_to_null, file_ext, now_millis, object_path, owned_by, present, public_url, trimmed
 from millrace.operators.listing import age, positions
 from millrace.sources.products import COLUMNS
 
+#: What a patch sets, and how each is cleaned.
+FIELDS = {"title": trimmed, "brand": trimmed, "category": trimmed, "price": blank_to_null, "url": blank_to_null}
+
 
 def _fields_missing() -> Column:
     blank = lambda c: F.coalesce(trimmed(F.col(c)), F.lit("")) == ""
@@ -21,20 +24,31 @@ def validated(drafts: DataFrame) -> DataFrame:
     return drafts.withColumn("reject_reason", reason)
 
 
-def normalised(drafts: DataFrame) -> DataFrame:
-    """The valid drafts' columns as they are stored."""
+def normalised(drafts: DataFrame, base_url: str, millis: Column | None = None) -> DataFrame:
+    """The valid drafts' columns as they are stored: the image by its public address, not by the draft's local one.
+
+    millis: the time in the object's name, the clock's by default. Drafts taken at once need different ones, since an
+    object is named by it.
+    """
+    image = object_path(file_ext(F.col("image_uri")), now_millis() if millis is None else millis)
     return validated(drafts).where("reject_reason is null").select(
         trimmed(F.col("title")).alias("title"),
         trimmed(F.col("brand")).alias("brand"),
         blank_to_null(F.col("price")).alias("price"),
         trimmed(F.col("category")).alias("category"),
         blank_to_null(F.col("url")).alias("url"),
-        F.col("image_uri").alias("image_url"),
+        public_url(base_url, image).alias("image_url"),
         F.col("user_id").alias("owner_id"),
         *[c for c in drafts.columns if c not in COLUMNS and c not in ("image_uri", "user_id")],
     )
 
 
+def added(inputs: DataFrame, now: Column) -> DataFrame:
+    """Products as stored from inputs (id, title, brand, price, url, category, perhaps image_url): no owner, no image if none is given."""
+    image = F.col("image_url") if "image_url" in inputs.columns else F.lit(None)
+    return inputs.withColumns({"image_url": image.cast("string"), "owner_id": F.lit(None).cast("string"), "created_at": now.cast("timestamp_ntz")}).select(*COLUMNS)
+
+
 def rejected(drafts: DataFrame) -> DataFrame:
     return validated(drafts).where("reject_reason is not null")
 
@@ -46,14 +60,28 @@ def prepended(products: DataFrame, new: DataFrame) -> DataFrame:
     return positions(both, F.col("_old"), old_age.asc_nulls_first(), F.col("id")).drop("_old")
 
 
+def latest(patches: DataFrame) -> DataFrame:
+    """One patch for each id: of several the one of the largest `seq`, without that column the largest by its fields."""
+    order = ["seq"] if "seq" in patches.columns else []
+    fields = F.struct(*order, *FIELDS)
+    return patches.groupBy("id").agg(F.max(fields).alias("p")).select("id", *[F.col(f"p.{c}").alias(c) for c in FIELDS])
+
+
+def refused(products: DataFrame, patches: DataFrame, user: str | None) -> DataFrame:
+    """(id, reject_reason) of the patches that change nothing: `product` is not there, `owner` is another, or `fields` are missing, in this order."""
+    known = products.select("id", owned_by(F.col("owner_id"), user).alias("_own"))
+    reason = F.when(F.col("_own").isNull(), "product").when(~F.col("_own"), "owner").when(_fields_missing(), "fields")
+    return latest(patches).join(known, "id", "left").select("id", reason.alias("reject_reason")).where("reject_reason is not null")
+
+
 def updated(products: DataFrame, patches: DataFrame, user: str | None = None, check_owner: bool = False) -> DataFrame:
-    """The whole table after valid patches (distinct id): title, brand, category, price and url change, the rest stays.
+    """The whole table after valid patches: title, brand, category, price and url change, the rest stays.
 
-    check_owner: only rows that `user` owns change. Plain files can't be updated in place: write the result elsewhere.
+    check_owner: only rows that `user` owns change; `refused` tells which patches do not. Of several patches of an id
+    the latest counts. Plain files can't be updated in place: write the result elsewhere.
     """
-    fields = {"title": trimmed, "brand": trimmed, "category": trimmed, "price": blank_to_null, "url": blank_to_null}
-    new = patches.where(~_fields_missing()).select("id", F.struct(*[f(F.col(c)).alias(c) for c, f in fields.items()]).alias("_new"))
+    new = latest(patches).where(~_fields_missing()).select("id", F.struct(*[f(F.col(c)).alias(c) for c, f in FIELDS.items()]).alias("_new"))
     allowed = owned_by(F.col("owner_id"), user) if check_owner else F.lit(True)
     change = F.col("_new").isNotNull() & allowed
     both = products.join(new, "id", "left")
-    return both.select(*[F.when(change, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in fields else F.col(c) for c in COLUMNS])
+    return both.select(*[F.when(change, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in COLUMNS])

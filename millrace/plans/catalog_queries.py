@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,23 +84,55 @@ def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return writes.normalised(drafts(spark, sf_dir))
+    return stored_drafts(drafts(spark, sf_dir))
+
+
+def stored_drafts(found: DataFrame) -> DataFrame:
+    return writes.normalised(found, "https://store/", F.lit(NOW) + F.col("draft_id"))
 
 
 def rejected_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writes.rejected(drafts(spark, sf_dir)).select("draft_id", "reject_reason")
 
 
-def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = from_tables(spark, sf_dir)
+def patches_of(p: DataFrame) -> DataFrame:
+    """Patches to every fifth product, in part without a title."""
     n = F.col("id").cast("long")
     url = F.when(n % 2 == 0, "").otherwise(" http://n ")
-    patches = p.where(n % 5 == 0).select("id", F.concat(F.lit(" "), "title", F.lit(" v2 ")).alias("title"), "brand", "category", F.lit("  ").alias("price"), url.alias("url"))
-    return writes.updated(p, patches)
+    title = F.when(n % 35 == 0, " ").otherwise(F.concat(F.lit(" "), "title", F.lit(" v2 ")))
+    return p.where(n % 5 == 0).select("id", title.alias("title"), "brand", "category", F.lit("  ").alias("price"), url.alias("url"))
+
+
+def apply_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    return writes.updated(p, patches_of(p))
+
+
+def owner_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    return writes.updated(p, patches_of(p), "1", check_owner=True)
+
+
+def refused_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    unknown = patches_of(p).withColumn("id", F.concat(F.lit("x"), "id"))
+    return writes.refused(p, patches_of(p).unionByName(unknown), "1")
+
+
+def added_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inputs = from_tables(spark, sf_dir).select(F.concat(F.lit("n"), "id").alias("id"), "title", "brand", "price", "url", "category")
+    return writes.added(inputs, F.timestamp_millis(F.lit(NOW)))
+
+
+def empty_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = from_tables(spark, sf_dir)
+    asked = [("both", listing.products_by(p, "PROMO", "Brand#13"), listing.NO_PRODUCTS), ("nobody", listing.products_by(p, "PROMO", "nobody"), listing.NO_PRODUCTS)]
+    asked += [("shoes", p.where("category = 'shoes'").select("brand"), listing.NO_BRANDS), ("PROMO", p.where("category = 'PROMO'").select("brand"), listing.NO_BRANDS)]
+    return reduce(DataFrame.unionByName, [listing.if_empty(rows, m).select(F.lit(name).alias("asked"), "message") for name, rows, m in asked])
 
 
 def apply_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    new = writes.normalised(drafts(spark, sf_dir)).withColumns({"id": F.concat(F.lit("n"), F.col("draft_id").cast("string")), "created_at": F.lit(None).cast("timestamp_ntz")})
+    new = stored_drafts(drafts(spark, sf_dir)).withColumns({"id": F.concat(F.lit("n"), F.col("draft_id").cast("string")), "created_at": F.lit(None).cast("timestamp_ntz")})
     return writes.prepended(from_tables(spark, sf_dir), new).select("pos", "id", "title", "owner_id")
 
 
@@ -111,7 +144,7 @@ def image_path_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def brand_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = from_tables(spark, sf_dir)
-    return p.select("id", text.brand_route(F.col("category"), F.col("brand")).alias("route"), text.category_route(F.col("category")).alias("category_route"), text.uri_component(F.col("url")).alias("encoded"))
+    return p.select("id", text.brand_route(F.col("category"), F.col("brand")).alias("route"), text.category_route(F.col("category")).alias("category_route"), text.product_route(F.col("id")).alias("product_route"), text.uri_component(F.col("url")).alias("encoded"))
 
 
 def listing_title(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +159,7 @@ def edit_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [feed, categories, brands_in_category, products_both, products_category, products_brand, products_all, product_detail, product_details, liked_set, owner_editable]
-    own += [normalize_drafts, rejected_drafts, apply_update, apply_insert, image_path_fields, brand_route, listing_title, edit_form]
+    own += [normalize_drafts, rejected_drafts, apply_update, owner_updates, refused_updates, added_products, empty_listings, apply_insert, image_path_fields, brand_route, listing_title, edit_form]
     return {f.__name__: f for f in own}
 
 

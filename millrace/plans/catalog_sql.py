@@ -34,12 +34,12 @@ drafts AS (
 valid AS (SELECT *, CASE WHEN image_uri IS NULL THEN 'image' WHEN {_trim('title')} = '' OR {_trim('brand')} = '' OR {_trim('category')} = '' THEN 'fields' WHEN user_id IS NULL THEN 'user' END AS reject_reason FROM drafts),
 normal AS (
   SELECT {_trim('title')} AS title, {_trim('brand')} AS brand, nullif({_trim('price')}, '') AS price, {_trim('category')} AS category, nullif({_trim('url')}, '') AS url,
-    image_uri AS image_url, user_id AS owner_id, draft_id FROM valid WHERE reject_reason IS NULL)"""
+    'https://store/products/' || (1700000000000 + draft_id) || '.jpg' AS image_url, user_id AS owner_id, draft_id FROM valid WHERE reject_reason IS NULL)"""
 
 ENCODE = "replace(replace(replace(replace(replace(url_encode({0}), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')"
 EXT = "CASE WHEN x = 'jpeg' THEN 'jpg' ELSE x END"
 CARD = "CASE WHEN price <> '' THEN price END AS price"
-DETAIL = f"SELECT id, coalesce(nullif(image_url, ''), 'No Image') AS image, brand, title, 'Category: ' || nullif(category, '') AS category, {CARD}, CASE WHEN url <> '' THEN 'Open Link' ELSE 'No Link' END AS link, liked FROM marked"
+DETAIL = f"SELECT id, coalesce(nullif(image_url, ''), 'No Image') AS image, brand, upper(brand) AS brand_label, title, 'Category: ' || nullif(category, '') AS category, {CARD}, CASE WHEN url <> '' THEN 'Open Link' ELSE 'No Link' END AS link, liked FROM marked"
 ROWS = "SELECT id, brand, title, price, url FROM products"
 
 
@@ -49,8 +49,14 @@ firsts AS (SELECT {column}, min(ord) AS ord FROM placed WHERE {where} GROUP BY {
 SELECT {column}{more}, row_number() OVER (ORDER BY ord) - 1 AS pos FROM firsts"""
 
 
+def _update(where: str) -> str:
+    return f"""WITH {PRODUCTS}, m AS (SELECT *, {where} AS hit FROM products)
+SELECT id, CASE WHEN hit THEN title || ' v2' ELSE title END AS title, brand, CASE WHEN NOT hit THEN price END AS price,
+  CASE WHEN NOT hit THEN url WHEN id::BIGINT % 2 = 1 THEN 'http://n' END AS url, category, image_url, created_at, owner_id FROM m"""
+
+
 ORACLES = {
-    "feed": f"WITH {PRODUCTS}, {LIKES} SELECT row_number() OVER (ORDER BY liked DESC, {BASE}) - 1 AS pos, id, coalesce(nullif(image_url, ''), 'IMG') AS image, brand, title, {CARD}, liked FROM marked",
+    "feed": f"WITH {PRODUCTS}, {LIKES} SELECT row_number() OVER (ORDER BY liked DESC, {BASE}) - 1 AS pos, id, coalesce(nullif(image_url, ''), 'IMG') AS image, brand, upper(brand) AS brand_label, title, {CARD}, liked FROM marked",
     "categories": _seen("category", more=", upper(category) AS label"),
     "brands_in_category": _seen("brand", "category = 'PROMO'"),
     "products_both": f"WITH {PRODUCTS} {ROWS} WHERE category = 'PROMO' AND brand = 'Brand#13'",
@@ -63,14 +69,20 @@ ORACLES = {
     "owner_editable": f"WITH {PRODUCTS} SELECT id, coalesce(owner_id, '') = '1' AS by_user, coalesce(owner_id, '') = '' AS by_nobody, false AS strict FROM products",
     "normalize_drafts": f"WITH {DRAFTS} SELECT * FROM normal",
     "rejected_drafts": f"WITH {DRAFTS} SELECT draft_id, reject_reason FROM valid WHERE reject_reason IS NOT NULL",
-    "apply_update": f"""WITH {PRODUCTS}, m AS (SELECT *, id::BIGINT % 5 = 0 AS hit FROM products)
-SELECT id, CASE WHEN hit THEN title || ' v2' ELSE title END AS title, brand, CASE WHEN NOT hit THEN price END AS price,
-  CASE WHEN NOT hit THEN url WHEN id::BIGINT % 2 = 1 THEN 'http://n' END AS url, category, image_url, created_at, owner_id FROM m""",
+    "apply_update": _update("id::BIGINT % 5 = 0 AND id::BIGINT % 35 <> 0"),
+    "owner_updates": _update("id::BIGINT % 5 = 0 AND id::BIGINT % 35 <> 0 AND coalesce(owner_id, '') = '1'"),
+    "refused_updates": f"""WITH {PRODUCTS} SELECT 'x' || id AS id, 'product' AS reject_reason FROM products WHERE id::BIGINT % 5 = 0
+UNION ALL SELECT id, CASE WHEN coalesce(owner_id, '') <> '1' THEN 'owner' ELSE 'fields' END FROM products WHERE id::BIGINT % 5 = 0 AND (coalesce(owner_id, '') <> '1' OR id::BIGINT % 35 = 0)""",
+    "added_products": f"WITH {PRODUCTS} SELECT 'n' || id AS id, title, brand, price, url, category, NULL::VARCHAR AS image_url, TIMESTAMP '2023-11-14 22:13:20' AS created_at, NULL::VARCHAR AS owner_id FROM products",
+    "empty_listings": f"""WITH {PRODUCTS}, asked(asked, category, brand, message) AS (VALUES
+  ('both', 'PROMO', 'Brand#13', 'No products yet for this brand in this category.'), ('nobody', 'PROMO', 'nobody', 'No products yet for this brand in this category.'),
+  ('shoes', 'shoes', NULL, 'No brands yet for this category.'), ('PROMO', 'PROMO', NULL, 'No brands yet for this category.'))
+SELECT asked, message FROM asked a WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.category = a.category AND (a.brand IS NULL OR p.brand = a.brand))""",
     "apply_insert": f"""WITH {PRODUCTS}, {DRAFTS}, both_ AS (SELECT 0 AS old, 'n' || draft_id AS id, title, owner_id, NULL::TIMESTAMP AS created_at FROM normal UNION ALL SELECT 1, id, title, owner_id, created_at FROM products)
 SELECT row_number() OVER (ORDER BY old, {BASE}) - 1 AS pos, id, title, owner_id FROM both_""",
     "image_path_fields": f"""WITH e AS (SELECT page_id, lower(string_split(string_split(url, '.')[-1], '?')[1]) AS x FROM pages), f AS (SELECT page_id, {EXT} AS ext FROM e)
 SELECT page_id, ext, 'image/' || CASE WHEN ext = 'jpg' THEN 'jpeg' ELSE ext END AS mime, 'products/1700000000000.' || ext AS path, 'https://store/products/1700000000000.' || ext AS public_url FROM f""",
-    "brand_route": f"WITH {PRODUCTS} SELECT id, '/shoe-products?category=' || category || '&brand=' || {ENCODE.format('brand')} AS route, '/shoe-brands?category=' || category AS category_route, {ENCODE.format('url')} AS encoded FROM products",
+    "brand_route": f"WITH {PRODUCTS} SELECT id, '/shoe-products?category=' || category || '&brand=' || {ENCODE.format('brand')} AS route, '/shoe-brands?category=' || category AS category_route, '/' || id AS product_route, {ENCODE.format('url')} AS encoded FROM products",
     "listing_title": f"WITH {PRODUCTS} SELECT DISTINCT brand, category, brand || ' · ' || upper(category) AS both, 'Products · ' || upper(category) AS no_brand, brand || ' ' AS no_category FROM products",
     "edit_form": f"WITH {PRODUCTS} SELECT id, coalesce(title, '') AS title, coalesce(brand, '') AS brand, coalesce(price, '') AS price, coalesce(category, 'shoes') AS category, coalesce(url, '') AS url FROM products",
 }

@@ -1,13 +1,17 @@
-"""The products table: its schema, reading, appending, and an adapter from the part tables."""
+"""The products table: its schema, configuration, reading, refresh, insertion, and an adapter from the part tables."""
 
 from __future__ import annotations
 
-import tempfile
+import datetime as dt
+import os
 import uuid
+from collections.abc import Callable, Hashable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import table
+
 SCHEMA = "id string, title string, brand string, price string, url string, category string, image_url string, created_at timestamp_ntz, owner_id string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -39,20 +43,59 @@ def single(df: DataFrame) -> DataFrame:
     return df
 
 
+def products_path(environment: Mapping[str, str] = os.environ) -> str:
+    """Where the table is, from MILLRACE_PRODUCTS; an error at once where that is unset."""
+    if not (path := environment.get("MILLRACE_PRODUCTS")):
+        raise RuntimeError("MILLRACE_PRODUCTS is not set: it has to name the products table")
+    return path
+
+
+def said(error: BaseException) -> str:
+    """What an error says, or a stock text where it says nothing."""
+    return str(error) or "Something went wrong."
+
+
 class Products:
-    """The table as last read well: a failing refresh keeps the rows before it and says why in `error`."""
+    """The table as last read well, in `rows`: read once at the start, then at each refresh.
+
+    A refresh that fails keeps the rows before it and says why in `error`; before the first good one there are no rows.
+    The rows are a copy in the shared folder, so they stay readable when the table's own files are gone.
+    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.error, self.rows = spark, path, None, None
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path, self.error = spark, path or products_path(), None
+        self.rows = spark.createDataFrame([], SCHEMA)
+        self._made: dict[object, DataFrame] = {}
+        self.refresh()
 
-    def refresh(self) -> DataFrame | None:
+    def refresh(self) -> DataFrame:
+        self.error = None
         try:
-            self.rows, self.error = read_products(self.spark, self.path), None
-            self.rows.createOrReplaceTempView("products")
+            rows = table(read_products(self.spark, self.path))
+            rows.createOrReplaceTempView("products")
+            self.rows, self._made = rows, {}
         except Exception as e:  # whatever the store says
-            self.error = str(e)
+            self.error = said(e)
         return self.rows
 
+    def add(self, product: Mapping[str, str | None], now: dt.datetime | None = None) -> DataFrame:
+        """Stores one product and gives its row back, with the id and time it got; the rows here start with it.
+
+        An image that is not given is null; id, time and owner are not the caller's to set.
+        """
+        now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        given = {c: product.get(c) for c in ("title", "brand", "price", "url", "category", "image_url")}
+        row = given | {"id": uuid.uuid4().hex, "created_at": now, "owner_id": None}
+        new = append(single(self.spark.createDataFrame([tuple(row[c] for c in COLUMNS)], SCHEMA)), self.path)
+        self.rows, self._made = new.unionByName(self.rows), {}
+        return new
+
+    def made(self, key: Hashable, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """build(rows), computed once for these rows; `key` names it with its parameters. A refresh forgets it."""
+        if key not in self._made:
+            self._made[key] = table(build(self.rows))
+        return self._made[key]
+
 
 def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The products view over part, pages and lineitem: one row per part."""
@@ -70,13 +113,3 @@ def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 17 != 0, F.col("shipped")).alias("created_at"),
         F.when(F.col("p_size") % 10 != 0, F.col("owner").cast("string")).alias("owner_id"),
     )
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df by way of a table in the shared checkpoint folder, so that it is computed once and survives lost executors."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

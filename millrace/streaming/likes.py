@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame
 from millrace.operators.likes import liked
 
 
-def liked_stream(toggles: DataFrame) -> DataFrame:
-    """The same fold as a streaming aggregate: write it in complete mode. State holds one row an id."""
-    return liked(toggles)
+def liked_stream(toggles: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """The likes of a stream of toggles (seq, id, at): write it in complete mode.
+
+    A source that delivers at least once may repeat a toggle, which would flip the like back: repeats of a seq within
+    `late` of event time count once. Its state of seqs is bounded by that time, the fold's by the number of ids.
+    """
+    return liked(toggles.withWatermark("at", late).dropDuplicatesWithinWatermark(["seq"]))

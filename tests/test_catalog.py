@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
+import time
 
 import duckdb
 import pytest
@@ -12,6 +14,7 @@ from millrace.functions import text
 from millrace.operators import likes, listing, writes
 from millrace.plans import catalog_queries
 from millrace.sources import products as source
+from millrace.sources import shared
 from millrace.streaming.likes import liked_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -93,6 +96,7 @@ def test_text_functions(spark):
     assert value(spark, text.trimmed(F.lit("\u200ba\u0085"))) == "\u200ba\u0085"
     assert value(spark, text.listing_title(F.lit(""), F.lit("bags"))) == "Products · BAGS"
     assert value(spark, text.public_url("http://s/", F.lit(None).cast("string"))) == ""
+    assert value(spark, text.product_route(F.lit("a b"))) == "/a%20b"
 
 
 def test_drafts(spark):
@@ -100,7 +104,12 @@ def test_drafts(spark):
     rows = [(None, " ", "b", "1", "c", "u", None), ("i", "\t ", "b", "1", "c", "u", "u"), ("i", "t", "b", "1", "c", "u", None), ("i", " t ", "b", " ", "c", " ", "u"), ("i", None, "b", "1", "c", "u", "u")]
     drafts = spark.createDataFrame(rows, schema)
     assert [r["reject_reason"] for r in writes.validated(drafts).collect()] == ["image", "fields", "user", None, "fields"]
-    assert [tuple(r) for r in writes.normalised(drafts).collect()] == [("t", "b", None, "c", None, "i", "u")]
+    assert [tuple(r) for r in writes.normalised(drafts, "http://s/", F.lit(5)).collect()] == [("t", "b", None, "c", None, "http://s/products/5.i", "u")]
+    assert writes.normalised(drafts, "http://s/").first()["image_url"].startswith("http://s/products/")
+
+
+def test_clock(spark):
+    assert abs(value(spark, text.now_millis()) / 1000 - time.time()) < 300
 
 
 def test_update(spark, shelf):
@@ -113,6 +122,25 @@ def test_update(spark, shelf):
     assert {r["title"] for r in writes.updated(shelf, patches, "u1", check_owner=True).collect()} == {r["title"] for r in old.values()}
 
 
+def test_refused_updates(spark, shelf):
+    patches = spark.createDataFrame([("a", "t", "x", "1", "bags", ""), ("b", " ", "x", "1", "bags", "u"), ("none", "t", "b", "1", "c", "u"), ("c", "t", "b", "1", "c", "u")], "id string, title string, brand string, price string, category string, url string")
+    assert sorted(map(tuple, writes.refused(shelf, patches, "u1").collect())) == [("a", "owner"), ("b", "fields"), ("none", "product")]
+    changed = writes.updated(shelf, patches, "u1", check_owner=True).where("title = 't'")
+    assert [r["id"] for r in changed.collect()] == ["c"]
+
+
+def test_several_patches_of_an_id(spark, shelf):
+    patches = spark.createDataFrame([(2, "a", "late", "x", "1", "bags", ""), (1, "a", "soon", "x", "1", "bags", "")], "seq int, id string, title string, brand string, price string, category string, url string")
+    rows = {r["id"]: r["title"] for r in writes.updated(shelf, patches).collect()}
+    assert len(rows) == writes.updated(shelf, patches).count() == 5 and rows["a"] == "late"
+    assert {r["title"] for r in writes.updated(shelf, patches.drop("seq")).where("id = 'a'").collect()} == {"soon"}
+
+
+def test_empty_listing(shelf):
+    assert [r["message"] for r in listing.if_empty(listing.products_by(shelf, "hats"), listing.NO_PRODUCTS).collect()] == [listing.NO_PRODUCTS]
+    assert listing.if_empty(shelf, listing.NO_BRANDS).isEmpty()
+
+
 def test_insert_comes_first(spark, shelf):
     new = shelf.limit(1).withColumn("id", F.lit("new"))
     assert [r["id"] for r in writes.prepended(shelf, new).orderBy("pos").collect()] == ["new", "n", "a", "b", "c", "d"]
@@ -127,11 +155,44 @@ def test_positions_over_many_tasks(spark):
 def test_refresh_keeps_rows_on_error(spark, shelf, tmp_path):
     path = f"{tmp_path}/products"
     table = source.Products(spark, path)
-    assert table.refresh() is None and table.error
+    assert table.rows.isEmpty() and table.rows.columns == source.COLUMNS and table.error
     source.append(shelf, path)
     assert table.refresh().count() == 5 and table.error is None
-    table.path = f"{tmp_path}/gone"
+    shutil.move(path, f"{tmp_path}/away")
     assert table.refresh().count() == 5 and table.error
+    assert sorted(r["id"] for r in table.rows.collect()) == ["a", "b", "c", "d", "n"]
+
+
+def test_products_are_read_at_the_start_and_lists_made_once(spark, shelf, tmp_path):
+    path = f"{tmp_path}/products"
+    source.append(shelf, path)
+    table = source.Products(spark, path)
+    assert table.rows.count() == 5 and table.error is None
+    made = []
+    build = lambda p: made.append(1) or listing.products_by(p, "shoes")
+    assert table.made(("shoes", None), build) is table.made(("shoes", None), build) and len(made) == 1
+    row = table.add({"title": "t", "brand": "b", "category": "shoes", "price": None, "url": None, "id": "mine", "owner_id": "me"}, DAY).first()
+    assert (row["title"], row["image_url"], row["owner_id"], row["created_at"]) == ("t", None, None, DAY) and row["id"] not in ("mine", None)
+    assert table.made(("shoes", None), build).count() == 4 and len(made) == 2
+    assert table.refresh().count() == 6
+
+
+def test_configuration_is_asked_for_at_once():
+    assert source.products_path({"MILLRACE_PRODUCTS": "/p"}) == "/p"
+    with pytest.raises(RuntimeError, match="MILLRACE_PRODUCTS"):
+        source.products_path({})
+    assert [source.said(e) for e in (ValueError("why"), ValueError())] == ["why", "Something went wrong."]
+
+
+def test_numbers_stay_when_the_cores_change(spark, shelf):
+    rows, name = shared.numbered(spark.range(3000).repartition(7, "id").withColumn("row", F.lit(1)))
+    first = {(r["id"], r[name]) for r in rows.collect()}
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        assert {(r["id"], r[name]) for r in rows.collect()} == first and len({n for _, n in first}) == 3000 and name == "row_"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
 def test_single_and_schema(shelf):
@@ -144,8 +205,9 @@ def test_single_and_schema(shelf):
 
 
 def test_streamed_likes(spark, small, tmp_path):
-    toggles = catalog_queries.toggles(spark, small)
-    toggles.repartition(3).write.parquet(f"{tmp_path}/t")
+    """A redelivered toggle counts once."""
+    toggles = catalog_queries.toggles(spark, small).withColumn("at", F.timestamp_millis(F.lit(0) + F.col("seq")))
+    toggles.union(toggles.where("seq % 3 = 0")).repartition(3).write.parquet(f"{tmp_path}/t")
     stream = liked_stream(spark.readStream.schema(toggles.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/t"))
     stream.writeStream.format("memory").queryName("likes_now").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination(120)
     assert sorted(map(tuple, spark.table("likes_now").collect())) == sorted(map(tuple, likes.liked(toggles).collect()))

@@ -8,7 +8,7 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 def test_entry(spark):
-    assert __spark_entry__.entry(spark).columns == ["pos", "id", "image", "brand", "title", "price", "liked"]
+    assert __spark_entry__.entry(spark).columns == ["pos", "id", "image", "brand", "brand_label", "title", "price", "liked"]
 
 
 def test_every_sql_has_a_query():
