@@ -46,6 +46,12 @@ def test_odd_documents(odd, texts, tokenizer):
     check(packing.pack(odd, byte_bpe_ranks(), group_tokens=4096).collect(), texts, tokenizer)
 
 
+def test_end_of_text_is_one_id(spark, encoder, tokenizer):
+    assert encoder.ids("hello <|endoftext|> world").tolist() == [31373, 220, 50256, 995]
+    texts = [(1, "<|endoftext|>"), (2, "a<|endoftext|>b  <|endoftext|>\n\n<|endoftext|> x"), (3, "<|endoftext|")]
+    check(packing.pack(spark.createDataFrame(texts, "doc_id long, text string"), byte_bpe_ranks()).collect(), texts, tokenizer)
+
+
 def test_query(spark, small, tokenizer):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     check(packing.pack(spark.read.parquet(f"{small}/documents.parquet"), byte_bpe_ranks()).collect(), docs, tokenizer)
@@ -64,7 +70,7 @@ def encoder():
 
 def test_ids_are_the_tokenizers(encoder, tokenizer):
     @settings(max_examples=300, deadline=None)
-    @given(st.text(st.one_of(st.sampled_from(" \n\t\r  　\x85\x1c\x1f'sStTlLvVeE1.é"), st.characters(exclude_categories=["Cs", "Cn"])), max_size=40))
+    @given(st.lists(st.one_of(st.sampled_from([*" \n\t\r  　\x85\x1c\x1f'sStTlLvVeE1.é", "<|endoftext|>", "<|endoftext"]), st.characters(exclude_categories=["Cs", "Cn"])), max_size=40).map("".join))
     def run(text):
         assert encoder.ids(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
