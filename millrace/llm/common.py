@@ -1,16 +1,16 @@
-"""What several operators need: shared-folder checkpoints, row ids, Arrow text access, word hashing."""
+"""What several operators need: sampling, row ids, Arrow text access, word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.shared import table
+
 #: Bytes of text that a numpy step handles at once (one longer document is a step of its own).
 STEP_BYTES = 1 << 18
 
@@ -21,43 +21,13 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def use_shared_dir(spark: SparkSession) -> None:
-    """Checkpoints go where the cluster says (spark.checkpoint.dir); to an own folder only where that is unset."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-")
-        spark.sparkContext.setCheckpointDir(path)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    use_shared_dir(spark)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through files in the shared folder, so that a lost executor costs no earlier stage."""
-    use_shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
+def without(docs: DataFrame, number: str, rows: DataFrame) -> DataFrame:
+    """docs without the rows whose numbers, in the column `number` of both, are in `rows`; nor has the result that column.
 
-def table(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table in the shared folder; unlike a checkpoint's, its size is known to the planner."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """docs without the rows numbered in `rows` (column row: monotonically_increasing_id over the same docs).
-
-    docs has to be a table as read, so that its rows are numbered alike each time. Few rows are broadcast, if the
-    planner finds the written table small enough; many are joined.
+    The numbers have to be written ones (see `numbered`). Few rows are broadcast, if the planner finds the written table
+    small enough; many are joined.
     """
-    number = "row"
-    while number in {c.lower() for c in docs.columns}:
-        number += "_"
-    gone = table(rows.select(F.col("row").alias(number)))
-    return docs.withColumn(number, F.monotonically_increasing_id()).join(gone, number, "left_anti").drop(number)
+    return docs.join(table(rows.select(number)), number, "left_anti").drop(number)
 
 
 def smallest(rows: DataFrame, n: int, order: str, total: DataFrame) -> DataFrame:
@@ -83,6 +53,11 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def row_number(row_col: str | None) -> Column:
+    """The column that numbers the rows, or numbers made anew, which hold within one job only."""
+    return F.monotonically_increasing_id() if row_col is None else F.col(row_col)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, prefix_sums, row_number, span_hashes, spans_of, steps, text_or_empty
 
 GAPS = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.zeros(256, bool)
@@ -204,6 +204,7 @@ def contamination(
     shingle: int = 5,
     share: int = 20,
     block_bytes: int = 8 << 20,
+    row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: row, the id column, n_words, spans, items, n_hit, contaminated.
 
@@ -217,7 +218,7 @@ def contamination(
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-size // block_bytes))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"), F.col(id_col).alias("id"))
+    rows = docs.select(row_number(row_col).alias("row"), text_or_empty(text_col).alias("text"), F.col(id_col).alias("id"))
     found = []
     for block in range(blocks):
         # toLocalIterator: of the benchmark, the driver holds one block at a time.

@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, cut, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.sources.shared import cut, table
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -100,16 +101,16 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
 
 
 def similar_components(
-    rows: DataFrame, docs: DataFrame, known: DataFrame, components: Callable, linked: Callable, text_col: str, similarity: float, width: int, crowd: int = 8
+    rows: DataFrame, docs: DataFrame, known: DataFrame, components: Callable, linked: Callable, row_col: str, text_col: str, similarity: float, width: int, crowd: int = 8
 ) -> DataFrame:
     """(node, root) over the values of fp, linked by `known` (u, v) or by a similar text of each.
 
-    rows: row, fp and the columns of marks. linked: whether two columns of fp are linked in `known` anyway.
+    rows: row, fp and the columns of marks; row_col numbers the rows of docs alike. linked: whether two columns of fp are linked in `known` anyway.
     """
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_col).alias("text"))
+    texts = docs.select(F.col(row_col).alias("row"), text_or_empty(text_col).alias("text"))
     ones = rows.where("size > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = cut(ones.select("fp", "row", "size", F.explode("keys").alias("key")))
-    shared = cut(keyed.join(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "key"))
+    shared = cut(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "key"))
 
     def sides(u: DataFrame, v: DataFrame, where) -> DataFrame:
         u, v = (x.select("key", *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in ("key", "n")]) for x, y in ((u, "u"), (v, "v")))
@@ -118,7 +119,7 @@ def similar_components(
         return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"), "row_u", "row_v")
 
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
-    least = many.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("x")).select("key", "x.*")
+    least = table(many.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("x")).select("key", "x.*"))
     pairs = sides(few, few, F.col("row_u") < F.col("row_v")).unionByName(sides(least, many, F.lit(True)))
     roots = cut(components(known.select("u", "v").unionByName(verified(pairs, texts, similarity, width))))
     # Of crowded bands, what is outside the component that most are in.
@@ -126,7 +127,7 @@ def similar_components(
     placed = cut(placed.select("key", "fp", "row", "size", "root"))
     counted = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    main = main.select("key", F.col("x.root").alias("main"))
+    main = table(main.select("key", F.col("x.root").alias("main")))
     apart = cut(placed.join(main, "key").where("root <> main").drop("main"))
     if apart.isEmpty():
         return roots

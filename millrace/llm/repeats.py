@@ -22,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, mixed, prefix_sums, span_hashes, steps, table, text_or_empty, utf8
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, mixed, prefix_sums, span_hashes, steps, text_or_empty, utf8
 from millrace.llm.suffix_array import common_with_previous, suffix_array
+from millrace.sources.shared import table
 
 #: Starts of strings that a step looks at in one document.
 REACH = 1 << 20

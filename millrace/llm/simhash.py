@@ -24,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import minhash
-from millrace.llm.common import cut, map_batches, table, text_or_empty
+from millrace.llm.common import map_batches, row_number, text_or_empty
 from millrace.llm.components import components
+from millrace.sources.shared import cut, table
 
 SEED = 42
 #: Lowest bit and bits of each segment.
@@ -55,7 +56,7 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, set_width: int = 0) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, set_width: int = 0, row_col: str | None = None) -> DataFrame:
     """(row, id, fp) for each row of docs; fp is the fingerprint as a signed long. With set_width also (set, size, keys) by minhash.marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64)), *more], names=["row", "id", "fp", "set", "size", "keys"][: 3 + len(more)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = docs.select(row_number(row_col).alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     return map_batches(rows, run, f"row long, id {kind}, fp long" + (", set long, size long, keys array<long>" if set_width else ""))
 
 
@@ -139,19 +140,20 @@ def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
     Below `crowd` classes a key every link is made; at more, links to the least class of each crossing.
     """
     keyed = cut(segment_keys(classes))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Counts and minima are written: Spark splits a frequent key's rows only where no aggregate stands below the join.
+    sizes = table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = cut(keyed.join(sizes, "key"))
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
     pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where(F.col("u") < F.col("v")).where(near(F.col("u"), F.col("v")))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
     around = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit((1 << i) - (1 << 64 if i == 63 else 0))) for i in range(64)])
     met = many.select("fp", F.explode(around).alias("word"))
-    least = met.groupBy("word").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    least = table(met.groupBy("word").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     stars = met.join(least, "word").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.select("u", "v").unionByName(stars)
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, set_width: int = minhash.WIDTH) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None, set_width: int = minhash.WIDTH, row_col: str | None = None) -> DataFrame:
     """One row per row of docs: row, the id column, fp (signed long), fingerprint (16 hex digits), component_id, kept.
 
     component_id is the smallest id that links reach; null if all ids there are null. kept marks one row of each
@@ -159,12 +161,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     space have fingerprint zero and are linked like any other. An empty table gives no rows. Other columns are ignored.
 
     With a similarity, texts are linked besides whose sets of shingles of set_width words have that Jaccard similarity
-    or more (see minhash); docs then has to be a table as read, so that its rows are numbered alike each time.
+    or more (see minhash). That reads docs twice, so row_col has to name a written column that numbers the rows.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width, 0 if similarity is None else set_width))
+    if similarity is not None and row_col is None:
+        raise ValueError("texts are read again by their row: row_col has to name a written number")
+    rows = cut(fingerprints(docs, id_col, text_col, width, 0 if similarity is None else set_width, row_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("first")
     classes = cut(rows.groupBy("fp").agg(first))
-    roots = components(links(classes)) if similarity is None else minhash.similar_components(rows, docs, links(classes), components, near, text_col, similarity, set_width)
+    roots = components(links(classes)) if similarity is None else minhash.similar_components(rows, docs, links(classes), components, near, row_col, text_col, similarity, set_width)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     rooted = cut(rooted)
     best = table(rooted.groupBy("root").agg(F.min("first").alias("best")))

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,9 +13,9 @@ def order(rows):
     return sorted(map(repr, rows))
 
 
-@pytest.mark.parametrize("block_bytes", [3, 8192])
-def test_exact_groups(odd, texts, block_bytes):
-    if block_bytes == 3:
+@pytest.mark.parametrize("block_chars", [3, 8192])
+def test_exact_groups(odd, texts, block_chars):
+    if block_chars == 3:
         odd, texts = odd.where("length(text) < 300 or text is null"), [x for x in texts if len(x[1] or "") < 300]
     groups = defaultdict(list)
     for key, text in texts:
@@ -24,12 +25,28 @@ def test_exact_groups(odd, texts, block_bytes):
         known = [i for i in ids if i is not None]
         for key in ids:
             wanted.append((key, min(known) if known else None, len(ids), hashlib.sha256(text.encode()).hexdigest()))
-    got = exact_dedup.exact_groups(odd, block_bytes=block_bytes).collect()
+    got = exact_dedup.exact_groups(odd, block_chars=block_chars).collect()
     assert order((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == order(wanted)
     assert sum(r["kept"] for r in got) == len(groups)
     assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
 
 
+def test_very_long_texts(spark, tmp_path):
+    """Time grows in proportion to the length: for a text of 64 MB far less than 64 times that for one of 1 MB, and little more than for 64 of these."""
+    part = "".join(f"w{i:07d} " for i in range(1 << 17))[:1024]
+    took = {}
+    for n, mb in ((1, 1), (64, 1), (1, 64)):
+        made = spark.range(n).selectExpr("id as doc_id", f"repeat('{part}', {mb * 1024}) as text")
+        made.repartition(1).write.parquet(f"{tmp_path}/{n}-{mb}")
+        began = time.perf_counter()
+        rows = exact_dedup.exact_groups(spark.read.parquet(f"{tmp_path}/{n}-{mb}")).collect()
+        took[n, mb] = time.perf_counter() - began
+        want = hashlib.sha256((part * (mb * 1024)).encode()).hexdigest()
+        assert {(r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows} == {(0, n, want)}
+    print("seconds by texts and MB", took)
+    assert took[1, 64] < 16 * took[1, 1] and took[1, 64] < 3 * took[64, 1] + 10
+
+
 def test_exact_empty(empty):
     assert exact_dedup.exact_groups(empty).count() == 0
 

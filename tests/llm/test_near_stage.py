@@ -10,6 +10,7 @@ from test_simhash import plain_fingerprint
 import corpus_pipeline
 from millrace.llm import minhash, simhash
 from millrace.llm.components import components
+from millrace.sources.shared import numbered
 
 
 def shingle_set(text):
@@ -77,10 +78,10 @@ def test_planted_copies(spark, tmp_path, crowd):
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    prints = simhash.fingerprints(docs, set_width=5).cache()
+    docs, row = numbered(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    prints = simhash.fingerprints(docs, set_width=5, row_col=row).cache()
     known = simhash.links(prints.select("fp").distinct())
-    found = minhash.similar_components(prints, docs, known, components, simhash.near, "text", 0.8, 5, crowd)
+    found = minhash.similar_components(prints, docs, known, components, simhash.near, row, "text", 0.8, 5, crowd)
     roots = {r["node"]: r["root"] for r in found.collect()}
     mine = {r["id"]: roots.get(r["fp"], r["fp"]) for r in prints.collect()}
     pairs = {(g, mine[key]) for g, (key, _) in zip(plain_groups(rows), rows)}

@@ -6,8 +6,8 @@ import re
 import pyarrow as pa
 import pytest
 from test_decontaminate import brute
+from test_near_stage import plain_groups
 from test_packing import check, tokenizer  # noqa: F401
-from test_simhash import classes, plain_fingerprint
 
 import corpus_pipeline
 from millrace.llm import language_id
@@ -41,8 +41,8 @@ def plain(rows, model, items):
     after = [len(rows)]
     rows = of_each(rows, lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t))
     after.append(len(rows))
-    root = classes({plain_fingerprint(t) for _, t in rows})
-    rows = of_each(rows, lambda t: root[plain_fingerprint(t)])
+    group = {t: g for (_, t), g in zip(rows, plain_groups(rows))}
+    rows = of_each(rows, group.get)
     after.append(len(rows))
     dirty = {i for i, *_, bad in map(ast.literal_eval, brute([(i, t) for i, (_, t) in enumerate(rows)], items)) if bad}
     rows = [r for i, r in enumerate(rows) if i not in dirty]

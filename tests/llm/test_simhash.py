@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.llm import simhash
-from millrace.llm.components import components
+from millrace.llm.components import _large_star, components
 
 
 def plain_fingerprint(text):
@@ -86,6 +86,24 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 600)}, 900: 900, 901: 900}
 
 
+def test_a_large_star_is_split(spark):
+    """A root that is next to all its nodes: the join of its rows with the minima is one that Spark splits."""
+    n, held = 1_000_000, {}
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for k, v in conf.items():
+        held[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    try:
+        edges = spark.range(1, n).selectExpr("abs(xxhash64(id)) as u", "0L as v")
+        joined = _large_star(edges).groupBy("v").agg(F.count("*"), F.countDistinct("u"))
+        assert [tuple(r) for r in joined.collect()] == [(0, n - 1, n - 1)]
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(r) for r in components(edges).groupBy("root").count().collect()} == {(0, n)}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+
+
 def test_empty(empty):
     assert simhash.near_groups(empty).count() == 0
     assert simhash.links(empty.select(F.lit(1).cast("long").alias("fp"))).count() == 0
