@@ -42,6 +42,20 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """df by way of a table in buckets of a column: each later join by that column deals out the other side alone.
+
+    As many buckets as the session has shuffle partitions, unless told otherwise.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"millrace_{uuid.uuid4().hex}"
+    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", new_path(spark, "buckets")).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are its owner's, and `found` knows them
+    return found
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage by a checkpoint in the shared folder, so that a lost executor costs no earlier stage."""
     use_shared_dir(df.sparkSession)

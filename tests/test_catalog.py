@@ -213,6 +213,17 @@ def test_streamed_likes(spark, small, tmp_path):
     assert sorted(map(tuple, spark.table("likes_now").collect())) == sorted(map(tuple, likes.liked(toggles).collect()))
 
 
+def test_buckets_spare_a_shuffle(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = shared.bucketed(spark.range(1000).withColumn("text", F.lit("x")), "id", 5)
+        both = left.join(spark.range(0, 1000, 3), "id", "left_semi")
+        assert both.count() == 334 and both._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 @pytest.mark.parametrize("name", sorted(catalog_queries.queries()))
 def test_against_sql(spark, small, name):
     con = duckdb.connect()
