@@ -17,6 +17,9 @@ STEP_BYTES = 1 << 18
 #: Bytes of an Arrow batch, of which the JVM and each Python worker hold several at a time; Spark's own bound is 64 MB.
 BATCH_BYTES = 4 << 20
 
+#: The bytes that part words where words are runs of anything else.
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

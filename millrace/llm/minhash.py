@@ -18,14 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
 from millrace.sources.shared import cut, table
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
 #: An odd multiplier for each minimum, and for each place in a band.
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, BANDS * ROWS + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -65,12 +65,16 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns; n_passages and passage_words tell of passages of over 50 words that other documents hold too, of any number of bytes."""
+    covered = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return repeats.repeats(read(spark, sf_dir, "documents")).select(
         "doc_id",
         "n_bytes",
-        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"]).alias("n_removed"),
+        covered("spans").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("passages").cast("long").alias("n_passages"),
+        covered("passages").alias("passage_words"),
     )
 
 

@@ -11,6 +11,10 @@ of such keys goes to shards of about `shard_bytes`, keys kept whole. Each shard'
 the common prefixes of neighbours tell which strings occur twice.
 
 A key with more than `crowd` classes is not gathered: its strings are counted by a 128-bit hash each.
+
+Strings of bytes miss a short passage: `passage` words may well be fewer than `length` bytes. So passages of that many
+words that stand in several documents, letter case and white space apart, are reported besides, though not removed. They
+are found with the same stretches, of words in place of bytes, and counted by 128-bit hashes where classes differ.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, WORD_POWERS, mixed, prefix_sums, span_hashes, steps, text_or_empty, utf8
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, Powers, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty, utf8
 from millrace.llm.suffix_array import common_with_previous, suffix_array
-from millrace.sources.shared import table
+from millrace.sources.shared import bucketed, table
 
 #: Starts of strings that a step looks at in one document.
 REACH = 1 << 20
@@ -40,11 +44,20 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[: len(values) - width + 1], least[width - span :]) if width > span else least
 
 
-def stretches_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Key, class, first start and number of bytes of each stretch of one document (or several, laid end to end)."""
-    n = len(data)
-    sums = prefix_sums(BYTE_VALUES[data], BYTE_POWERS)
-    down = BYTE_POWERS.upto(n)[1]
+def symbols(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray, Powers]:
+    """A value for each byte, or for each word (runs of anything but white space, A-Z lower-cased), and the offsets of the rows."""
+    if not words:
+        return BYTE_VALUES[data], offsets, BYTE_POWERS
+    starts, ends, row = spans_of(~SPACE[data], offsets)
+    values = span_hashes(prefix_sums(BYTE_VALUES[LOWER[data]], BYTE_POWERS), starts, ends, BYTE_POWERS)
+    return values, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(offsets) - 1))]), WORD_POWERS
+
+
+def stretches_of(values: np.ndarray, powers: Powers, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Prefix sums, hashes of grams, each string's anchor and the first string of each stretch, of documents laid end to end."""
+    n = len(values)
+    sums = prefix_sums(values, powers)
+    down = powers.upto(n)[1]
     grams = mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
     place = np.arange(len(grams), dtype=np.uint64)
     anchor = _sliding_min((grams >> np.uint64(64 - ANCHOR_BITS) << np.uint64(64 - ANCHOR_BITS)) | place, length - gram + 1) & np.uint64((1 << (64 - ANCHOR_BITS)) - 1)
@@ -52,14 +65,14 @@ def stretches_of(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray,
     return sums, grams, anchor.astype(np.int64), first
 
 
-def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def stretches(docs: DataFrame, length: int, gram: int, words: bool = False) -> DataFrame:
     """(key, class, row, start, size): stretches of all documents; class tells apart the contents under one key."""
 
-    def emit(row: np.ndarray, base: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """base: of each row, the byte in its document with which its data begin."""
-        if len(data) < length:
+    def emit(row: np.ndarray, base: np.ndarray, values: np.ndarray, offsets: np.ndarray, powers: Powers) -> Iterator[pa.RecordBatch]:
+        """base: of each row, the place in its document with which its values begin."""
+        if len(values) < length:
             return
-        sums, grams, anchor, first = stretches_of(data, length, gram)
+        sums, grams, anchor, first = stretches_of(values, powers, length, gram)
         starts = len(anchor)
         # Strings stay within a row: cut stretches at a row's first start and after its last.
         begin, end = offsets[:-1], np.minimum(offsets[1:] - length + 1, starts)
@@ -71,7 +84,7 @@ def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
         cuts, stop, of = cuts[keep], stop[keep], of[keep]
         at = anchor[cuts]
         size = stop - cuts + length - 1
-        content = span_hashes(sums, cuts, cuts + size, BYTE_POWERS)
+        content = span_hashes(sums, cuts, cuts + size, powers)
         kind = mixed(content ^ mixed((at - cuts).astype(np.uint64) + np.uint64(1)))
         yield pa.RecordBatch.from_arrays(
             [pa.array(grams[at].view(np.int64)), pa.array(kind.view(np.int64)), pa.array(row[of]), pa.array(cuts - offsets[of] + base[of]), pa.array(size.astype(np.int32))],
@@ -82,12 +95,13 @@ def stretches(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             rows = batch.column(0).to_numpy()
             for low, high, data, offsets in steps(batch.column(1)):
-                if len(data) <= 2 * REACH:
-                    yield from emit(rows[low:high], np.zeros(high - low, np.int64), data, offsets)
+                values, offsets, powers = symbols(data, offsets, words)
+                if len(values) <= 2 * REACH:
+                    yield from emit(rows[low:high], np.zeros(high - low, np.int64), values, offsets, powers)
                 else:
-                    for at in range(0, max(1, len(data) - length + 1), REACH):
-                        part = data[at : at + REACH + length - 1]
-                        yield from emit(rows[low:high], np.array([at]), part, np.array([0, len(part)]))
+                    for at in range(0, max(1, len(values) - length + 1), REACH):
+                        part = values[at : at + REACH + length - 1]
+                        yield from emit(rows[low:high], np.array([at]), part, np.array([0, len(part)]), powers)
 
     return docs.select("row", "text").mapInArrow(run, STRETCH)
 
@@ -152,6 +166,41 @@ def counted_singly(pieces: DataFrame, length: int) -> DataFrame:
     return singles.where("once").join(many, ["h1", "h2"]).select("row", "first", (F.col("first") + 1).alias("last"))
 
 
+def shared_passages(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(row, first, last): words, from first to before last, at which a run of `length` words starts that another document holds."""
+    found = table(stretches(rows, length, gram, words=True))
+    keys = found.groupBy("key").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a < b")
+    shared = table(found.join(table(keys.select("key")), "key"))
+    ends = F.min("row").alias("a"), F.max("row").alias("b")
+    classes = shared.groupBy("key", "class").agg(*ends, F.min(F.struct("row", "start", "size")).alias("one"))
+    classes = table(classes.select("key", "class", (F.col("a") < F.col("b")).alias("several"), "one"))
+    several = classes.where("several").select("key", "class").hint("merge")
+    whole = shared.join(several, ["key", "class"]).select("row", F.col("start").alias("first"), (F.col("start") + F.col("size") - length + 1).alias("last"))
+    # Where a key has several classes, those of one document are compared run by run with one of each other class.
+    open_keys = table(classes.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    opened = classes.join(open_keys, "key")
+    lone = shared.join(opened.where("not several").select("key", "class").hint("merge"), ["key", "class"])
+    places = lone.select("row", "start", "size", F.lit(False).alias("several")).unionByName(opened.where("several").select("one.*", "several"))
+    wanted = places.groupBy("row").agg(F.collect_list(F.struct("start", "size", "several")).alias("wanted"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                data, offsets = utf8(pa.array([text.as_py()], pa.string()))
+                values, _, _ = symbols(data, offsets, True)
+                start, size, several = (np.array([p[c] for p in places]) for c in ("start", "size", "several"))
+                many = size - length + 1
+                at = np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                one, two = (span_hashes(prefix_sums(values, p), at, at + length, p).view(np.int64) for p in (BYTE_POWERS, WORD_POWERS))
+                columns = [pa.array(one), pa.array(two), pa.array(np.full(len(at), row)), pa.array(at.astype(np.int64)), pa.array(np.repeat(several, many))]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "row", "first", "several"])
+
+    runs = table(map_batches(rows.select("row", "text").join(wanted, "row").select("row", "text", "wanted"), run, "h1 long, h2 long, row long, first long, several boolean"))
+    met = table(runs.groupBy("h1", "h2").agg(*ends, F.max("several").alias("s")).where("a < b or s").select("h1", "h2")).hint("merge")
+    part = runs.where("not several").join(met, ["h1", "h2"]).select("row", "first", (F.col("first") + 1).alias("last"))
+    return whole.unionByName(part)
+
+
 def repeats(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -160,14 +209,18 @@ def repeats(
     gram: int = 100,
     shard_bytes: int = 1 << 20,
     crowd: int = 2048,
+    passage: int = 51,
 ) -> DataFrame:
-    """One row per row of docs: row, the id column, n_bytes, spans (removed: first, last + 1, maximal), kept (binary).
+    """One row per row of docs: row, the id column, n_bytes, spans (removed: first, last + 1, maximal), kept (binary), passages.
 
-    Strings are of UTF-8 bytes and never cross rows; they are judged on the input. Null and empty texts have no bytes.
-    Null and repeated ids are rows of their own, so a repeated row's text repeats. An empty table gives no rows. Other
-    columns are ignored.
+    Strings are of UTF-8 bytes and never cross rows; they are judged on the input. passages: the maximal runs of words
+    (first, last + 1) covered by `passage` words that stand in another row too, whether or not they are removed. Null and
+    empty texts have no bytes. Null and repeated ids are rows of their own, so a repeated row's text repeats. An empty
+    table gives no rows. Other columns are ignored.
+
+    Rows are numbered once, in a table dealt out by that number, so later joins by it do not move the texts.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = bucketed(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")), "row")
     found = table(stretches(rows, length, gram))
     keys = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("class").alias("a"), F.max("class").alias("b")).where("n > 1")
     # As a table of its own: Spark splits a frequent key's rows only where no aggregate stands below the join.
@@ -178,7 +231,7 @@ def repeats(
     classes = table(classes)
     # Only keys with a class of one member are left to sort.
     open_keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("least = 1").drop("least")
-    samples = classes.join(open_keys, "key").select("key", "classes", (F.col("n") == 1).alias("once"), "one.*")
+    samples = classes.join(table(open_keys), "key").select("key", "classes", (F.col("n") == 1).alias("once"), "one.*")
     wanted = samples.groupBy("row").agg(F.collect_list(F.struct("key", "classes", "once", "start", "size")).alias("wanted"))
     data = F.encode("text", "UTF-8")
     pieces = rows.select("row", "text").join(wanted, "row").select("row", data.alias("data"), F.explode("wanted").alias("w"))
@@ -191,34 +244,46 @@ def repeats(
     whole = whole.select("row", F.col("start").alias("first"), (F.col("start") + F.col("size") - length + 1).alias("last"))
     hit = whole.unionByName(in_shards).unionByName(singly)
     spans = hit.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("hit"))
-    return removed(rows.join(spans, "row", "left"), length, id_col)
+    met = shared_passages(rows, passage, max(1, passage // 4)).groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("met"))
+    return removed(rows.join(spans, "row", "left").join(met, "row", "left"), length, passage, id_col)
+
+
+def covered(hit: pa.ListScalar, length: int, size: int) -> np.ndarray:
+    """Which of `size` places lie in a string of `length` that starts in one of the ranges of `hit`."""
+    if hit.as_py() is None:
+        return np.zeros(size, bool)
+    first, last = (hit.values.field(f).to_numpy() for f in ("first", "last"))
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, first, 1)
+    np.add.at(change, last - 1 + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def runs_of(member: np.ndarray) -> list[dict]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], member, [False]]).astype(np.int8)))
+    return [{"first": a, "last": b} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def removed(rows: DataFrame, length: int, id_col: str) -> DataFrame:
-    """Takes out the bytes covered by the strings that start at each of `hit`."""
-    schema = f"row long, `{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, spans array<struct<first:long,last:long>>, kept binary"
+def removed(rows: DataFrame, length: int, passage: int, id_col: str) -> DataFrame:
+    """Takes out the bytes covered by the strings that start at each of `hit`, and names the words that those of `met` cover."""
+    spans_type = "array<struct<first:long,last:long>>"
+    schema = f"row long, `{id_col}` {rows.schema['id'].dataType.simpleString()}, n_bytes long, spans {spans_type}, kept binary, passages {spans_type}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64()}))
         for batch in batches:
             data, offsets = utf8(batch.column(2))
-            spans, kept = [], []
-            for i, hit in enumerate(batch.column(3)):
+            spans, kept, passages = [], [], []
+            for i, (hit, met) in enumerate(zip(batch.column(3), batch.column(4))):
                 mine = data[offsets[i] : offsets[i + 1]]
-                if hit.as_py() is None:
-                    spans.append([])
-                    kept.append(mine.tobytes())
-                    continue
-                first, last = (hit.values.field(f).to_numpy() for f in ("first", "last"))
-                change = np.zeros(len(mine) + 1, np.int64)
-                np.add.at(change, first, 1)
-                np.add.at(change, last - 1 + length, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-                spans.append([{"first": a, "last": b} for a, b in edges.reshape(-1, 2).tolist()])
+                gone = covered(hit, length, len(mine))
+                spans.append(runs_of(gone))
                 kept.append(mine[~gone].tobytes())
+                # No more words than bytes.
+                passages.append(runs_of(covered(met, passage, len(mine))) if met.is_valid else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary())], names=["row", id_col, "n_bytes", "spans", "kept"]
+                [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(spans, kind), pa.array(kept, pa.binary()), pa.array(passages, kind)],
+                names=["row", id_col, "n_bytes", "spans", "kept", "passages"],
             )
 
-    return rows.select("row", "id", "text", "hit").mapInArrow(run, schema)
+    return rows.select("row", "id", "text", "hit", "met").mapInArrow(run, schema)

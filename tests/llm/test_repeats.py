@@ -1,5 +1,6 @@
 import hashlib
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -41,7 +42,44 @@ def test_odd_documents(odd, texts, options):
 
 def test_query(spark, small):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
-    assert sorted(repr(tuple(r)) for r in op5_repeats(spark, small).collect()) == brute(texts, 400)
+    rows = op5_repeats(spark, small).collect()
+    assert sorted(repr(tuple(r)[:5]) for r in rows) == brute(texts, 400)
+    assert sorted((r["doc_id"], r["n_passages"], r["passage_words"]) for r in rows) == sorted((k, len(runs), sum(b - a for a, b in runs)) for k, runs in brute_passages(texts, 51))
+
+
+def brute_passages(texts, length):
+    """Runs of words covered by `length` words that another document holds."""
+    words = [[w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if w] for _, t in texts]
+    holders = defaultdict(set)
+    for i, w in enumerate(words):
+        for a in range(len(w) - length + 1):
+            holders[tuple(w[a : a + length])].add(i)
+    out = []
+    for (key, _), w in zip(texts, words):
+        at = {a + k for a in range(len(w) - length + 1) if len(holders[tuple(w[a : a + length])]) > 1 for k in range(length)}
+        edges = sorted([a for a in at if a - 1 not in at]), sorted([a + 1 for a in at if a + 1 not in at])
+        out.append((key, list(zip(*edges))))
+    return out
+
+
+@pytest.mark.parametrize("passage", [51, 7])
+def test_passages_of_odd_documents(spark, odd, texts, passage):
+    """Passages that share a part, reflowed and in capitals, or twice in one document."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.integers(0, 900, 400)]
+    more = [" ".join(words[:120]), "\n".join(words[30:90]).upper(), "x " + " ".join(words[100:160]) + " y", " ".join(words[200:260] * 2), " ".join(words[300:350]), " ".join(words[295:345])]
+    texts = [x for x in texts if len(x[1] or "") < 100000] + [(1000 + i, t) for i, t in enumerate(more)]
+    docs = odd.where("length(text) < 100000 or text is null").select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    got = [(r["doc_id"], [(x["first"], x["last"]) for x in r["passages"]]) for r in repeats.repeats(docs, passage=passage).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, brute_passages(texts, passage)))
+
+
+@pytest.mark.parametrize("options", [{"length": 400, "gram": 100}, {"length": 40, "gram": 12}])
+def test_very_long_texts(spark, options):
+    rng = np.random.default_rng(5)
+    prose = "".join(chr(97 + c) for c in rng.integers(0, 26, 150_000))
+    texts = [(1, "ab" * 30_000), (2, prose + prose[1000:9000] + "abc" * 20_000), (3, "b" + prose[70_000:140_000])]
+    assert digest(repeats.repeats(spark.createDataFrame(texts, "doc_id long, text string"), **options)) == brute(texts, options["length"])
 
 
 def test_a_text_of_several_steps(spark, monkeypatch):
