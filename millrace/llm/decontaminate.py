@@ -2,20 +2,19 @@
 
 A window is `window` consecutive words of an item, or a shorter item as a whole. Its tokens are its shingles of five
 words. All must be held, so one token is the necessary prefix: the window's rarest by the number of its places in all
-documents. Documents are probed for prefix tokens only. A token's place fixes where the window would start; bounds on
-position and length drop those that don't fit between the document's first and last word, a rolling hash drops most
-others, and the words themselves decide.
+documents. Documents are probed for prefix tokens only, and the probes are joined with the windows. A token's place fixes
+where the window would start; bounds on position and length drop those that don't fit between the document's first and
+last word, and the words themselves decide.
 
-The benchmark goes to the executors in blocks of bounded size (`block_bytes` of text): one block is the usual case and
-needs no shuffle; a larger benchmark takes a pass over the documents for each block, and the spans are merged by row.
+Windows, counts and probes are tables, so neither the benchmark nor a part of it passes through the driver, and the
+documents are read twice however large it is. What is broadcast is a bitmap of tokens, of 2 ** MOST_BITS bits at the most,
+that spares most of a document's shingles the shuffle; where it is crowded more of them are joined in vain.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, prefix_sums, row_number, span_hashes, spans_of, steps, text_or_empty
+from millrace.sources.shared import table
 
 GAPS = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
-BITMAP = 20
+#: Bits of the bitmap, as a power of two: 128 kB to 32 MB.
+LEAST_BITS, MOST_BITS = 20, 28
 SPANS = "array<struct<first:long,last:long>>"
 
 
-def words_in(text: str) -> list[bytes]:
-    return [w for w in GAPS.split(text.encode("utf-8", "surrogatepass").lower()) if w]
-
-
 class Step:
     """The words of a run of documents, with rolling hashes over them."""
 
@@ -53,144 +50,116 @@ class Step:
         at = at[self.row[at] == self.row[at + width - 1]] if len(at) else at
         return at, span_hashes(self.sums, at, at + width, WORD_POWERS)
 
-    def words(self, first: int, last: int) -> list[bytes]:
-        return [self.low[a:b].tobytes() for a, b in zip(self.starts[first:last], self.ends[first:last])]
-
-
-def hashed_words(words: list[bytes]) -> Step:
-    data = np.frombuffer(b" ".join(words), np.uint8)
-    return Step(data, np.array([0, len(data)]))
-
-
-class Windows:
-    """The distinct windows of some items and their shingles."""
-
-    def __init__(self, items: list[tuple], window: int, shingle: int):
-        self.shingle, self.items = shingle, sorted({i for i, _ in items})
-        number = {x: i for i, x in enumerate(self.items)}
-        holders = defaultdict(set)
-        for item, text in items:
-            words = words_in(text)
-            for at in range(max(1, len(words) - window + 1) if words else 0):
-                holders[tuple(words[at : at + window])].add(number[item])
-        self.words = sorted(holders)
-        self.holders = [sorted(holders[w]) for w in self.words]
-        self.tokens = [hashed_words(list(w)).shingles(min(shingle, len(w)))[1] for w in self.words]
-        self.whole = np.array([int(hashed_words(list(w)).shingles(len(w))[1][0]) for w in self.words], np.uint64)
-        self.widths = sorted({min(shingle, len(w)) for w in self.words})
-        self.vocabulary = {n: np.unique(np.concatenate([t for w, t in zip(self.words, self.tokens) if min(shingle, len(w)) == n])) for n in self.widths}
-
-    def choose(self, counts: dict[int, np.ndarray]) -> None:
-        """Takes each window's rarest token as its prefix."""
-        self.probes = {}
-        rarest = defaultdict(list)
-        for i, (w, tokens) in enumerate(zip(self.words, self.tokens)):
-            n = min(self.shingle, len(w))
-            number = counts[n][np.searchsorted(self.vocabulary[n], tokens)]
-            at = int(np.lexsort((tokens, number))[0])
-            rarest[n].append((int(tokens[at]), i, at))
-        for n, found in rarest.items():
-            found.sort()
-            token, window, at = (np.array(x, t) for x, t in zip(zip(*found), (np.uint64, np.int64, np.int64)))
-            keys, first = np.unique(token, return_index=True)
-            self.probes[n] = keys, np.append(first, len(token)), window, at, seen_in(keys)
-        self.lengths = np.array([len(w) for w in self.words], np.int64)
-        del self.tokens
-
-
-def seen_in(keys: np.ndarray) -> np.ndarray:
-    """A bitmap of the keys' high bits, as a first test."""
-    seen = np.zeros(1 << BITMAP, bool)
-    seen[keys >> np.uint64(64 - BITMAP)] = True
-    return seen
-
-
-def matched(hashes: np.ndarray, keys: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in `hashes` that are among the sorted keys, and which."""
-    at = np.flatnonzero(seen[hashes >> np.uint64(64 - BITMAP)])
-    key = np.searchsorted(keys, hashes[at])
-    good = (key < len(keys)) & (keys[np.minimum(key, len(keys) - 1)] == hashes[at])
-    return at[good], key[good]
-
-
-def occurrences(step: Step, windows: Windows) -> list[tuple[int, int]]:
-    """(first word, window) of every occurrence."""
-    out = []
-    for n, (keys, first, window, offset, seen) in windows.probes.items():
-        start, hashes = step.shingles(n)
-        at, key = matched(hashes, keys, seen)
-        many = first[key + 1] - first[key]
-        which = np.repeat(first[key] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.empty(0, np.int64)
-        begin = np.repeat(start[at], many) - offset[which]
-        row = step.row[np.repeat(start[at], many)]
-        w = window[which]
-        # Position: not before the document's first word. Length: not beyond its last.
-        fits = (begin >= step.first[row]) & (begin + windows.lengths[w] <= step.last[row])
-        begin, w = begin[fits], w[fits]
-        same = span_hashes(step.sums, begin, begin + windows.lengths[w], WORD_POWERS) == windows.whole[w]
-        out += [(b, i) for b, i in zip(begin[same].tolist(), w[same].tolist()) if tuple(step.words(b, b + len(windows.words[i]))) == windows.words[i]]
-    return out
-
-
-def rarity(docs: DataFrame, windows: Windows) -> dict[int, np.ndarray]:
-    """The number of places of each token of the windows in all documents."""
-    handle = docs.sparkSession.sparkContext.broadcast((windows.vocabulary, {n: seen_in(v) for n, v in windows.vocabulary.items()}))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, seen = handle.value
-        sums = {n: np.zeros(len(v), np.int64) for n, v in vocabulary.items()}
+    def words(self, first: int, last: int) -> bytes:
+        return b" ".join(self.low[a:b].tobytes() for a, b in zip(self.starts[first:last], self.ends[first:last]))
+
+
+def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(item, words, n, width, tokens) for each window of items (item, text): its words, their number, its shingles' width and hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offsets in steps(batch.column(1)):
+            for low, _, data, offsets in steps(batch.column(1)):
                 step = Step(data, offsets)
-                for n, keys in vocabulary.items():
-                    sums[n] += np.bincount(matched(step.shingles(n)[1], keys, seen[n])[1], minlength=len(keys))
-        for n, v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), n, np.int64)), pa.array(at), pa.array(v[at])], names=["width", "token", "n"])
+                size = np.minimum(step.n_words, window)
+                many = np.where(size > 0, step.n_words - size + 1, 0)
+                row = np.repeat(np.arange(len(many)), many)
+                begin = step.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+                n = size[row]
+                width = np.minimum(n, shingle)
+                held = n - width + 1
+                at = np.repeat(begin - (np.cumsum(held) - held), held) + np.arange(held.sum())
+                tokens = span_hashes(step.sums, at, at + np.repeat(width, held), WORD_POWERS)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(held)).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                words = pa.array([step.words(a, b).decode() for a, b in zip(begin.tolist(), (begin + n).tolist())], pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(low + row)), words, pa.array(n), pa.array(width), lists], names=["item", "words", "n", "width", "tokens"])
+
+    return map_batches(items.select("item", "text"), run, f"item {items.schema['item'].dataType.simpleString()}, words string, n long, width long, tokens array<long>")
+
+
+class Bitmap:
+    """The high bits of some 64-bit hashes, as a first test; false positives are possible, misses are not."""
+
+    def __init__(self, hashes: DataFrame, n: int):
+        """hashes: one column `token`; n: about how many."""
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+        place = F.shiftrightunsigned("token", 64 - self.bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - self.bits}) & 63 as int))")
+        # A row for each 64 bits of the bitmap at the most, so bounded.
+        words = hashes.select(F.shiftright(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes >> np.uint64(64 - self.bits)
+        return np.flatnonzero(self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
+
+
+def rarity(docs: DataFrame, seen: Bitmap, widths: list[int]) -> DataFrame:
+    """(token, n): places in docs (row, text, id) of the shingles in the bitmap."""
+    handle = docs.sparkSession.sparkContext.broadcast(seen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in steps(batch.column(0)):
+                step = Step(data, offsets)
+                for width in widths:
+                    hashes = step.shingles(width)[1]
+                    token, n = np.unique(hashes[handle.value(hashes)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], names=["token", "n"])
 
-    counts = {n: np.zeros(len(v), np.int64) for n, v in windows.vocabulary.items()}
-    for r in map_batches(docs, count, "width long, token long, n long").groupBy("width", "token").agg(F.sum("n").alias("n")).collect():
-        counts[r["width"]][r["token"]] = r["n"]
-    return counts
+    return map_batches(docs.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def hits(docs: DataFrame, windows: Windows, id_type: str, item_type: str) -> DataFrame:
-    """row, id, n_words, spans (of words from 0, merged) and items for each row of docs (row, text, id)."""
-    handle = docs.sparkSession.sparkContext.broadcast(windows)
-    schema = f"row long, id {id_type}, n_words long, spans {SPANS}, items array<{item_type}>"
+def probes_of(docs: DataFrame, seen: Bitmap, widths: list[int], window: int) -> DataFrame:
+    """For each row of docs (row, text, id) one row with its id and n_words and no token, and one for each place of a
+    shingle in the bitmap: token, at (its first word), and around it the words (`near`) that a window may take, `lead` of them before."""
+    handle = docs.sparkSession.sparkContext.broadcast(seen)
+    schema = f"row long, id {docs.schema['id'].dataType.simpleString()}, n_words long, token long, at long, near string, lead long"
+    names = ["row", "id", "n_words", "token", "at", "near", "lead"]
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = handle.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, items = np.zeros(batch.num_rows, np.int64), [[]] * batch.num_rows, [[]] * batch.num_rows
+            n_words = np.zeros(batch.num_rows, np.int64)
+            ids = batch.column(2)
             for low, high, data, offsets in steps(batch.column(1)):
                 step = Step(data, offsets)
                 n_words[low:high] = step.n_words
-                by_row = defaultdict(list)
-                for b, w in occurrences(step, windows):
-                    by_row[int(step.row[b])].append((b - int(step.first[step.row[b]]), w))
-                for row, found in by_row.items():
-                    spans[low + row] = [{"first": a, "last": b} for a, b in merged((a, a + len(windows.words[w])) for a, w in found)]
-                    items[low + row] = [windows.items[i] for i in sorted({i for w in {w for _, w in found} for i in windows.holders[w]})]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(n_words), pa.array(spans, pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64()}))), pa.array(items, pa.list_(ITEM[item_type]))],
-                names=["row", "id", "n_words", "spans", "items"],
-            )
-
-    return map_batches(docs, find, schema)
+                for width in widths:
+                    start, hashes = step.shingles(width)
+                    found = handle.value(hashes)
+                    at, row = start[found], step.row[start[found]]
+                    first, last = np.maximum(at - (window - width), step.first[row]), np.minimum(at + window, step.last[row])
+                    near = pa.array([step.words(a, b).decode() for a, b in zip(first.tolist(), last.tolist())], pa.string())
+                    held = [batch.column(0).take(pa.array(low + row)), pa.nulls(len(at), ids.type), pa.array(step.n_words[row])]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(hashes[found].view(np.int64)), pa.array(at - step.first[row]), near, pa.array(at - first)], names=names)
+            none = pa.nulls(batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(n_words), none, none, pa.nulls(batch.num_rows, pa.string()), none], names=names)
 
+    return map_batches(docs.select("row", "text", "id"), run, schema)
 
-ITEM = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
+def merged(docs: DataFrame, id_col: str) -> DataFrame:
+    """docs (row, id, n_words, spans, items) with spans that overlap or touch made one; no span for null."""
+    kind = pa.list_(pa.struct({"first": pa.int64(), "last": pa.int64()}))
 
-def merged(spans) -> list[tuple[int, int]]:
-    out = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for found in batch.column(3):
+                if not found.is_valid:
+                    out.append([])
+                    continue
+                first, last = (found.values.field(f).to_numpy() for f in ("first", "last"))
+                order = np.argsort(first, kind="stable")
+                first, last = first[order], np.maximum.accumulate(last[order])
+                head = np.flatnonzero(np.append(True, first[1:] > last[:-1]))
+                tail = np.append(head[1:], len(first)) - 1
+                out.append([{"first": a, "last": b} for a, b in zip(first[head].tolist(), last[tail].tolist())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, kind), batch.column(4)], names=["row", id_col, "n_words", "spans", "items"])
+
+    kinds = dict(docs.dtypes)
+    return map_batches(docs.select("row", "id", "n_words", "spans", "items"), run, f"row long, `{id_col}` {kinds['id']}, n_words long, spans {SPANS}, items {kinds['items']}")
 
 
 def contamination(
@@ -203,47 +172,43 @@ def contamination(
     window: int = 13,
     shingle: int = 5,
     share: int = 20,
-    block_bytes: int = 8 << 20,
     row_col: str | None = None,
 ) -> DataFrame:
     """One row per row of docs: row, the id column, n_words, spans, items, n_hit, contaminated.
 
-    spans: the maximal runs of hit words (first, last + 1). items: the items with windows that occur, distinct.
+    spans: the maximal runs of hit words (first, last + 1). items: the items with windows that occur, distinct and sorted.
     contaminated: some word is hit and n_hit is at least a `share`-th of n_words. Null and empty text has no words.
     Items without words, with null text or null id are passed over; a repeated item counts once. With no item every
-    document is clean; no documents give no rows. Null and repeated document ids give rows of their own. Other columns
-    are ignored.
+    document is clean; no documents give no rows. Null and repeated document ids give rows of their own. Ids may be of
+    any type that can be grouped. Other columns are ignored. `row` is the column row_col if that is given, else numbered anew.
     """
-    item_type, id_type = (docs_.schema[c].dataType.simpleString() for docs_, c in ((benchmark, item_col), (docs, id_col)))
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-size // block_bytes))
+    raw = table(windows_of(items, window, shingle))
+    # A window's words decide all else of it.
+    windows = table(raw.groupBy("words").agg(*[F.first(c).alias(c) for c in ("n", "width", "tokens")]))
+    tokens = windows.select("words", "n", "width", F.posexplode("tokens").alias("offset", "token"))
+    said = windows.agg(F.sum(F.size("tokens")).alias("n"), F.collect_set("width").alias("widths")).first()
+    widths = sorted(said["widths"])
+
     rows = docs.select(row_number(row_col).alias("row"), text_or_empty(text_col).alias("text"), F.col(id_col).alias("id"))
-    found = []
-    for block in range(blocks):
-        # toLocalIterator: of the benchmark, the driver holds one block at a time.
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        windows = Windows([(r["item"], r["text"]) for r in part.toLocalIterator()], window, shingle)
-        windows.choose(rarity(rows, windows))
-        found.append(hits(rows, windows, id_type, item_type))
-    if blocks == 1:
-        out = found[0]
-    else:
-        every = reduce(DataFrame.unionByName, found).groupBy("row").agg(
-            F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
-        )
-        out = every.withColumns({"spans": joined_spans("spans"), "items": F.array_sort(F.array_distinct("items"))})
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"])
-    out = out.withColumn("n_hit", n_hit)
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).withColumnRenamed("id", id_col)
-
-
-def joined_spans(spans: str):
-    """Spans that overlap or touch become one."""
-
-    def add(s, x):
-        last = F.element_at(s, -1)
-        grown = F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"))))
-        return F.when((F.size(s) > 0) & (F.try_element_at(s, F.lit(-1))["last"] >= x["first"]), grown).otherwise(F.concat(s, F.array(x)))
-
-    return F.aggregate(F.array_sort(spans), F.array().cast(SPANS), add)
+    counts = table(rarity(rows, Bitmap(tokens.select("token"), said["n"] or 0), widths))
+    # A token that is not counted is nowhere, and so is a window that holds it.
+    rarest = F.min(F.struct(F.coalesce(F.col("places"), F.lit(0)).alias("places"), "token", "offset")).alias("x")
+    chosen = tokens.join(counts.withColumnRenamed("n", "places"), "token", "left").groupBy("words", "n", "width").agg(rarest)
+    chosen = table(chosen.where("x.places > 0").select("words", "n", "width", "x.token", "x.offset"))
+
+    probes = table(probes_of(rows, Bitmap(chosen.select("token"), chosen.count()), [r["width"] for r in chosen.select("width").distinct().collect()], window))
+    # Position: not before the document's first word. Length: not beyond its last.
+    begin = F.col("at") - F.col("offset")
+    fits = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
+    here = F.array_join(F.slice(F.split("near", " "), (F.col("lead") - F.col("offset") + 1).cast("int"), F.col("n").cast("int")), " ")
+    met = probes.where("token is not null").join(chosen, "token").where(fits).where(here == F.col("words"))
+    met = table(met.select("row", begin.alias("first"), (begin + F.col("n")).alias("last"), "words"))
+    spans = met.groupBy("row").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    held = met.select("row", "words").distinct().join(table(raw.select("words", "item").distinct()), "words")
+    named = held.groupBy("row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    out = probes.where("token is null").select("row", "id", "n_words").join(spans, "row", "left").join(named, "row", "left")
+    none = F.array().cast(dict(named.dtypes)["items"])
+    out = merged(out.withColumn("items", F.coalesce("items", none)), id_col)
+    out = out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["last"] - x["first"]))
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

@@ -41,7 +41,25 @@ def test_items(spark, odd, texts):
     benchmark = spark.createDataFrame([(*i, "x", 2) for i in items], "item_id long, text string, row string, n int")
     wanted = brute(texts, items)
     assert result(decontaminate.contamination(odd, benchmark)) == wanted
-    assert result(decontaminate.contamination(odd, benchmark, block_bytes=200)) == wanted
+
+
+def test_a_crowded_bitmap_misses_nothing(spark, odd, texts, monkeypatch):
+    """With 64 bits every shingle is a probe."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 6)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 6)
+    items = [(i, " ".join(words(t)[5:30])) for i, (_, t) in enumerate(texts[:12])] + [(50, "of une"), (51, "une")]
+    assert result(decontaminate.contamination(odd, spark.createDataFrame(items, "item_id long, text string"))) == brute(texts, items)
+
+
+def test_a_large_benchmark(spark, tmp_path):
+    """8 MB of items in over a million windows: nothing of it passes through the driver."""
+    text = "array_join(transform(sequence(1, 130), i -> concat('w', pmod(xxhash64(id, i), 9000))), ' ')"
+    spark.range(10_000).selectExpr("id as item_id", f"{text} as text").write.parquet(f"{tmp_path}/items")
+    items = spark.read.parquet(f"{tmp_path}/items")
+    docs = items.where("item_id < 50").selectExpr("item_id as doc_id", "concat('x y z ', text, ' x y z') as text").union(spark.range(1000, 1050).selectExpr("id as doc_id", f"{text} || ' z' as text"))
+    docs = docs.union(spark.range(20_000, 20_050).selectExpr("id as doc_id", f"{text} as text"))
+    rows = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert rows == {i: (136, 130, [i]) for i in range(50)} | {i: (131, 130, [i]) for i in range(1000, 1050)} | {i: (130, 0, []) for i in range(20_000, 20_050)}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None)], [(1, " ")]])
@@ -57,6 +75,8 @@ def test_empty(spark, empty):
 def test_string_ids(spark):
     docs = spark.createDataFrame([("a", "one two three"), (None, "two")], "doc_id string, text string")
     items = spark.createDataFrame([("i", "two"), ("j", "four")], "item_id string, text string")
+    small = items.selectExpr("cast(ascii(item_id) as smallint) as item_id", "text")
+    assert [r["items"] for r in decontaminate.contamination(docs, small).where("doc_id = 'a'").collect()] == [[105]]
     assert sorted(map(repr, ((r["doc_id"], r["items"]) for r in decontaminate.contamination(docs, items).collect()))) == ["('a', ['i'])", "(None, ['i'])"]
 
 
