@@ -2,10 +2,12 @@
 
 A word's features are its affixes (the first 1 to 3 and the last 1 to 4 bytes), its n-grams of bytes with the word's
 ends, and the word itself if it is in the lexicon, the frequent words of the training texts. Transitions between words are
-learned as well. Sequences are runs of at most `SPAN` words; forward-backward, in numpy over many sequences at
-once, gives each word's probabilities. A document's language is the one with the largest mean over its words.
+learned as well. A document is one chain, however long: forward-backward, in numpy over many runs of `SPAN` words at once,
+gives each word's probabilities, and the messages that pass from run to run are carried by each run's product of
+matrices, so the runs leave no seam. A document's language is the one with the largest mean over its words.
 
-The training sequences are half taken as they are and half spliced from two texts, so that switches occur.
+The training sequences, of at most `SPAN` words, are half taken as they are and half spliced from two texts, so that
+switches occur.
 """
 
 from __future__ import annotations
@@ -95,38 +97,72 @@ def sequences(row: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray
     return np.cumsum(place == 0) - 1, place
 
 
-def forward_backward(scores: np.ndarray, present: np.ndarray, transitions: np.ndarray, pairs: bool = False):
+def forward_backward(scores: np.ndarray, present: np.ndarray, transitions: np.ndarray, pairs: bool = False, before: np.ndarray | None = None, after: np.ndarray | None = None):
     """Probabilities (sequences, places, languages) of words laid out in rows, absent places at the end.
 
-    With pairs also the expected number of each transition.
+    before: what the words before a sequence say of its first word (by language; all ones at a text's start); after: what
+    those after it say of its last one. With pairs also the expected number of each transition.
     """
     n, t, k = scores.shape
     e = np.exp(scores - scores.max(2, keepdims=True))
     step = np.exp(transitions - transitions.max())
     ahead, back = np.empty_like(e), np.empty_like(e)
-    a = e[:, 0] / e[:, 0].sum(1, keepdims=True)
+    a = e[:, 0] if before is None else before * e[:, 0]
+    a = a / a.sum(1, keepdims=True)
     ahead[:, 0] = a
     for i in range(1, t):
         a = (a @ step) * e[:, i]
         a /= a.sum(1, keepdims=True)
         ahead[:, i] = a
-    b = np.ones((n, k), e.dtype)
+    b = np.ones((n, k), e.dtype) if after is None else after
     expected = np.zeros((k, k))
     for i in range(t - 1, -1, -1):
         back[:, i] = b
         if i:
-            c = np.where(present[:, i, None], b * e[:, i], 1.0)
             if pairs:
                 on = present[:, i]
                 joint = ahead[on, i - 1, :, None] * step * (e[on, i] * back[on, i])[:, None, :]
                 expected += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-            b = np.where(present[:, i, None], c @ step.T, 1.0)
-            b /= b.sum(1, keepdims=True)
+            c = (b * e[:, i]) @ step.T
+            b = np.where(present[:, i, None], c / c.sum(1, keepdims=True), b)
     p = ahead * back
     p /= p.sum(2, keepdims=True)
     return (p, expected) if pairs else p
 
 
+def messages(scores: np.ndarray, present: np.ndarray, head: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`before` and `after` of each sequence, where those of a text follow each other and `head` marks a text's first."""
+    n, t, k = scores.shape
+    before, after = np.ones((n, k), scores.dtype), np.ones((n, k), scores.dtype)
+    later = np.flatnonzero(~head)
+    if not len(later):
+        return before, after
+    e = np.exp(scores - scores.max(2, keepdims=True))
+    step = np.exp(transitions - transitions.max()).astype(scores.dtype)
+    # Of each sequence but a text's first, what leads from the word before it to its last word; of a first one, from its first word.
+    through = np.where(head[:, None, None], np.eye(k, dtype=scores.dtype), step) * e[:, 0, None, :]
+    for i in range(1, t):
+        on = np.flatnonzero(present[:, i])
+        m = (through[on].reshape(-1, k) @ step).reshape(-1, k, k) * e[on, i, None, :]
+        through[on] = m / m.max((1, 2), keepdims=True)
+    first = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    rank = np.arange(n) - first
+    by_rank = np.argsort(rank, kind="stable")
+    edges = np.searchsorted(rank[by_rank], np.arange(rank.max() + 2))
+    ranked = [by_rank[a:b] for a, b in zip(edges[:-1], edges[1:])]
+    last = np.ones((n, k), scores.dtype)  # what a sequence's words, and those before, say of its last one
+    for r, at in enumerate(ranked):
+        m = (np.ones((len(at), 1, k), scores.dtype) if r == 0 else last[at - 1][:, None, :]) @ through[at]
+        last[at] = m[:, 0] / m.sum((1, 2))[:, None]
+        if r:
+            m = last[at - 1] @ step
+            before[at] = m / m.sum(1, keepdims=True)
+    for at in ranked[:0:-1]:
+        m = (through[at] @ after[at][:, :, None])[:, :, 0]
+        after[at - 1] = m / m.sum(1, keepdims=True)
+    return before, after
+
+
 def word_probabilities(words: Words, model: Model) -> np.ndarray:
     e = emissions(words, model).astype(np.float32)
     if not len(e):
@@ -136,7 +172,27 @@ def word_probabilities(words: Words, model: Model) -> np.ndarray:
     present = np.zeros(scores.shape[:2], bool)
     scores[sequence, place] = e
     present[sequence, place] = True
-    return forward_backward(scores, present, model.transitions.astype(np.float32))[sequence, place]
+    row = words.row[place == 0]
+    transitions = model.transitions.astype(np.float32)
+    before, after = messages(scores, present, np.append(True, row[1:] != row[:-1]), transitions)
+    return forward_backward(scores, present, transitions, False, before, after)[sequence, place]
+
+
+def ascent(e: np.ndarray, lengths: np.ndarray, truth: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of the conditional log-likelihood, by the words' scores e (of sequences laid end to end) and by transitions."""
+    k = e.shape[1]
+    s = np.repeat(np.arange(len(lengths)), lengths)
+    p = np.arange(len(e)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    scores = np.zeros((len(lengths), lengths.max(), k))
+    present = np.zeros(scores.shape[:2], bool)
+    scores[s, p], present[s, p] = e, True
+    prob, expected = forward_backward(scores, present, transitions, True)
+    g = -prob[s, p]
+    g[np.arange(len(e)), truth] += 1
+    seen = np.zeros((k, k))
+    inner = p[1:] > 0
+    np.add.at(seen, (truth[:-1][inner], truth[1:][inner]), 1)
+    return g, seen - expected
 
 
 def fit(words: Words, truth: np.ndarray, languages: list[str], epochs: int = 3, batch: int = 256, rate: float = 0.2, seed: int = 7) -> Model:
@@ -166,29 +222,19 @@ def fit(words: Words, truth: np.ndarray, languages: list[str], epochs: int = 3,
             chosen = [runs[i] for i in part]
             at = np.concatenate(chosen)
             lengths = np.array([len(c) for c in chosen])
-            s = np.repeat(np.arange(len(chosen)), lengths)
-            p = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             n = counts[at]
             gram_at = np.repeat(words.first[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             grams, owner = words.grams[gram_at], np.repeat(np.arange(len(at)), n)
             w = model.weights
             e = np.add.reduceat(w[grams], np.cumsum(n) - n, axis=0) + w[words.affixes[at]].sum(1) + w[lex[at]]
-            scores = np.zeros((len(chosen), lengths.max(), k))
-            present = np.zeros(scores.shape[:2], bool)
-            scores[s, p], present[s, p] = e, True
-            prob, expected = forward_backward(scores, present, model.transitions, True)
-            g = -prob[s, p]
-            g[np.arange(len(at)), truth[at]] += 1
+            g, g_t = ascent(e, lengths, truth[at], model.transitions)
             features = np.concatenate([grams, words.affixes[at].ravel(), lex[at]])
             owners = np.concatenate([owner, np.repeat(np.arange(len(at)), 7), np.arange(len(at))])
             touched, inverse = np.unique(features, return_inverse=True)
             grad = np.stack([np.bincount(inverse, g[owners, j], len(touched)) for j in range(k)], 1) / len(chosen)
             squares[touched] += grad**2
             model.weights[touched] += rate * grad / np.sqrt(squares[touched])
-            seen = np.zeros((k, k))
-            inner = p[1:] > 0
-            np.add.at(seen, (truth[at][:-1][inner], truth[at][1:][inner]), 1)
-            grad = (seen - expected) / len(chosen)
+            grad = g_t / len(chosen)
             squares_t += grad**2
             model.transitions += rate * grad / np.sqrt(squares_t)
     # No language's words count double for its share in the sample: only the features and the switches speak.
@@ -238,7 +284,7 @@ class Found:
 
 
 def predict(texts: pa.Array, model: Model, runs: bool = False) -> Found:
-    """The language, its score, the number of words and (if asked for) the runs of words, for each text."""
+    """The language, its score, the number of words and (if asked for) the runs of words, for each text; a text is one chain."""
     k, rows = len(model.languages), len(texts)
     out = Found(np.full(rows, "und", object), np.zeros(rows), np.zeros(rows, np.int64), [[]] * rows)
     for low, high, data, offsets in steps(texts) if k else ():

@@ -1,10 +1,12 @@
 """License scan by an exact set-similarity join of text blocks against license templates.
 
-A block is a line of a document. A template matches a block when at least `threshold` of the template's distinct words
-are among the block's. Candidates come from a prefix-filtered join: words are ordered by how many blocks hold them, the
-rarest first; a pair that shares c words has one in common among the first |T| - c + 1 of the template and the first
-|B| - c + 1 of the block. Length and positional bounds drop pairs before the exact check. Stock phrases (words that
-stand consecutively) are counted besides.
+A template matches where a run of a document's words, a quarter longer than the template, holds at least `threshold` of
+the template's distinct words; line breaks and what else stands between words count for nothing, so a notice may be
+wrapped. Runs lie in blocks: pieces of as many words as the longest run, each with the next one. Candidates come from a
+prefix-filtered join of blocks with templates: words are ordered by the number of their places, the rarest first; a pair
+that shares c words has one in common among the first |T| - c + 1 of the template and the first |B| - c + 1 of the block.
+Length and positional bounds drop pairs before the exact check, which looks at the runs. Stock phrases (words that stand
+consecutively) are counted besides.
 
 DataFrame functions only. The templates are a parameter of at most MAX_WORDS words, so they are small by contract.
 """
@@ -59,12 +61,13 @@ def places(spaced: Column, words: Column, phrase: str) -> Column:
     return F.when(F.contains(spaced, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
 
-def template_table(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str]]]:
-    """Number, label and distinct words of each template."""
-    table = [(i, label, sorted({w for w in re.split(GAP, text.lower()) if w})) for i, (label, text) in enumerate(templates)]
-    if sum(len(words) for *_, words in table) > MAX_WORDS:
+def template_table(templates: list[tuple[str, str]]) -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words and length of run of each template."""
+    cut = [(i, label, [w for w in re.split(GAP, text.lower()) if w]) for i, (label, text) in enumerate(templates)]
+    table = [(i, label, sorted(set(words)), math.ceil(1.25 * len(words))) for i, label, words in cut if words]
+    if sum(len(words) for _, _, words, _ in table) > MAX_WORDS:
         raise ValueError(f"templates hold more than {MAX_WORDS} words")
-    return [t for t in table if t[2]]
+    return table
 
 
 def word_ranks(docs: DataFrame, vocabulary: list[str], text_col: str = "text") -> dict[str, int]:
@@ -92,15 +95,16 @@ def license_scan(
     """
     spark = docs.sparkSession
     table = template_table(templates)
-    vocabulary = sorted({w for *_, words in table for w in words})
+    vocabulary = sorted({w for _, _, words, _ in table for w in words})
     rank = word_ranks(docs, vocabulary, text_col)
     prefixes = []
-    for i, label, words in table:
+    for i, label, words, run in table:
         words.sort(key=rank.get)
         least = math.ceil(threshold * len(words) - 1e-9)
-        prefixes += [(w, i, label, words, at, len(words), least) for at, w in enumerate(words[: len(words) - least + 1])]
-    template_words = spark.createDataFrame(prefixes, "word string, template int, label string, words array<string>, at int, size int, least int")
+        prefixes += [(w, i, label, words, at, len(words), least, run) for at, w in enumerate(words[: len(words) - least + 1])]
+    template_words = spark.createDataFrame(prefixes, "word string, template int, label string, words array<string>, at int, size int, least int, run int")
     rare = sorted({p[0] for p in prefixes})
+    longest = max((run for *_, run in table), default=1)
 
     docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     # Cut into words once; what follows refers to the column, so that no expression cuts them again.
@@ -108,10 +112,13 @@ def license_scan(
     spaced = spaced.withColumns({f"at_{i}": places(F.col("spaced"), F.col("words"), p) for i, p in enumerate(phrases)})
     found = F.concat(*[F.col(f"at_{i}") for i in range(len(phrases))])
     base = F.filter(F.array(*[F.when(F.size(f"at_{i}") > 0, F.lit(label)) for i, label in enumerate(phrases.values())]), lambda x: x.isNotNull())
-    # Only documents that hold a word of some template's prefix are cut into blocks.
+    # Only documents that hold a word of some template's prefix are cut into blocks; of them only blocks that do go on.
     has_rare = F.arrays_overlap("words", F.lit(rare))
-    blocks = F.transform(F.split("text", "\n"), lambda x: F.split(F.trim(words_of(x)), " "))
-    blocks = F.filter(blocks, lambda x: F.arrays_overlap(x, F.lit(rare)))
+    # One pass cuts the words into pieces; `pieces` is a column, so that a block finds its two without cutting again.
+    pieces = F.regexp_extract_all(F.ltrim("spaced"), F.lit(f"(?:[^ ]++ ){{1,{longest}}}+"), F.lit(0))
+    spaced = spaced.withColumn("pieces", F.when(has_rare, pieces))
+    block = lambda i: F.split(F.rtrim(F.concat(F.get("pieces", i), F.coalesce(F.get("pieces", i + 1), F.lit("")))), " ")
+    blocks = F.filter(F.transform(F.sequence(F.lit(0), F.size("pieces") - 1), block), lambda x: F.arrays_overlap(x, F.lit(rare)))
     per_doc = spaced.select(
         "row",
         "id",
@@ -120,7 +127,7 @@ def license_scan(
         F.array_min(found).cast("long").alias("first_word"),
         F.array_max(found).cast("long").alias("last_word"),
         base.alias("base"),
-        F.explode_outer(F.when(has_rare, blocks)).alias("block"),
+        F.explode_outer(F.when(F.size("pieces") > 0, blocks)).alias("block"),
     )
     # The block's template words by rank; others can't add to what is shared.
     ranked = F.map_from_arrays(F.lit([w for w in rank]), F.lit([rank[w] for w in rank]))
@@ -136,7 +143,10 @@ def license_scan(
         & (F.col("b_at") <= F.size("held") - F.col("least"))
         & (1 + F.least(F.col("size") - F.col("at") - 1, F.size("held") - F.col("b_at") - 1) >= F.col("least"))
     )
-    shared = F.when(possible, F.size(F.array_intersect("words", "held")))
+    # The exact check: runs that start with a word of the template, as the others hold no more.
+    starts = F.filter(F.sequence(F.lit(1), F.size("block")), lambda i: F.array_contains("words", F.element_at("block", i)))
+    runs = F.transform(starts, lambda i: F.size(F.array_intersect("words", F.slice("block", i, F.col("run")))))
+    shared = F.when(possible & (F.size(F.array_intersect("words", "held")) >= F.col("least")), F.array_max(runs))
     share = F.when(shared >= F.col("least"), shared / F.col("size"))
     pairs = pairs.withColumn("share", share)
     keys = ["row", "id", "n_words", "n_base", "first_word", "last_word"]

@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from millrace.llm.common import text_or_empty
+from millrace.sources.shared import table
 
 #: The multiplier of the generator in the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -50,33 +52,45 @@ def jump_hash(key: Column, *shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(max(shards) + 1)), start, step)
 
 
+#: A boundary id's rows are counted in so many parts, in which equal texts are dealt out too.
+PARTS = 64
+
+
+def shard_key(docs: DataFrame, id_col: str) -> Column:
+    """What places a row: a whole number itself, an id of another type by its text's hash. Null stays null."""
+    return F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string")))
+
+
 def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = 256) -> DataFrame:
     """One row per row of docs: the id column, size, text_crc32, law ('key'), shard, slot, grown_shard (with one more).
 
-    size: UTF-8 bytes of the text (null: none) plus 1. slot counts from 0 without gaps in each shard, by (id,
-    text_crc32); null ids come last; rows alike in both are numbered in any order. A null id is placed as 0. An empty
-    table gives no rows. Other columns are ignored.
+    size: UTF-8 bytes of the text (null: none) plus 1. Whole numbers are keys themselves, ids of other types by the hash
+    of their text; a null id is placed as 0. slot counts from 0 without gaps in each shard, by ranges of keys; rows of
+    one id are numbered in any order. An empty table gives no rows. Other columns are ignored.
 
-    Slots need no shard in one task: ids are cut into ranges at quantiles, an id that is a boundary (so perhaps a
-    frequent one) is a range of its own cut again by its text's CRC, and a range's first slot comes from the counts.
+    Slots need no shard in one task: keys are cut into ranges at quantiles, a key that is a boundary (so perhaps a
+    frequent one) is a range of its own, cut again by its texts and within equal texts, and a range's first slot comes from
+    the counts. What decides a slot is written once, without the texts, so counts and numbers agree.
     """
     data = F.encode(text_or_empty(text_col), "UTF-8")
-    jump = jump_hash(F.col(id_col), shards, shards + 1)
-    edges = docs.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 10000).alias("e")).first()["e"] or []
+    key = shard_key(docs, id_col)
+    rows = docs.select(
+        F.col(id_col).alias("id"), key.alias("key"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), jump_hash(key, shards, shards + 1).alias("jump"), F.monotonically_increasing_id().alias("row")
+    )
+    rows = table(rows.select("id", "key", "size", "text_crc32", "row", F.col(f"jump.s{shards}").cast("int").alias("shard"), F.col(f"jump.s{shards + 1}").cast("int").alias("grown_shard")))
+    edges = rows.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10000).alias("e")).first()["e"] or []
     edges = sorted(set(edges))
-    rows = docs.select(F.col(id_col), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), jump.alias("jump"))
-    rows = rows.withColumns({"shard": F.col(f"jump.s{shards}").cast("int"), "grown_shard": F.col(f"jump.s{shards + 1}").cast("int")}).drop("jump")
     at = F.lit(len(edges) * 2 + 1)
     if edges:
         edge = F.lit(edges)
-        at = F.when(F.col(id_col).isNull(), at).otherwise(2 * F.size(F.filter(edge, lambda x: x < F.col(id_col))) + F.array_contains(edge, F.col(id_col)).cast("int"))
-    within = F.when(at % 2 == 1, F.shiftright(F.col("text_crc32"), 22)).otherwise(F.lit(0).cast("long"))
+        at = F.when(F.col("key").isNull(), at).otherwise(2 * F.size(F.filter(edge, lambda x: x < F.col("key"))) + F.array_contains(edge, F.col("key")).cast("int"))
+    within = F.when(at % 2 == 1, F.pmod(F.xxhash64("text_crc32", "row"), F.lit(PARTS))).otherwise(F.lit(0).cast("long"))
     rows = rows.withColumns({"range": at, "within": within})
     counts = rows.groupBy("shard", "range", "within").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("range", "within").rowsBetween(W.unboundedPreceding, -1)
     firsts = counts.select("shard", "range", "within", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    inside = W.partitionBy("shard", "range", "within").orderBy(F.col(id_col).asc_nulls_last(), "text_crc32")
+    inside = W.partitionBy("shard", "range", "within").orderBy(F.col("key").asc_nulls_last(), "text_crc32", "row")
     placed = rows.withColumn("at", F.row_number().over(inside)).join(firsts, ["shard", "range", "within"])
     return placed.select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("at") - 1).cast("long").alias("slot"), "grown_shard"
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("at") - 1).cast("long").alias("slot"), "grown_shard"
     )

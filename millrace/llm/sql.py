@@ -21,15 +21,14 @@ def _license() -> str:
     found = ", ".join(f"{_places(p)} AS p{i}" for i, p in enumerate(PHRASES))
     every = "flatten([" + ", ".join(f"p{i}" for i in range(len(PHRASES))) + "])"
     base = "list_filter([" + ", ".join(f"CASE WHEN len(p{i}) > 0 THEN '{x}' END" for i, x in enumerate(PHRASES.values())) + "], lambda x: x IS NOT NULL)"
-    templates = ", ".join(f"('{label}', {_list(words)})" for _, label, words in template_table(TEMPLATES))
+    templates = ", ".join(f"('{label}', {_list(words)}, {run})" for _, label, words, run in template_table(TEMPLATES))
     return f"""
 WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, {found} FROM d),
 q AS (SELECT doc_id, n_words, {every} AS places, {base} AS base FROM p),
-lines AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents),
-l AS (SELECT doc_id, list_distinct({WORDS}) AS w FROM lines),
-t(label, words) AS (VALUES {templates}),
-m AS (SELECT doc_id, label, len(list_intersect(words, w)) AS shared, len(words) AS size FROM l, t),
+t(label, words, run) AS (VALUES {templates}),
+m AS (SELECT doc_id, label, len(words) AS size,
+  list_max(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_contains(words, w[i])), lambda i: len(list_intersect(words, w[i:i + run - 1])))) AS shared FROM d, t),
 k AS (SELECT doc_id, list(DISTINCT label) AS more, max(shared / size) AS share FROM m WHERE shared >= ceil(0.8 * size - 1e-9) GROUP BY doc_id)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) - 1 AS first_word, list_max(places) - 1 AS last_word,
   array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,

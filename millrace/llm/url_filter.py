@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ascii_lower
+from millrace.sources.shared import table
 
 
 def host_of(url: Column) -> Column:
@@ -52,11 +53,13 @@ def listed(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url
         return F.floor(F.unix_date(F.to_date(t)) / bucket_days).cast("long")
 
     rows = captures.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(time_col).alias("time"), host_of(F.col(url_col)).alias("host"))
-    end = rows.agg(F.max(span(F.col("time"))).alias("m")).first()["m"]
-    end = F.lit(end if end is not None else 0).cast("long")
-    intervals = validity(entries).withColumn("from", span(F.col("since"))).withColumn("to", F.least(F.coalesce(span(F.col("until")), end), end))
-    dealt = intervals.where(F.col("from") <= F.col("to")).select("list", "domain", "since", "until", F.explode(F.sequence("from", "to")).alias("span"))
+    # Written, without the rest of the captures, as the numbers are used twice.
+    rows = table(rows)
     asked = rows.where(F.col("time").isNotNull() & F.col("host").isNotNull()).select("row", "time", F.explode(domains_of(F.col("host"))).alias("domain"), span(F.col("time")).alias("span"))
+    spans = table(asked.select("domain", "span").distinct())
+    intervals = validity(entries).withColumn("from", span(F.col("since"))).withColumn("to", span(F.col("until")))
+    within = (F.col("span") >= F.col("from")) & (F.col("to").isNull() | (F.col("span") <= F.col("to")))
+    dealt = intervals.join(spans, "domain").where(within).select("list", "domain", "since", "until", "span")
     held = asked.join(dealt, ["domain", "span"]).where((F.col("since") <= F.col("time")) & (F.col("until").isNull() | (F.col("time") < F.col("until"))))
     found = held.groupBy("row").agg(
         F.count(F.lit(1)).alias("n"),

@@ -81,5 +81,16 @@ def test_one_id_for_most_rows(spark):
     check(sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), ranges=16).collect(), rows)
 
 
+@pytest.mark.parametrize("kind", ["string", "decimal(20,2)", "smallint"])
+def test_ids_of_other_types(spark, kind):
+    docs = spark.range(500).selectExpr(f"cast(if(id % 3 = 0, 7, id) as {kind}) as doc_id", "if(id % 3 = 0, 'same', cast(id as string)) as text").union(spark.range(2).selectExpr(f"cast(null as {kind})", "'none'"))
+    rows = sharding.shard(docs, ranges=16).collect()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert len(rows) == 502 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert len({(r["doc_id"], r["shard"], r["grown_shard"]) for r in rows}) == len({r["doc_id"] for r in rows}) and len(slots) == 8
+
+
 def test_shards_empty(empty):
     assert sharding.shard(empty).count() == 0

@@ -18,13 +18,12 @@ def brute(key, text, threshold=0.8):
         found += at
         base |= {label} if at else set()
     more, best = set(), 0.0
-    for block in (text or "").split("\n"):
-        held = set(words(block))
-        for label, template in TEMPLATES:
-            t = set(words(template))
-            if len(t & held) >= math.ceil(threshold * len(t) - 1e-9):
-                more.add(label)
-                best = max(best, len(t & held) / len(t))
+    for label, template in TEMPLATES:
+        t, run = set(words(template)), math.ceil(1.25 * len(words(template)))
+        shared = max((len(t & set(w[i : i + run])) for i in range(len(w))), default=0)
+        if shared >= math.ceil(threshold * len(t) - 1e-9):
+            more.add(label)
+            best = max(best, shared / len(t))
     return key, len(w), len(found), min(found, default=None), max(found, default=None), ",".join(sorted(base)), ",".join(sorted(base | more)), 1.0 if base else best
 
 
@@ -45,5 +44,26 @@ def test_containment_at_the_threshold(spark):
     assert {r["labels"] for r in got} >= {"", "mit"}
 
 
+# Notices as public licenses wrap them.
+WRAPPED = {
+    "mit": "# Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software and associated documentation files (the\n# \"Software\"), to deal in the Software without restriction",
+    "apache-2": "// you may not use this file except in compliance with\n// the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/",
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+    "gpl": "   This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation",
+    "mpl-2": "This Source Code Form is subject to the terms of the\nMozilla Public License, v. 2.0.",
+}
+
+
+def test_wrapped_notices(spark):
+    """Alone, amid much text that ends near the edge of a block, and too far apart to be one notice."""
+    rows = [(i, t) for i, t in enumerate(WRAPPED.values())]
+    rows += [(100 + n, f"{'word ' * n}{WRAPPED['bsd']} {'the of and to a ' * 50}") for n in range(0, 70, 3)]
+    rows += [(500, (" x" * 9 + " ").join(words(WRAPPED["bsd"]))), (501, "the of and to a is in for " * 3000 + WRAPPED["gpl"])]
+    got = license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert order(tuple(r) for r in got) == order(brute(*x) for x in rows)
+    labels = {r["doc_id"]: r["labels"] for r in got}
+    assert [labels[i] for i in range(5)] == list(WRAPPED) and labels[500] == "" and labels[501] == "gpl" and {labels[100 + n] for n in range(0, 70, 3)} == {"bsd"}
+
+
 def test_empty(empty):
     assert license_scan.license_scan(empty).count() == 0

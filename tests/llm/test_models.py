@@ -1,12 +1,17 @@
 """Language ID and quality: held-out accuracy, exact forward-backward, odd documents."""
 
 import itertools
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import language_id, quality
+from millrace.llm.common import BYTE_VALUES, utf8
 from millrace.llm.queries import op4_quality, op7_language_id
 
 
@@ -23,6 +28,74 @@ def test_forward_backward_is_exact():
     assert np.allclose(got[0], marginal / total)
 
 
+@pytest.mark.parametrize("sizes", [[1], [3, 1, 200, 64, 65, 128, 2], [5000, 7]])
+def test_a_text_is_one_chain(sizes):
+    """Runs of 5 words that pass messages give what each text gives as a whole."""
+    rng = np.random.default_rng(sum(sizes))
+    transitions = rng.normal(size=(3, 3)) * 2
+    e, row = rng.normal(size=(sum(sizes), 3)) * 3, np.repeat(np.arange(len(sizes)), sizes)
+    sequence, place = language_id.sequences(row, 5)
+    scores, present = np.zeros((sequence[-1] + 1, 5, 3)), np.zeros((sequence[-1] + 1, 5), bool)
+    scores[sequence, place], present[sequence, place] = e, True
+    own = row[place == 0]
+    messages = language_id.messages(scores, present, np.append(True, own[1:] != own[:-1]), transitions)
+    got = language_id.forward_backward(scores, present, transitions, False, *messages)[sequence, place]
+    for r in range(len(sizes)):
+        whole = language_id.forward_backward(e[None, row == r], np.ones((1, sizes[r]), bool), transitions)[0]
+        assert np.allclose(got[row == r], whole, atol=1e-9)
+
+
+def log_likelihood(e, lengths, truth, transitions):
+    """By enumeration of every path."""
+    out, base = 0.0, 0
+    for n in lengths:
+        weight = lambda path: sum(e[base + i, k] for i, k in enumerate(path)) + sum(transitions[a, b] for a, b in zip(path, path[1:]))  # noqa: B023, E731
+        out += weight(truth[base : base + n]) - np.log(sum(np.exp(weight(p)) for p in itertools.product(range(e.shape[1]), repeat=n)))
+        base += n
+    return out
+
+
+def test_gradient():
+    """Against differences of the log-likelihood."""
+    rng = np.random.default_rng(8)
+    lengths = np.array([3, 1, 4])
+    e, transitions, truth = rng.normal(size=(8, 3)), rng.normal(size=(3, 3)), rng.integers(0, 3, 8)
+    by_e, by_t = language_id.ascent(e, lengths, truth, transitions)
+    for values, gradient in ((e, by_e), (transitions, by_t)):
+        for at in np.ndindex(*values.shape):
+            values[at] += 1e-5
+            up = log_likelihood(e, lengths, truth, transitions)
+            values[at] -= 2e-5
+            down = log_likelihood(e, lengths, truth, transitions)
+            values[at] += 1e-5
+            assert abs((up - down) / 2e-5 - gradient[at]) < 1e-6
+
+
+def test_predictions_by_enumeration():
+    """Short texts, word by word and path by path."""
+    rng = np.random.default_rng(9)
+    k = 3
+    known = language_id.words_of(*utf8(pa.array(["maison haus"])))
+    model = language_id.Model(["a", "b", "c"], rng.normal(size=((1 << language_id.BITS) + 3, k)).astype(np.float32), rng.normal(size=(k, k)), np.sort(known.hashes))
+    texts = ["Maison, une HAUS x1", "Ärger", "the the 12 the", "", "naïve É"]
+    found = language_id.predict(pa.array(texts), model)
+    for text, lang, score, n in zip(texts, found.lang, found.score, found.n_words):
+        words = [w for w in re.split(r"[^A-Za-z\x80-\U0010ffff]+", text) if w]
+        assert n == len(words)
+        if not words:
+            assert (lang, score) == ("und", 0)
+            continue
+        e = np.concatenate([language_id.emissions(language_id.words_of(*utf8(pa.array([w]))), model) for w in words]).astype(float)
+        total, mass = 0.0, np.zeros((len(words), k))
+        for path in itertools.product(range(k), repeat=len(words)):
+            w = np.exp(sum(e[i, c] for i, c in enumerate(path)) + sum(model.transitions[a, b] for a, b in zip(path, path[1:])))
+            total += w
+            for i, c in enumerate(path):
+                mass[i, c] += w
+        mean = (mass / total).mean(0)
+        assert lang == "abc"[mean.argmax()] and abs(score - mean.max()) < 1e-5
+
+
 def test_language_of_held_out_documents(spark, middle):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{middle}/documents.parquet").collect()}
     rows = op7_language_id(spark, middle).collect()
@@ -73,6 +146,67 @@ def area(y, s):
     return (rank[y == 1].sum() - (y == 1).sum() * ((y == 1).sum() + 1) / 2) / ((y == 1).sum() * (y == 0).sum())
 
 
+def plain_ngrams(text: str) -> dict[int, float]:
+    """Feature numbers and values of a text, token by token in plain integers."""
+    full, base = (1 << 64) - 1, 0x9E3779B97F4A7C15 | 1
+
+    def mix(x):
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & full
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & full
+        return x ^ (x >> 31)
+
+    tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[!-/:-@\[-`{-~]+", text.encode())
+    word = [mix((sum(int(BYTE_VALUES[c]) * pow(base, i, 1 << 64) for i, c in enumerate(t.lower())) + len(t) * 0xD6E8FEB86659FD93) & full) for t in tokens]
+    shape, rough = [], []
+    for i, t in enumerate(tokens):
+        upper = sum(65 <= c <= 90 for c in t)
+        case = 0 if not upper else 2 if upper == len(t) else 1
+        again = int(i > 0 and word[i] == word[i - 1])
+        mark = not re.match(rb"[0-9A-Za-z\x80-\xff]", t)
+        shape.append(word[i] if mark else 1000 + min(len(t), 20) * 8 + case * 2 + again)
+        rough.append(word[i] if mark else 10 + case * 2 + again)
+    grams = [mix(w) for w in word] + [mix(x ^ 1 << 40) for x in shape]
+    for values, salt in ((word, 2), (shape, 3), (rough, 4)):
+        grams += [mix((a * 0x9E3779B97F4A7C15 + b + salt) & full) for a, b in zip(values, values[1:])]
+    grams += [mix((((a * 0x9E3779B97F4A7C15 + b) * 0x9E3779B97F4A7C15) + c + 5) & full) for a, b, c in zip(rough, rough[1:], rough[2:])]
+    return {f: n / max(1, len(tokens)) ** 0.5 for f, n in Counter(g >> (64 - quality.BITS) for g in grams).items()}
+
+
+def plain_ftrl(rows, epochs, alpha=0.1, beta=1.0, l1=0.05, l2=1.0):
+    """The published updates, coordinate by coordinate."""
+    z, n = Counter(), Counter()
+    weight = lambda f: 0.0 if abs(z[f]) <= l1 else ((1 if z[f] > 0 else -1) * l1 - z[f]) / ((beta + n[f] ** 0.5) / alpha + l2)
+    for _ in range(epochs):
+        for x, y in rows:
+            w = {f: weight(f) for f in x}
+            p = 1 / (1 + math.exp(-sum(w[f] * v for f, v in x.items())))
+            for f, v in x.items():
+                g = (p - y) * v
+                z[f] += g - ((n[f] + g * g) ** 0.5 - n[f] ** 0.5) / alpha * w[f]
+                n[f] += g * g
+    return {f: weight(f) for f in z}
+
+
+def test_quality_by_plain_updates(spark):
+    """The operator's scores against plain n-grams, updates and dot products, the query's split of rows included."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["the", "The", "HOUSE", "house", "of", "!!", "...", "naïve", "12", "x,y", "of", "of"]
+    texts = {i: " ".join(rng.choice(vocabulary, rng.integers(0, 25))) for i in range(60)} | {60: None, 61: ""}
+    labels = {i: int(rng.integers(0, 2)) for i in range(0, 60, 2)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, y, 0) for i, y in labels.items()], "doc_id long, quality int, toxic int")
+    held = {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in texts}
+    order = {r["doc_id"]: r["o"] for r in docs.selectExpr("doc_id", "xxhash64(doc_id) as o").collect()}
+    features = {i: plain_ngrams(t or "") | {1 << quality.BITS: 1.0} for i, t in texts.items()}
+    weights = plain_ftrl([(features[i], labels[i]) for i in sorted(labels, key=order.get) if not held[i]], epochs=3)
+    rows = quality.quality(docs, marks).collect()
+    assert len(rows) == 62
+    for r in rows:
+        p = 1 / (1 + math.exp(-sum(weights.get(f, 0.0) * v for f, v in features[r["doc_id"]].items())))
+        assert abs(r["score"] - p) < 1e-5 and r["held_out"] == held[r["doc_id"]] and r["predicted"] == (r["score"] >= 0.5)
+    assert len({round(r["score"], 6) for r in rows}) > 40
+
+
 def test_quality_of_held_out_documents(spark, middle):
     truth = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{middle}/labels.parquet").collect()}
     rows = op4_quality(spark, middle).collect()

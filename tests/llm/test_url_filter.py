@@ -38,6 +38,17 @@ def test_against_replay(spark):
     assert sorted(repr(tuple(r)) for r in got.collect()) == brute(captures, entries)
 
 
+def test_dates_far_off(spark):
+    """They cost no more rows than the captures' own spans."""
+    far, old = dt.date(9999, 12, 31), dt.date(1, 1, 1)
+    captures = [(0, "http://a.com", far), (1, "http://a.com", old), (2, "http://b.org", DAY)]
+    entries = [("ads", h, "add", old + dt.timedelta(i)) for h in ("a.com", "b.org") for i in range(0, 300, 2)] + [("adult", "b.org", "add", DAY), ("adult", "b.org", "remove", far)]
+    rows, dated = spark.createDataFrame(captures, "page_id long, url string, fetched_at date"), spark.createDataFrame(entries, "list string, domain string, action string, at date")
+    found = url_filter.listed(rows, dated)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == brute(captures, entries)
+    assert "sequence(from" not in found._jdf.queryExecution().toString()
+
+
 def test_empty(spark):
     captures = spark.createDataFrame([(1, "http://a.com/", DAY)], "page_id long, url string, fetched_at date")
     entries = spark.createDataFrame([("ads", "a.com", "add", DAY)], "list string, domain string, action string, at date")
