@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,13 +63,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: As many files have their names broadcast, some tens of MB, to number the rows by place.
+MOST_FILES = 200_000
+
+
+def is_scan(df: DataFrame) -> bool:
+    """Whether df is what a file source reads, but for filters and projections, so that each row has a place of its own."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in df.columns}
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df by way of a table, with one more column that numbers its rows, and that column's name.
+    """df with one more column that numbers its rows, and that column's name.
 
-    The numbers are written, so each later job sees the same ones however many cores there are and wherever df comes
-    from; a row number taken anew in each job changes with the splits.
+    Each later job sees the same numbers, however many cores there are and wherever df comes from; a number taken anew in
+    each job changes with the splits. Rows of Parquet files are numbered by their file and place in it, without a copy;
+    others are written with their numbers.
     """
-    name = "row"
-    while name in {c.lower() for c in df.columns}:
-        name += "_"
+    used = {c.lower() for c in df.columns}
+    name, file, place = ("row" + "_" * next(i for i in range(99) if f"row{'_' * i}{end}" not in used) + end for end in ("", "file", "place"))
+    if is_scan(df):
+        try:
+            placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+        except AnalysisException:  # no Parquet files
+            placed = None
+        if placed is not None:
+            # One row a file.
+            files = table(placed.select(file).distinct().withColumn("_n", F.row_number().over(Window.orderBy(file)).cast("long")))
+            if files.count() <= MOST_FILES:
+                at = F.shiftleft("_n", 40).bitwiseOR(F.col(place))
+                return placed.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in df.columns], at.alias(name)), name
     return table(df.withColumn(name, F.monotonically_increasing_id())), name

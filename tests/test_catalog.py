@@ -184,13 +184,18 @@ def test_configuration_is_asked_for_at_once():
     assert [source.said(e) for e in (ValueError("why"), ValueError())] == ["why", "Something went wrong."]
 
 
-def test_numbers_stay_when_the_cores_change(spark, shelf):
-    rows, name = shared.numbered(spark.range(3000).repartition(7, "id").withColumn("row", F.lit(1)))
-    first = {(r["id"], r[name]) for r in rows.collect()}
+@pytest.mark.parametrize("kind", ["files", "filtered files", "csv", "shuffled", "repeated"])
+def test_numbers_stay_when_the_cores_change(spark, kind, tmp_path):
+    spark.range(3000).repartition(7).withColumns({"row": F.lit(1), "text": F.sha2(F.col("id").cast("string"), 512)}).write.format("csv" if kind == "csv" else "parquet").save(f"{tmp_path}/t x")
+    docs = spark.read.schema("id long, row int, text string").format("csv" if kind == "csv" else "parquet").load(f"{tmp_path}/t x")
+    docs = {"filtered files": docs.where("id % 2 = 0").select("id", "row"), "shuffled": docs.repartition(5, "id"), "repeated": docs.union(docs)}.get(kind, docs)
+    rows, name = shared.numbered(docs)
+    assert rows.columns == [*docs.columns, "row_"] and name == "row_"
+    first = sorted((r["id"], r[name]) for r in rows.collect())
     held = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
     try:
-        assert {(r["id"], r[name]) for r in rows.collect()} == first and len({n for _, n in first}) == 3000 and name == "row_"
+        assert sorted((r["id"], r[name]) for r in rows.collect()) == first and len({n for _, n in first}) == len(first) == docs.count()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
