@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
-from millrace.sources.shared import cut, table
+from millrace.sources.shared import table
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
@@ -92,11 +92,11 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
                 near.append(both >= similarity * (len(a) + len(b) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
-    pairs = cut(pairs.distinct())
+    pairs = table(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("row_u", "row_v")).alias("row")).distinct()
-    held = cut(shingle_sets(docs.join(wanted, "row", "left_semi").select("row", "text"), width))
+    held = table(shingle_sets(docs.join(wanted, "row", "left_semi").select("row", "text"), width))
     a, b = (held.select(F.col("row").alias(f"row_{x}"), F.col("held").alias(f"held_{x}")) for x in "uv")
-    return cut(map_batches(pairs.join(a, "row_u").join(b, "row_v").select("u", "v", "held_u", "held_v"), run, "u long, v long").distinct())
+    return table(map_batches(pairs.join(a, "row_u").join(b, "row_v").select("u", "v", "held_u", "held_v"), run, "u long, v long").distinct())
 
 
 def similar_components(
@@ -108,8 +108,8 @@ def similar_components(
     """
     texts = docs.select(F.col(row_col).alias("row"), text_or_empty(text_col).alias("text"))
     ones = rows.where("size > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = cut(ones.select("fp", "row", "size", F.explode("keys").alias("key")))
-    shared = cut(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "key"))
+    keyed = table(ones.select("fp", "row", "size", F.explode("keys").alias("key")))
+    shared = table(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "key"))
 
     def sides(u: DataFrame, v: DataFrame, where) -> DataFrame:
         u, v = (x.select("key", *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in ("key", "n")]) for x, y in ((u, "u"), (v, "v")))
@@ -120,14 +120,14 @@ def similar_components(
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     least = table(many.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("x")).select("key", "x.*"))
     pairs = sides(few, few, F.col("row_u") < F.col("row_v")).unionByName(sides(least, many, F.lit(True)))
-    roots = cut(components(known.select("u", "v").unionByName(verified(pairs, texts, similarity, width))))
+    roots = table(components(known.select("u", "v").unionByName(verified(pairs, texts, similarity, width))))
     # Of crowded bands, what is outside the component that most are in.
     placed = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = cut(placed.select("key", "fp", "row", "size", "root"))
+    placed = table(placed.select("key", "fp", "row", "size", "root"))
     counted = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     main = table(main.select("key", F.col("x.root").alias("main")))
-    apart = cut(placed.join(main, "key").where("root <> main").drop("main"))
+    apart = table(placed.join(main, "key").where("root <> main").drop("main"))
     if apart.isEmpty():
         return roots
     # Of two that are both outside, the one of the lesser row comes first.

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from millrace.llm import minhash
 from millrace.llm.common import map_batches, row_number, text_or_empty
 from millrace.llm.components import components
-from millrace.sources.shared import cut, table
+from millrace.sources.shared import table
 
 SEED = 42
 #: Lowest bit and bits of each segment.
@@ -139,10 +139,10 @@ def links(classes: DataFrame, crowd: int = 48) -> DataFrame:
 
     Below `crowd` classes a key every link is made; at more, links to the least class of each crossing.
     """
-    keyed = cut(segment_keys(classes))
+    keyed = table(segment_keys(classes))
     # Counts and minima are written: Spark splits a frequent key's rows only where no aggregate stands below the join.
     sizes = table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = cut(keyed.join(sizes, "key"))
+    shared = table(keyed.join(sizes, "key"))
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
     pairs = few.withColumnRenamed("fp", "u").join(few.withColumnRenamed("fp", "v"), "key").where(F.col("u") < F.col("v")).where(near(F.col("u"), F.col("v")))
     many = shared.where(F.col("n") > crowd).select("fp").distinct()
@@ -165,12 +165,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if similarity is not None and row_col is None:
         raise ValueError("texts are read again by their row: row_col has to name a written number")
-    rows = cut(fingerprints(docs, id_col, text_col, width, 0 if similarity is None else set_width, row_col))
+    rows = table(fingerprints(docs, id_col, text_col, width, 0 if similarity is None else set_width, row_col))
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("row"))).alias("first")
-    classes = cut(rows.groupBy("fp").agg(first))
+    classes = table(rows.groupBy("fp").agg(first))
     roots = components(links(classes)) if similarity is None else minhash.similar_components(rows, docs, links(classes), components, near, row_col, text_col, similarity, set_width)
     rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    rooted = cut(rooted)
+    rooted = table(rooted)
     best = table(rooted.groupBy("root").agg(F.min("first").alias("best")))
     found = rooted.join(best, "root").select("fp", "best")
     return rows.join(found, "fp").select(
