@@ -4,9 +4,11 @@ Two texts are candidates if all ROWS minima of one of BANDS bands are equal. At
 probability (1 - s ** ROWS) ** BANDS: 6e-5 at 0.8, less above. Candidates are verified by their sets of 64-bit shingle
 hashes, so no pair below the bound is linked.
 
-Where more than `crowd` texts share a band, each is first compared with the least of them. What is then not in the
-component that most of the band's texts are in is compared with all of the band, so no pair of two components is left
-out.
+Where more than `crowd` texts share a band, each is first compared with the least of them only. A band that then holds
+several components (of texts that share a passage, say) is not paired off: its texts meet by an exact prefix-filtered
+join. Shingles are ordered by the number of these texts that hold them, the rarest first; two sets as similar as asked have one
+in common among the first |x| - ceil(similarity * |x|) + 1 of each. What most of the texts share comes last in the order and
+makes no pairs. So no pair of two components is left out.
 """
 
 from __future__ import annotations
@@ -15,7 +17,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
@@ -80,6 +83,38 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, run, "row long, held binary")
 
 
+def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(row, h) of (row, text): the distinct hashes, one a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for low, high, data, offsets in steps(batch.column(1)):
+                hashes, at = shingles(data, offsets, width)
+                order = np.lexsort((hashes, row := np.repeat(np.arange(low, high), np.diff(at))))
+                hashes, row = hashes[order], row[order]
+                new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(row)]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[row[new]]), pa.array(hashes[new].view(np.int64))], names=["row", "h"])
+
+    return map_batches(docs.select("row", "text"), run, "row long, h long")
+
+
+def prefixes(texts: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """texts (row, fp, size, root) once for each shingle `h` of its prefix that another of them holds; docs has row and text.
+
+    rest: as many of the text's shingles come no sooner than h in the order.
+    """
+    held = table(shingle_rows(docs.join(texts.select("row"), "row", "left_semi"), width))
+    often = table(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    common = held.join(often, "h").join(texts, "row")
+    own = W.partitionBy("row")
+    # Those that no other text holds come first in the order, and can't meet.
+    shared = F.count(F.lit(1)).over(own)
+    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    placed = common.withColumns({"rest": shared - F.row_number().over(own.orderBy("n", "h")) + 1, "least": F.col("size") - most + 1})
+    return table(placed.where("rest >= least").select("h", "rest", *texts.columns))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
     """(u, v), of pairs (u, v, row_u, row_v), of those similar enough; docs has row and text."""
 
@@ -109,29 +144,33 @@ def similar_components(
     texts = docs.select(F.col(row_col).alias("row"), text_or_empty(text_col).alias("text"))
     ones = rows.where("size > 0").groupBy("fp", "set").agg(F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     keyed = table(ones.select("fp", "row", "size", F.explode("keys").alias("key")))
-    shared = table(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")), "key"))
+    shared = table(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).hint("merge"), "key"))
 
-    def sides(u: DataFrame, v: DataFrame, where) -> DataFrame:
-        u, v = (x.select("key", *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in ("key", "n")]) for x, y in ((u, "u"), (v, "v")))
+    def sides(u: DataFrame, v: DataFrame, where: Column, by: str = "key") -> DataFrame:
+        u, v = (x.select(by, *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in (by, "n")]) for x, y in ((u, "u"), (v, "v")))
         sized = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
-        pairs = u.join(v, "key").where(where & sized & (F.col("fp_u") != F.col("fp_v")) & ~linked(F.col("fp_u"), F.col("fp_v")))
+        pairs = u.join(v, by).where(where & sized & (F.col("fp_u") != F.col("fp_v")) & ~linked(F.col("fp_u"), F.col("fp_v")))
         return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"), "row_u", "row_v")
 
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
     least = table(many.groupBy("key").agg(F.min(F.struct("row", "fp", "size")).alias("x")).select("key", "x.*"))
     pairs = sides(few, few, F.col("row_u") < F.col("row_v")).unionByName(sides(least, many, F.lit(True)))
     roots = table(components(known.select("u", "v").unionByName(verified(pairs, texts, similarity, width))))
-    # Of crowded bands, what is outside the component that most are in.
+    # Crowded bands of several components: what is outside the one that most are in has yet to meet the rest.
     placed = many.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = table(placed.select("key", "fp", "row", "size", "root"))
     counted = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    main = table(main.select("key", F.col("x.root").alias("main")))
-    apart = table(placed.join(main, "key").where("root <> main").drop("main"))
-    if apart.isEmpty():
+    placed = placed.join(table(main.select("key", F.col("x.root").alias("main"))), "key")
+    crowds = table(placed.groupBy("row", "fp", "size", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart")))
+    if crowds.isEmpty():
         return roots
-    # Of two that are both outside, the one of the lesser row comes first.
-    rest = sides(apart, placed.join(main, "key"), (F.col("root_u") != F.col("root_v")) & ((F.col("root_v") == F.col("main_v")) | (F.col("row_u") < F.col("row_v"))))
+    meeting = prefixes(crowds, texts, similarity, width)
+    # Of two that are both apart, the one of the lesser row comes first.
+    once = (F.col("root_u") != F.col("root_v")) & (~F.col("apart_v") | (F.col("row_u") < F.col("row_v")))
+    # Position: at their first common shingle two texts still have before them all that they share.
+    enough = F.least("rest_u", "rest_v") >= (F.col("size_u") + F.col("size_v")) * (similarity / (1 + similarity)) - 1e-9
+    rest = sides(meeting.where("apart"), meeting, once & enough, "h")
     more = verified(rest, texts, similarity, width)
     if more.isEmpty():
         return roots
