@@ -7,7 +7,7 @@ where the window would start; bounds on position and length drop those that don'
 last word, and the words themselves decide.
 
 Windows, counts and probes are tables, so neither the benchmark nor a part of it passes through the driver, and the
-documents are read twice however large it is. What is broadcast is a bitmap of tokens, of 2 ** MOST_BITS bits at the most,
+documents are read twice however large it is. What is broadcast is a bitmap of tokens, of bounded size,
 that spares most of a document's shingles the shuffle; where it is crowded more of them are joined in vain.
 """
 
@@ -21,14 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, map_batches, prefix_sums, row_number, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, WORD_POWERS, Bitmap, map_batches, prefix_sums, row_number, span_hashes, spans_of, steps, text_or_empty
 from millrace.sources.shared import table
 
 GAPS = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 IS_WORD = np.zeros(256, bool)
 IS_WORD[48:58] = IS_WORD[97:123] = IS_WORD[128:] = True
-#: Bits of the bitmap, as a power of two: 128 kB to 32 MB.
-LEAST_BITS, MOST_BITS = 20, 28
 SPANS = "array<struct<first:long,last:long>>"
 
 
@@ -77,24 +75,6 @@ def windows_of(items: DataFrame, window: int, shingle: int) -> DataFrame:
     return map_batches(items.select("item", "text"), run, f"item {items.schema['item'].dataType.simpleString()}, words string, n long, width long, tokens array<long>")
 
 
-class Bitmap:
-    """The high bits of some 64-bit hashes, as a first test; false positives are possible, misses are not."""
-
-    def __init__(self, hashes: DataFrame, n: int):
-        """hashes: one column `token`; n: about how many."""
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
-        place = F.shiftrightunsigned("token", 64 - self.bits)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(token, {64 - self.bits}) & 63 as int))")
-        # A row for each 64 bits of the bitmap at the most, so bounded.
-        words = hashes.select(F.shiftright(place, 6).alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
-        self.words[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - self.bits)
-        return np.flatnonzero(self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1))
-
-
 def rarity(docs: DataFrame, seen: Bitmap, widths: list[int]) -> DataFrame:
     """(token, n): places in docs (row, text, id) of the shingles in the bitmap."""
     handle = docs.sparkSession.sparkContext.broadcast(seen)

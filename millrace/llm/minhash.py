@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, Bitmap, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty
 from millrace.sources.shared import table
 
 WIDTH, SIMILARITY = 5, 0.8
@@ -69,11 +69,22 @@ def marks(column: pa.Array, width: int = WIDTH) -> tuple[pa.Array, pa.Array, pa.
     return pa.array(sets.view(np.int64)), pa.array(sizes), lists
 
 
-def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(row, held) of (row, text): the sorted distinct hashes as bytes."""
+def some_texts(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """docs (row, text, token), and what leaves of a batch of them the rows of `wanted` and few others.
+
+    A bitmap of bounded size spares the texts a join, in which all of them would be moved for a few.
+    """
+    tokens = wanted.select(F.xxhash64("row").alias("token"))
+    handle = docs.sparkSession.sparkContext.broadcast(Bitmap(tokens, tokens.count()))
+    return docs.select("row", "text", F.xxhash64("row").alias("token")), lambda batch: batch.take(pa.array(handle.value(batch.column(2).to_numpy().view(np.uint64))))
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(row, held) of docs (row, text), of the rows of `wanted` at least: the sorted distinct hashes as bytes."""
+    docs, chosen = some_texts(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(chosen, batches):
             held = []
             for _, _, data, offsets in steps(batch.column(1)):
                 hashes, at = shingles(data, offsets, width)
@@ -83,11 +94,12 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, run, "row long, held binary")
 
 
-def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
-    """(row, h) of (row, text): the distinct hashes, one a row."""
+def shingle_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(row, h) of docs (row, text), of the rows of `wanted` at least: the distinct hashes, one a row."""
+    docs, chosen = some_texts(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(chosen, batches):
             rows = batch.column(0).to_numpy()
             for low, high, data, offsets in steps(batch.column(1)):
                 hashes, at = shingles(data, offsets, width)
@@ -96,7 +108,7 @@ def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
                 new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(row)]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[row[new]]), pa.array(hashes[new].view(np.int64))], names=["row", "h"])
 
-    return map_batches(docs.select("row", "text"), run, "row long, h long")
+    return map_batches(docs, run, "row long, h long")
 
 
 def prefixes(texts: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -104,7 +116,7 @@ def prefixes(texts: DataFrame, docs: DataFrame, similarity: float, width: int) -
 
     rest: as many of the text's shingles come no sooner than h in the order.
     """
-    held = table(shingle_rows(docs.join(texts.select("row"), "row", "left_semi"), width))
+    held = table(shingle_rows(docs, texts, width))
     often = table(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     common = held.join(often, "h").join(texts, "row")
     own = W.partitionBy("row")
@@ -129,9 +141,10 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -
 
     pairs = table(pairs.distinct())
     wanted = pairs.select(F.explode(F.array("row_u", "row_v")).alias("row")).distinct()
-    held = table(shingle_sets(docs.join(wanted, "row", "left_semi").select("row", "text"), width))
+    held = table(shingle_sets(docs, wanted, width))
     a, b = (held.select(F.col("row").alias(f"row_{x}"), F.col("held").alias(f"held_{x}")) for x in "uv")
-    return table(map_batches(pairs.join(a, "row_u").join(b, "row_v").select("u", "v", "held_u", "held_v"), run, "u long, v long").distinct())
+    # The same plan for few sets and for many: neither is ever broadcast.
+    return table(map_batches(pairs.join(a.hint("merge"), "row_u").join(b.hint("merge"), "row_v").select("u", "v", "held_u", "held_v"), run, "u long, v long").distinct())
 
 
 def similar_components(

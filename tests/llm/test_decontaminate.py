@@ -2,7 +2,7 @@ import re
 
 import pytest
 
-from millrace.llm import decontaminate
+from millrace.llm import common, decontaminate
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -45,8 +45,8 @@ def test_items(spark, odd, texts):
 
 def test_a_crowded_bitmap_misses_nothing(spark, odd, texts, monkeypatch):
     """With 64 bits every shingle is a probe."""
-    monkeypatch.setattr(decontaminate, "LEAST_BITS", 6)
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 6)
+    monkeypatch.setattr(common, "LEAST_BITS", 6)
+    monkeypatch.setattr(common, "MOST_BITS", 6)
     items = [(i, " ".join(words(t)[5:30])) for i, (_, t) in enumerate(texts[:12])] + [(50, "of une"), (51, "une")]
     assert result(decontaminate.contamination(odd, spark.createDataFrame(items, "item_id long, text string"))) == brute(texts, items)
 
