@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -56,7 +57,27 @@ def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterato
     conf, size = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if size not in conf.getAll:
         conf.set(size, str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what it no longer uses: idle workers stay, and count as memory of the executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    for powers in (BYTE_POWERS, WORD_POWERS):
+        powers.forget()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass  # an allocator other than glibc's
 
 
 class Bitmap:
@@ -117,7 +138,11 @@ class Powers:
     """base ** i modulo 2 ** 64, and the inverses, for rolling hashes over prefixes."""
 
     def __init__(self, base: int):
-        self.base, self.n = base | 1, 0
+        self.base = base | 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.n = 0
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, map_batches, mixed, prefix_sums, smallest, span_hashes, spans_of, steps
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, lean, map_batches, mixed, prefix_sums, smallest, span_hashes, spans_of, steps
 from millrace.llm.quality import fold
 
 BITS = 17
@@ -267,7 +267,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             words = Words(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("row", "hashes", "affixes", "grams", "first")))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(words, np.concatenate(truth), languages))], pa.binary())], names=["model"])
 
-    found = smallest(rows, max_train, "o", known).coalesce(1).select("text", "lang").mapInArrow(run, "model binary").first()
+    found = smallest(rows, max_train, "o", known).coalesce(1).select("text", "lang").mapInArrow(lean(run), "model binary").first()
     if not found:
         return Model([], np.zeros(((1 << BITS) + 1, 0), np.float32), np.zeros((0, 0)), np.empty(0, np.uint64))
     import pickle
