@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = cut(edges.where("u <> v").select("u", "v").distinct())
     seen = mark(edges)
     while True:
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        # Small star reads its edges twice; written, they are made once.
+        edges = cut(_small_star(table(_large_star(edges).distinct())).distinct())
         now = mark(edges)
         if now == seen:
             break
