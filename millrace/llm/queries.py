@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, packing, quality, repeats, sharding, simhash, sql, url_filter
+from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, packing, periodic_runs, pii, quality, repeats, sharding, simhash, sql, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -100,8 +101,41 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
+    return pii.personal_data(read(spark, sf_dir, "documents")).select("doc_id", *map(count, pii.BASE), F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+
+
+def dealt_cycle(key: int | None, n: int) -> tuple[int, int] | None:
+    """Of a tenth of the documents, by a checksum of the id, the words from some place on repeat with some period."""
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    return g % n, 1 + (n - g % n) // (3 + g % 8)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(read(spark, sf_dir, "documents"), cycle=dealt_cycle)
+    named = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    # The greatest length / period: as a fraction, by cross multiplication.
+    none = F.lit(None).cast(found.schema["runs"].dataType.elementType)
+    more = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    found = found.withColumn("top", F.aggregate("runs", none, lambda best, r: F.when(more(best, r), r).otherwise(best)))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(named, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_license_scan, op3_url_filter, op4_quality, op5_repeats, op6_sharding, op7_language_id, op8_exact_dedup, op9_simhash, op10_decontaminate]
+    own = [op1_packing, op2_license_scan, op3_url_filter, op4_quality, op5_repeats, op6_sharding, op7_language_id, op8_exact_dedup, op9_simhash, op10_decontaminate, op11_pii, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
