@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, exact_dedup, language_id, license_scan, packing, periodic_runs, pii, quality, repeats, sharding, simhash, sql, url_filter
+from millrace.llm import alignment, decontaminate, exact_dedup, language_id, license_scan, packing, periodic_runs, pii, quality, repeats, sharding, simhash, sql, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +108,12 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents")).select("doc_id", *map(count, pii.BASE), F.sha2(named(base).cast("binary"), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return alignment.align(read(spark, sf_dir, "documents"), byte_bpe_ranks(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def dealt_cycle(key: int | None, n: int) -> tuple[int, int] | None:
     """Of a tenth of the documents, by a checksum of the id, the words from some place on repeat with some period."""
     h = zlib.crc32(str(key).encode()) if key is not None else 1
@@ -135,7 +141,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_packing, op2_license_scan, op3_url_filter, op4_quality, op5_repeats, op6_sharding, op7_language_id, op8_exact_dedup, op9_simhash, op10_decontaminate, op11_pii, op13_periodic_runs]
+    own = [op1_packing, op2_license_scan, op3_url_filter, op4_quality, op5_repeats, op6_sharding, op7_language_id, op8_exact_dedup, op9_simhash, op10_decontaminate, op11_pii, op12_alignment, op13_periodic_runs]
     return {f.__name__: f for f in own}
 
 
