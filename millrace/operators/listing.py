@@ -47,16 +47,29 @@ def marked(products: DataFrame, likes: DataFrame) -> DataFrame:
 
 def feed(products: DataFrame, likes: DataFrame) -> DataFrame:
     """Cards with their place: liked ones first, each class in base order."""
+    return cards(marked(products, likes))
+
+
+def cards(rows: DataFrame) -> DataFrame:
+    """The feed of marked rows."""
     order = F.col("liked").desc(), age(F.col("created_at")).asc_nulls_first(), F.col("id")
-    cards = positions(marked(products, likes), *order)
+    placed = positions(rows, *order)
     image = F.when(present(F.col("image_url")), F.col("image_url")).otherwise("IMG")
-    return cards.select("pos", "id", image.alias("image"), "brand", F.upper("brand").alias("brand_label"), "title", F.when(present(F.col("price")), F.col("price")).alias("price"), "liked")
+    return placed.select("pos", "id", image.alias("image"), "brand", F.upper("brand").alias("brand_label"), "title", F.when(present(F.col("price")), F.col("price")).alias("price"), "liked")
 
 
 def first_seen(products: DataFrame, column: str) -> DataFrame:
     """The distinct values of a column and their place, in order of the first row of each in base order."""
-    firsts = products.groupBy(column).agg(F.min(F.struct(age(F.col("created_at")), "id")).alias("_seen"))
-    return positions(firsts, F.col("_seen")).drop("_seen")
+    return in_order_seen(firsts(products, column))
+
+
+def firsts(products: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column and `seen`, the age and id of the first row of each."""
+    return products.groupBy(column).agg(F.min(F.struct(age(F.col("created_at")).alias("age"), "id")).alias("seen"))
+
+
+def in_order_seen(rows: DataFrame) -> DataFrame:
+    return positions(rows, F.col("seen")).drop("seen")
 
 
 def categories(products: DataFrame) -> DataFrame:
@@ -93,6 +106,17 @@ def detail(products: DataFrame, likes: DataFrame, key) -> DataFrame:
     return details(marked(lookup(products, key), likes))
 
 
+# What the page and the edit form of an unknown product say.
+NOT_FOUND = "Not found"
+NOT_FOUND_TO_EDIT = "Product not found"
+
+
+def not_found(products: DataFrame, keys: DataFrame, message: str = NOT_FOUND) -> DataFrame:
+    """(key, message) of the keys (key) that no product's id reads like."""
+    ids = products.select(F.col("id").cast("string").alias("key"))
+    return keys.join(ids, "key", "left_anti").select("key", F.lit(message).alias("message"))
+
+
 def details(rows: DataFrame) -> DataFrame:
     """What a product's page shows; rows are marked ones."""
     image = F.when(present(F.col("image_url")), F.col("image_url")).otherwise("No Image")

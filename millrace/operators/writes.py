@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions.text import blank_to_null, file_ext, now_millis, object_path, owned_by, present, public_url, trimmed
 from millrace.operators.listing import age, positions
 from millrace.sources.products import COLUMNS
+from millrace.sources.versions import Versioned
 
 #: What a patch sets, and how each is cleaned.
 FIELDS = {"title": trimmed, "brand": trimmed, "category": trimmed, "price": blank_to_null, "url": blank_to_null}
@@ -27,10 +28,11 @@ def validated(drafts: DataFrame) -> DataFrame:
 def normalised(drafts: DataFrame, base_url: str, millis: Column | None = None) -> DataFrame:
     """The valid drafts' columns as they are stored: the image by its public address, not by the draft's local one.
 
-    millis: the time in the object's name, the clock's by default. Drafts taken at once need different ones, since an
-    object is named by it.
+    millis: the time in the object's name, which names the object, so that drafts taken at once need different ones. By default
+    it is the clock's time and a number of the draft's own within the job.
     """
-    image = object_path(file_ext(F.col("image_uri")), now_millis() if millis is None else millis)
+    own = F.concat(now_millis().cast("string"), F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    image = object_path(file_ext(F.col("image_uri")), own if millis is None else millis)
     return validated(drafts).where("reject_reason is null").select(
         trimmed(F.col("title")).alias("title"),
         trimmed(F.col("brand")).alias("brand"),
@@ -85,3 +87,9 @@ def updated(products: DataFrame, patches: DataFrame, user: str | None = None, ch
     change = F.col("_new").isNotNull() & allowed
     both = products.join(new, "id", "left")
     return both.select(*[F.when(change, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in FIELDS else F.col(c) for c in COLUMNS])
+
+
+def patch_files(products: Versioned, patches: DataFrame, user: str | None = None, check_owner: bool = False) -> list[str]:
+    """`updated` on a Versioned table, in one commit: only the files that hold a patched id are written again; gives those."""
+    keys = latest(patches).where(~_fields_missing()).select(F.col("id").alias("key"))
+    return products.rewrite(keys, lambda rows: updated(rows, patches, user, check_owner))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import likes, listing, writes
+from millrace.operators import likes, listing, maintained, writes
 from millrace.plans.catalog_sql import ORACLES
-from millrace.sources.products import from_tables
+from millrace.sources.products import SCHEMA, from_tables
+from millrace.sources.shared import new_path
+from millrace.sources.versions import Versioned
 
 NOW = 1_700_000_000_000
 
@@ -157,9 +159,69 @@ def edit_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.edit_form(from_tables(spark, sf_dir))
 
 
+def stored(spark: SparkSession, sf_dir: str) -> Versioned:
+    """The products as a Versioned table of one commit, in the shared folder."""
+    found = Versioned(spark, new_path(spark, "products"), SCHEMA, "id")
+    found.append(from_tables(spark, sf_dir))
+    return found
+
+
+def pinned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reader's snapshot, by the files that it pinned, after more rows and patches and after old versions are freed."""
+    held = stored(spark, sf_dir)
+    first = held.pin()
+    held.append(added_products(spark, sf_dir))
+    writes.patch_files(held, patches_of(from_tables(spark, sf_dir)))
+    held.free()
+    return held.rows(first)
+
+
+def patched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """apply_update, file by file."""
+    held = stored(spark, sf_dir)
+    writes.patch_files(held, patches_of(from_tables(spark, sf_dir)))
+    return held.rows()
+
+
+def repeated_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of products that come in again under another id, in part a stored one and in part one for two of them, what is refused."""
+    n = F.col("id").cast("long")
+    name = F.when(n % 3 == 0, F.col("id")).when(n % 3 == 1, F.concat(F.lit("n"), F.col("id"))).otherwise(F.concat(F.lit("t"), F.floor(n / 6).cast("string")))
+    held, p = stored(spark, sf_dir), from_tables(spark, sf_dir)
+    return held.append(p.withColumn("id", F.when(n % 50 != 0, name)))
+
+
+def feed_toggled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed built with a half of the toggles and kept up with the other half."""
+    found = maintained.Feed(spark, new_path(spark, "feed"))
+    all_toggles = toggles(spark, sf_dir)
+    middle = all_toggles.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    found.build(from_tables(spark, sf_dir), all_toggles.where(F.col("seq") <= middle))
+    found.toggle(all_toggles.where(F.col("seq") > middle))
+    return found.cards()
+
+
+def brands_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First-seen brands, built before patches that rename brands and rows that come first, and brought up to date."""
+    p = from_tables(spark, sf_dir)
+    before = p.where(F.col("id").cast("long") % 7 == 0)
+    after = before.withColumn("brand", F.concat("brand", F.lit("x"))).unionByName(added_products(spark, sf_dir).where(F.col("id").endswith("3")))
+    now = p.where(F.col("id").cast("long") % 7 != 0).unionByName(after)
+    return listing.in_order_seen(maintained.firsts_after(listing.firsts(p, "brand"), "brand", before, after, now))
+
+
+def not_found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks on ids, and what the pages of those that no product has say."""
+    clicked = toggles(spark, sf_dir).select(F.col("id").alias("key")).distinct()
+    keys = clicked.unionByName(clicked.select(F.concat(F.lit("0"), "key").alias("key")))
+    p = from_tables(spark, sf_dir).where("category <> 'PROMO'")
+    return listing.not_found(p, keys).unionByName(listing.not_found(p, keys, listing.NOT_FOUND_TO_EDIT))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [feed, categories, brands_in_category, products_both, products_category, products_brand, products_all, product_detail, product_details, liked_set, owner_editable]
     own += [normalize_drafts, rejected_drafts, apply_update, owner_updates, refused_updates, added_products, empty_listings, apply_insert, image_path_fields, brand_route, listing_title, edit_form]
+    own += [pinned_rows, patched_files, repeated_ids, feed_toggled, brands_after_changes, not_found_pages]
     return {f.__name__: f for f in own}
 
 

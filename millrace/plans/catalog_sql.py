@@ -85,4 +85,17 @@ SELECT page_id, ext, 'image/' || CASE WHEN ext = 'jpg' THEN 'jpeg' ELSE ext END
     "brand_route": f"WITH {PRODUCTS} SELECT id, '/shoe-products?category=' || category || '&brand=' || {ENCODE.format('brand')} AS route, '/shoe-brands?category=' || category AS category_route, '/' || id AS product_route, {ENCODE.format('url')} AS encoded FROM products",
     "listing_title": f"WITH {PRODUCTS} SELECT DISTINCT brand, category, brand || ' · ' || upper(category) AS both, 'Products · ' || upper(category) AS no_brand, brand || ' ' AS no_category FROM products",
     "edit_form": f"WITH {PRODUCTS} SELECT id, coalesce(title, '') AS title, coalesce(brand, '') AS brand, coalesce(price, '') AS price, coalesce(category, 'shoes') AS category, coalesce(url, '') AS url FROM products",
+    "pinned_rows": f"WITH {PRODUCTS} SELECT * FROM products",
+    "patched_files": _update("id::BIGINT % 5 = 0 AND id::BIGINT % 35 <> 0"),
+    "repeated_ids": f"""WITH {PRODUCTS}, named AS (SELECT CASE WHEN id::BIGINT % 50 <> 0 THEN CASE id::BIGINT % 3 WHEN 0 THEN id WHEN 1 THEN 'n' || id ELSE 't' || (id::BIGINT // 6) END END AS key FROM products)
+SELECT key, CASE WHEN key IS NULL THEN 'missing' WHEN key IN (SELECT id FROM products) THEN 'stored' ELSE 'twice' END AS reject_reason
+FROM named GROUP BY key HAVING key IS NULL OR count(*) > 1 OR key IN (SELECT id FROM products)""",
+    "brands_after_changes": f"""WITH {PRODUCTS}, now AS (
+  SELECT id, created_at, CASE WHEN id::BIGINT % 7 = 0 THEN brand || 'x' ELSE brand END AS brand FROM products UNION ALL
+  SELECT 'n' || id, TIMESTAMP '2023-11-14 22:13:20', brand FROM products WHERE id LIKE '%3'),
+placed AS (SELECT *, row_number() OVER (ORDER BY {BASE}) AS ord FROM now), firsts AS (SELECT brand, min(ord) AS ord FROM placed GROUP BY brand)
+SELECT brand, row_number() OVER (ORDER BY ord) - 1 AS pos FROM firsts""",
+    "not_found_pages": f"""WITH {PRODUCTS}, {LIKES}, clicked AS (SELECT DISTINCT id FROM toggles), keys AS (SELECT id AS key FROM clicked UNION ALL SELECT '0' || id FROM clicked)
+SELECT key, message FROM keys, (VALUES ('Not found'), ('Product not found')) v(message) WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = key AND category <> 'PROMO')""",
 }
+ORACLES["feed_toggled"] = ORACLES["feed"]

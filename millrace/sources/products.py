@@ -10,7 +10,9 @@ from collections.abc import Callable, Hashable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.shared import table
+from millrace.sources.shared import new_path
+from millrace.sources.store import Store
+from millrace.sources.versions import Versioned
 
 SCHEMA = "id string, title string, brand string, price string, url string, category string, image_url string, created_at timestamp_ntz, owner_id string"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -59,25 +61,58 @@ class Products:
     """The table as last read well, in `rows`: read once at the start, then at each refresh.
 
     A refresh that fails keeps the rows before it and says why in `error`; before the first good one there are no rows.
-    The rows are a copy in the shared folder, so they stay readable when the table's own files are gone.
+    Of a Versioned table a refresh copies nothing: the rows are the files of its newest version, which stay pinned. Other
+    writers may take away the files of a plain folder at any time, so of that the rows are a copy in the shared folder. A good
+    refresh frees what the one before held, so rows and lists of before can't be read any more.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path, self.error = spark, path or products_path(), None
-        self.rows = spark.createDataFrame([], SCHEMA)
-        self._made: dict[object, DataFrame] = {}
+        self.versions: Versioned | None = None
+        self._base = self.rows = spark.createDataFrame([], SCHEMA)
+        self._free: Callable[[], None] = lambda: None
+        self._made: dict[object, tuple[DataFrame, str]] = {}
+        self._added: list[tuple] = []
         self.refresh()
 
     def refresh(self) -> DataFrame:
         self.error = None
         try:
-            rows = table(read_products(self.spark, self.path))
+            if self.versions is None and Versioned.exists(self.spark, self.path):
+                self.versions = Versioned(self.spark, self.path, SCHEMA, "id")
+            rows, free = self._pinned(self.versions) if self.versions else self._copied()
             rows.createOrReplaceTempView("products")
-            self.rows, self._made = rows, {}
+            held, self._free = self._free, free
+            held()
+            self._forget()
+            self._base = self.rows = rows
+            self._added = []
         except Exception as e:  # whatever the store says
             self.error = said(e)
         return self.rows
 
+    def _pinned(self, versions: Versioned) -> tuple[DataFrame, Callable[[], None]]:
+        if not Versioned.exists(self.spark, self.path):
+            raise FileNotFoundError(f"{self.path} has no version")
+        held = versions.pin()
+
+        def free() -> None:
+            if versions.version().number != held.number:
+                versions.release(held)
+                versions.free()
+
+        return versions.rows(held), free
+
+    def _copied(self) -> tuple[DataFrame, Callable[[], None]]:
+        path = new_path(self.spark, "products")
+        read_products(self.spark, self.path).write.parquet(path)
+        return self.spark.read.schema(SCHEMA).parquet(path), lambda: Store(self.spark, path).delete("")
+
+    def _forget(self) -> None:
+        for _, path in self._made.values():
+            Store(self.spark, path).delete("")
+        self._made = {}
+
     def add(self, product: Mapping[str, str | None], now: dt.datetime | None = None) -> DataFrame:
         """Stores one product and gives its row back, with the id and time it got; the rows here start with it.
 
@@ -86,15 +121,25 @@ class Products:
         now = now or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         given = {c: product.get(c) for c in ("title", "brand", "price", "url", "category", "image_url")}
         row = given | {"id": uuid.uuid4().hex, "created_at": now, "owner_id": None}
-        new = append(single(self.spark.createDataFrame([tuple(row[c] for c in COLUMNS)], SCHEMA)), self.path)
-        self.rows, self._made = new.unionByName(self.rows), {}
+        values = tuple(row[c] for c in COLUMNS)
+        new = single(self.spark.createDataFrame([values], SCHEMA))
+        if self.versions:
+            self.versions.append(new)
+        else:
+            append(new, self.path)
+        # One union, however many rows are added before the next refresh.
+        self._added.insert(0, values)
+        self.rows = self.spark.createDataFrame(self._added, SCHEMA).unionByName(self._base)
+        self._forget()
         return new
 
     def made(self, key: Hashable, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """build(rows), computed once for these rows; `key` names it with its parameters. A refresh forgets it."""
         if key not in self._made:
-            self._made[key] = table(build(self.rows))
-        return self._made[key]
+            path, rows = new_path(self.spark, "made"), build(self.rows)
+            rows.write.parquet(path)
+            self._made[key] = self.spark.read.schema(rows.schema).parquet(path), path
+        return self._made[key][0]
 
 
 def from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
