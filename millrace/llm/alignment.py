@@ -1,11 +1,14 @@
 """Alignment of two tokenizers' tokens over the same bytes: groups between common ends, links of tokens that overlap, and
 how often each pair of ids is linked in the whole corpus.
 
-Python only tokenises: it gives each side's ends in bytes, and the ends again with the ids and with the indices in the
-lower half of one number. From there on Spark's array functions do all. The ends that both sides have (array_intersect) close
-the groups; sorted in among a side's tokens they part its ids into groups. All ends sorted together give the links: at
-place k of that order the index of a token of one side is known, and so how many tokens of the other side end before, k
-less that index.
+Both vocabularies always part a text at a single space between other characters, so groups and links stay within the chunks
+between such spaces. Texts are taken slice by slice: a slice's distinct chunks are laid end to end and tokenised once, and
+its documents are lists of their numbers. Python does no more than that: it gives each side's ends in bytes, and the ends
+again with the ids and with the indices in the lower half of one number.
+
+From there on Spark's array functions do all. The ends that both sides have (array_intersect) close the groups; sorted in
+among a side's tokens they part its ids into groups and chunks. All ends sorted together give the links: at place k of
+that order the index of a token of one side is known, and so how many tokens of the other side end before, k less that index.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,20 +26,18 @@ from millrace.llm.common import map_batches, text_or_empty
 from millrace.llm.packing import Encoder
 from millrace.sources.shared import table
 
-#: A text of more characters than this is tokenised in several parts, each a row of its own. Parts end at single spaces
-#: between other characters, where both vocabularies always part a text.
-PART = 1 << 16
-
-#: Characters of text whose tokens make one Arrow batch.
-STEP = 1 << 19
+#: Characters of text in a slice, but for a longer text, and those of distinct chunks that are tokenised at once.
+SLICE, PIECE = 1 << 21, 1 << 12
 
 #: Pairs whose counts are broadcast, some 16 MB; the rarer ones are joined by a shuffle.
 COMMON_PAIRS = 1 << 18
 
 _seam = re.compile(r"(?<=\S) (?=\S)")
+_outer_blank = re.compile(r"\A\s|\s\Z").search
+_other_blanks = re.compile(r"\s\s|\A\s|\s\Z").search
 
-#: The lower half of a sorted end: an id or an index, and a bit for side b; MARK comes after both.
-SIDE, INDEX, MARK = 1 << 31, (1 << 31) - 1, (1 << 32) - 1
+#: The lower half of a sorted end: an id or an index, and a bit for side b; the marks come after both.
+SIDE, INDEX, GROUP_END, CHUNK_END, LOWER_HALF = 1 << 31, (1 << 31) - 1, (1 << 32) - 2, (1 << 32) - 1, (1 << 32) - 1
 
 
 class Tokenizers:
@@ -60,104 +62,141 @@ class Tokenizers:
         a = self.encoder.plain_ids(" " + text)  # each byte is a token of this vocabulary, so none is lost
         return [a.astype(np.int64), np.array(b, np.int64)] if self.sizes[0][a].sum() == len(data) else None
 
-
-def parts_of(text: str, limit: int) -> Iterator[str]:
-    """Parts without the single spaces between them, since each is tokenised with a space before it."""
-    first = 0
-    while first < len(text):
-        seam = _seam.search(text, first + limit) if len(text) - first > limit else None
-        yield text[first : seam.start() if seam else len(text)]
-        first = seam.end() if seam else len(text)
-
-
-def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part: int = PART) -> DataFrame:
-    """docs (row, id, text) to rows of parts (row, id, part, parts) with each side's ends, ids (end << 32 | id) and at
-    (end << 32 | index, with a bit for side b). A text without tokens has one part, of none."""
+    def laid(self, chunks: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        """Both sides' ids of the chunks laid end to end with a space before each, and which chunks can't be had back."""
+        found, bad, first = [[np.empty(0, np.int64)] for _ in range(2)], [], 0
+        while first < len(chunks):
+            # A text's first and last chunk may have blanks at their ends, and are not parted there from others.
+            last, size = first, 0
+            while last < len(chunks) and size < PIECE and (last == first or not _outer_blank(chunks[last])):
+                size += len(chunks[last]) + 1 if not _outer_blank(chunks[last]) else PIECE
+                last += 1
+            tries = [(self.ids(" ".join(chunks[first:last])), first)]
+            if tries[0][0] is None:
+                tries = [(self.ids(c), i) for i, c in enumerate(chunks[first:last], first)]
+            for ids, i in tries:
+                if ids is None:
+                    bad.append(i)
+                else:
+                    for side in range(2):
+                        found[side].append(ids[side])
+            first = last
+        return [np.concatenate(x) for x in found], bad
+
+
+def chunks_of(text: str) -> list[str]:
+    if not text:
+        return []
+    return _seam.split(text) if _other_blanks(text) else text.split(" ")
+
+
+def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, size: int = SLICE) -> DataFrame:
+    """docs (id, text) to slices: docs (id, n_a, n_b and numbers of its chunks; a text without tokens has no chunks), and for
+    the distinct chunks end to end chunk_ends, how often each is used, and each side's ends, ids (end << 32 | id) and at
+    (end << 32 | index, with a bit for side b); a_chunk is the chunk of each token of side a."""
     kind = docs.schema["id"].dataType.simpleString()
     sides = ", ".join(f"{s}_ends array<int>, {s}_ids array<long>, {s}_at array<long>" for s in "ab")
-    schema = f"row long, id {kind}, part int, parts int, {sides}"
+    schema = f"slice long, docs array<struct<id: {kind}, n_a: long, n_b: long, numbers: array<int>>>, chunk_ends array<int>, uses array<int>, a_chunk array<int>, {sides}"
+
+    def one(values: np.ndarray, kind: np.dtype) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(kind)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers = Tokenizers(ranks_path, pieces_path)
 
-        def arrays(found: list[np.ndarray], side: int) -> list[pa.Array]:
-            counts = np.array([len(x) for x in found])
-            offsets = np.append(0, np.cumsum(counts))
-            ids = np.concatenate([np.empty(0, np.int64), *found])
-            ends = np.cumsum(tokenizers.sizes[side][ids])
-            before = np.append(0, ends)[offsets[:-1]]
-            ends -= np.repeat(before, counts)
-            index = np.arange(len(ids)) - np.repeat(offsets[:-1], counts)
-            at = pa.array(offsets.astype(np.int32))
-            return [pa.ListArray.from_arrays(at, pa.array(x)) for x in (ends.astype(np.int32), ends << 32 | ids, ends << 32 | side * SIDE | index)]
-
-        def made(rows: list[tuple], found: list[list[np.ndarray]], kind: pa.DataType) -> pa.RecordBatch:
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), kind, pa.int32(), pa.int32()))]
-            columns += [x for side in range(2) for x in arrays([f[side] for f in found], side)]
-            return pa.RecordBatch.from_arrays(columns, schema=wanted(kind))
-
-        def wanted(kind: pa.DataType) -> pa.Schema:
-            lists = [(f"{s}_{n}", pa.list_(t)) for s in "ab" for n, t in (("ends", pa.int32()), ("ids", pa.int64()), ("at", pa.int64()))]
-            return pa.schema([("row", pa.int64()), ("id", kind), ("part", pa.int32()), ("parts", pa.int32()), *lists])
-
-        none = [np.empty(0, np.int64)] * 2
+        def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
+            known: dict[str, int] = {}
+            numbers = [np.fromiter((known.setdefault(c, len(known)) for c in chunks), np.int32, len(chunks)) for chunks in map(chunks_of, texts)]
+            return list(known), numbers
+
+        def made(number: int, keys: list, kind: pa.DataType, texts: list[str | None]) -> pa.RecordBatch:
+            chunks, numbers = numbered(texts)
+            ids, bad = tokenizers.laid(chunks)
+            if bad:
+                bad = np.isin(np.arange(len(chunks)), bad)
+                chunks, numbers = numbered([None if bad[n].any() else t for n, t in zip(numbers, texts)])
+                ids, _ = tokenizers.laid(chunks)
+            chunk_ends = np.cumsum([len(c.encode()) + 1 for c in chunks] or [0][:0])
+            all_numbers = np.concatenate([np.empty(0, np.int32), *numbers])
+            columns, counts = [], []
+            for side in range(2):
+                ends = np.cumsum(tokenizers.sizes[side][ids[side]])
+                counts.append(np.diff(np.searchsorted(ends, chunk_ends, "right"), prepend=0))
+                columns += [one(ends, np.int32), one(ends << 32 | ids[side], np.int64), one(ends << 32 | side * SIDE | np.arange(len(ends)), np.int64)]
+            offsets = pa.array(np.append(0, np.cumsum([len(n) for n in numbers])).astype(np.int32))
+            fields = [pa.array(keys, kind), *(pa.array([int(c[n].sum()) for n in numbers], pa.int64()) for c in counts), pa.ListArray.from_arrays(offsets, pa.array(all_numbers))]
+            docs = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.StructArray.from_arrays(fields, ["id", "n_a", "n_b", "numbers"]))
+            uses = np.bincount(all_numbers, minlength=len(chunks))
+            first = [pa.array([number], pa.int64()), docs, one(chunk_ends, np.int32), one(uses, np.int32), one(np.repeat(np.arange(len(chunks)), counts[0]), np.int32)]
+            return pa.RecordBatch.from_arrays([*first, *columns], names=["slice", "docs", "chunk_ends", "uses", "a_chunk", *(f"{s}_{n}" for s in "ab" for n in ("ends", "ids", "at"))])
+
+        number = TaskContext.get().partitionId() << 33
+        keys, texts, held, kind = [], [], 0, None
         for batch in batches:
-            rows, found, size = [], [], 0
-            for row, key, text in zip(*(batch.column(i) for i in range(3))):
-                text = text.as_py()
-                ids = [tokenizers.ids(p) for p in parts_of(text, part)]
-                if not ids or any(x is None for x in ids):
-                    ids = [none]
-                rows += [(row.as_py(), key.as_py(), i, len(ids)) for i in range(len(ids))]
-                found += ids
-                size += len(text)
-                if size >= STEP:
-                    yield made(rows, found, batch.column(1).type)
-                    rows, found, size = [], [], 0
-            if rows:
-                yield made(rows, found, batch.column(1).type)
-
-    return map_batches(docs.select("row", "id", "text"), run, schema)
+            kind = batch.column(0).type
+            for key, text in zip(batch.column(0), batch.column(1)):
+                keys.append(key.as_py())
+                texts.append(text.as_py())
+                held += len(texts[-1])
+                if held >= size:
+                    yield made(number, keys, kind, texts)
+                    keys, texts, held, number = [], [], 0, number + 1
+        if keys:
+            yield made(number, keys, kind, texts)
+
+    return map_batches(docs.select("id", "text"), run, schema)
 
 
 def _parted(side: str) -> Column:
-    """The ids of one side, those of a group parted by commas and groups by semicolons."""
-    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(MARK)))
-    named = F.array_join(F.transform(F.sort_array(F.concat(f"{side}_ids", marks)), lambda x: x.bitwiseAND(F.lit(MARK)).cast("string")), ",")
-    return F.replace(named, F.lit(f",{MARK},"), F.lit(";"))
+    """The ids of one side: parted by commas, by semicolons at the ends of groups and by # at those of chunks."""
 
+    def marks(ends: Column | str, mark: int) -> Column:
+        return F.transform(ends, lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(mark)))
 
-def _groups() -> Column:
-    """`a1,a2|b1;a3|b2`; text without tokens: empty."""
-    last = f",{MARK}"
-    groups_of = lambda side: F.split(F.regexp_replace(_parted(side), f"{last}$", ""), ";")
-    return F.when(F.size("common") > 0, F.array_join(F.zip_with(groups_of("a"), groups_of("b"), lambda a, b: F.concat(a, F.lit("|"), b)), ";")).otherwise("")
+    tokens = F.sort_array(F.concat(f"{side}_ids", marks("inner_ends", GROUP_END), marks("chunk_ends", CHUNK_END)))
+    named = F.array_join(F.transform(tokens, lambda x: x.bitwiseAND(F.lit(LOWER_HALF)).cast("string")), ",")
+    for mark, sign in ((GROUP_END, ";"), (CHUNK_END, "#")):
+        named = F.replace(named, F.lit(f",{mark},"), F.lit(sign))
+    return F.regexp_replace(named, f",{CHUNK_END}$", "")
 
 
-def links_of(tokens: DataFrame, width: int, kind: str) -> DataFrame:
-    """tokens (parts of documents) to their links, a row each (row, pair), pair being a_id * width + b_id, and one more row
-    for the part itself: row, id, sizes (part, parts, n_a, n_b, n_groups) and groups, hashed if it is the only part."""
-    found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    groups = F.when(F.col("parts") == 1, F.when(F.size("common") > 0, F.sha2(_groups().cast("binary"), 256)).otherwise("")).otherwise(_groups())
-    sizes = F.array(*[c.cast("long") for c in (F.col("part"), F.col("parts"), F.size("a_ends"), F.size("b_ends"), F.size("common"))])
+def _chunk_groups() -> Column:
+    """Of each chunk its groups, `a1,a2|b1;a3|b2,b3`."""
+    both = lambda a, b: F.concat(a, F.lit("|"), b)
+    several = lambda a, b: F.array_join(F.zip_with(F.split(a, ";"), F.split(b, ";"), both), ";")
+    return F.zip_with(F.split(_parted("a"), "#"), F.split(_parted("b"), "#"), lambda a, b: F.when(F.contains(a, F.lit(";")), several(a, b)).otherwise(both(a, b)))
+
+
+def links_of(slices: DataFrame, width: int, kind: str) -> DataFrame:
+    """slices to the links of their distinct chunks, a row each (slice, chunk, uses, pair), pair being a_id * width + b_id,
+    and one more row for the slice itself: slice and docs (id, n_a, n_b, numbers, groups_sha256)."""
+    found = slices.withColumn("inner_ends", F.array_except(F.array_intersect("a_ends", "b_ends"), "chunk_ends")).withColumn("groups", _chunk_groups())
+
+    def doc(d: Column) -> Column:
+        groups = F.array_join(F.transform(d["numbers"], lambda n: F.col("groups")[n]), ";")
+        # The test of the column of groups also keeps it a column, made once and not for each of its uses.
+        sha = F.when((F.size(d["numbers"]) > 0) & (F.size("groups") > 0), F.sha2(groups.cast("binary"), 256)).otherwise("")
+        return F.struct(*[d[c].alias(c) for c in ("id", "n_a", "n_b", "numbers")], sha.alias("groups_sha256"))
+
     ends = F.concat(F.sort_array(F.concat("a_at", "b_at")), F.array(F.lit(-1).cast("long")))
-    found = found.select("row", "id", sizes.alias("sizes"), groups.alias("groups"), "a_ids", "b_ids", ends.alias("ends"))
+    found = found.select("slice", F.transform("docs", doc).alias("docs"), "uses", "a_chunk", "a_ids", "b_ids", ends.alias("ends"))
     found = found.select("*", F.posexplode_outer("ends").alias("k", "x"))  # never empty; without `outer` the planner adds a test that sorts again
     x, k = F.col("x"), F.col("k")
     index = x.bitwiseAND(F.lit(INDEX)).cast("int")
     of_a = x.bitwiseAND(F.lit(SIDE)) == 0
     # A common end stands there twice: side a's gives the link.
     again = ~of_a & (k > 0) & (F.shiftright(F.col("ends")[F.greatest(k - 1, F.lit(0))], 32) == F.shiftright(x, 32))
-    a, b = (F.col(f"{s}_ids")[F.when(of_a == (s == "a"), index).otherwise(k - index)].bitwiseAND(F.lit(INDEX)) for s in "ab")
-    part = x < 0
-    pair = F.when(~part, a * width + b).cast(kind)
-    own = lambda c: F.when(part, F.col(c)).alias(c)
-    return found.where(part | ~again).select("row", pair.alias("pair"), own("id"), own("sizes"), own("groups"))
+    at = {s: F.when(of_a == (s == "a"), index).otherwise(k - index) for s in "ab"}
+    a, b = (F.col(f"{s}_ids")[at[s]].bitwiseAND(F.lit(INDEX)) for s in "ab")
+    own = x < 0
+    chunk = F.when(~own, F.col("a_chunk")[at["a"]])
+    found = found.where(own | ~again).select("slice", chunk.alias("chunk"), F.when(~own, a * width + b).cast(kind).alias("pair"), F.when(own, F.col("docs")).alias("docs"), "uses")
+    return found.select("slice", "chunk", F.when(F.col("chunk").isNotNull(), F.col("uses")[F.col("chunk")]).alias("uses"), "pair", "docs")
 
 
 def counted(links: DataFrame, width: int) -> DataFrame:
-    """(pair, n, best): how many links hold a pair, and 1 where no pair of its b id is in more; links: one column, pair."""
-    counts = table(links.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).withColumn("b", F.col("pair") % width))
+    """(pair, n, best): how many links hold a pair, and 1 where no pair of its b id is in more; links: pair and uses."""
+    counts = table(links.groupBy("pair").agg(F.sum("uses").alias("n")).withColumn("b", F.col("pair") % width))
     most = counts.groupBy("b").agg(F.max("n").alias("most"))
     return table(counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
 
@@ -174,18 +213,25 @@ def least_common(counts: DataFrame, limit: int) -> int:
 
 
 def sums_of(links: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
-    """(row, n_best, count_sum). The counts of the most frequent pairs, `limit` at the most, are broadcast; a link of
-    another pair meets its count in a shuffle. Such a pair has few links, so none is hot."""
+    """For each slice arrays by the number of a chunk: links, best and n, their sums. The counts of the most frequent pairs, `limit`
+    at the most, are broadcast; a link of another pair meets its count in a shuffle. Such a pair has few links, so none is hot."""
     least = least_common(counts, limit)
-    sums = lambda df: df.groupBy("row").agg(F.sum("best").alias("n_best"), F.sum("n").alias("count_sum"))
-    marked = links.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
-    if least == 1:
-        return sums(marked)
-    rare = marked.where("n is null").select("row", "pair").join(counts.where(F.col("n") < least).hint("merge"), "pair")
-    return sums(marked.where("n is not null")).unionByName(sums(rare))
-
-
-def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", part: int = PART, common_pairs: int = COMMON_PAIRS) -> DataFrame:
+    links = links.select("slice", "chunk", "pair")
+    sums = lambda df: df.groupBy("slice", "chunk").agg(F.count(F.lit(1)).alias("links"), F.sum("best").alias("best"), F.sum("n").alias("n"))
+    found = links.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
+    if least > 1:
+        rare = found.where("n is null").select("slice", "chunk", "pair").join(counts.where(F.col("n") < least).hint("merge"), "pair")
+        both = sums(found.where("n is not null")).unionByName(sums(rare))
+        found = both.groupBy("slice", "chunk").agg(*[F.sum(c).alias(c) for c in ("links", "best", "n")])
+    else:
+        found = sums(found)
+    # Each chunk has a link, so the place in order is its number.
+    chunks = F.sort_array(F.collect_list(F.struct("chunk", "links", "best", "n")))
+    by_slice = found.groupBy("slice").agg(chunks.alias("chunks"))
+    return by_slice.select("slice", *[F.col("chunks")[c].alias(c) for c in ("links", "best", "n")])
+
+
+def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE, common_pairs: int = COMMON_PAIRS) -> DataFrame:
     """One row a document: the id column, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups_sha256.
 
     A's tokens are those of the byte-level vocabulary over a space and the text, B's those of the sentencepiece model over
@@ -194,29 +240,23 @@ def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc
     rows count again; n_best are the links whose pair is, or ties for, the most frequent of its B id, count_sum adds up
     the links' counts. Repeated and null ids are rows of their own, an empty table gives no rows, other columns are ignored.
 
-    Memory is bounded but for a text without single spaces, which is tokenised at once, and for the string of groups of a
-    document of several parts.
+    Memory grows with the longest text: by the tokens of its distinct chunks, the numbers of all, and its string of groups.
     """
     tokenizers = Tokenizers(ranks_path, pieces_path)
     width = len(tokenizers.decoded)
     kind = "int" if width * tokenizers.encoder.full.n_vocab < 1 << 31 else "long"
-    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = table(links_of(tokenised(named, ranks_path, pieces_path, part), width, kind))
-    links = rows.where("pair is not null").select("row", "pair")
-    counts = counted(links.select("pair"), width)
-    parts = rows.where("sizes is not null").select("row", "id", "sizes", "groups", F.lit(None).cast("long").alias("n_best"), F.lit(None).cast("long").alias("count_sum"))
-    nothing = [F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in ("id", "sizes", "groups")]
-    both = parts.unionByName(sums_of(links, counts, common_pairs).select("row", *nothing, "n_best", "count_sum"))
-    total = lambda i: F.coalesce(F.sum(F.col("sizes")[i]), F.lit(0))
-    in_order = F.sort_array(F.collect_list(F.when(F.col("sizes").isNotNull(), F.struct(F.col("sizes")[0].alias("part"), "groups"))))
-    found = both.groupBy("row").agg(
-        F.max("id").alias(id_col),
-        *[total(i).alias(n) for i, n in ((2, "n_a"), (3, "n_b"), (4, "n_groups"))],
-        F.coalesce(F.sum("n_best"), F.lit(0)).alias("n_best"),
-        F.coalesce(F.sum("count_sum"), F.lit(0)).alias("count_sum"),
-        in_order.alias("parts"),
-    )
-    hashed = F.sha2(F.array_join(F.transform("parts", lambda p: p["groups"]), ";").cast("binary"), 256)
+    named = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = table(links_of(tokenised(named, ranks_path, pieces_path, size), width, kind))
+    links = rows.where("pair is not null").select("slice", "chunk", "uses", "pair")
+    sums = sums_of(links, counted(links.select("pair", "uses"), width), common_pairs)
+    found = rows.where("docs is not null").select("slice", "docs").join(sums, "slice", "left")
+
+    def doc(d: Column) -> Column:
+        total = lambda c: F.aggregate(d["numbers"], F.lit(0).cast("long"), lambda sum_, n: sum_ + F.col(c)[n])
+        sums = F.struct(total("links").alias("n_links"), total("best").alias("n_best"), total("n").alias("count_sum"))
+        return F.struct(d["id"].alias(id_col), *[d[c].alias(c) for c in ("n_a", "n_b", "groups_sha256")], sums.alias("sums"))
+
+    found = found.select(F.inline(F.transform("docs", doc)))
     # The distinct ends are those of both sides less the common ones, and one link ends at each.
-    n_links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
-    return found.select(id_col, "n_a", "n_b", "n_groups", n_links.alias("n_links"), "n_best", "count_sum", F.when(F.size("parts") > 1, hashed).otherwise(F.col("parts")[0]["groups"]).alias("groups_sha256"))
+    n_groups = F.col("n_a") + F.col("n_b") - F.col("sums.n_links")
+    return found.select(id_col, "n_a", "n_b", n_groups.alias("n_groups"), "sums.n_links", "sums.n_best", "sums.count_sum", "groups_sha256")
