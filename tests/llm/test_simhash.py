@@ -80,9 +80,11 @@ def test_golay_keys_meet():
         assert set(keys[places == 0]) & set(keys[places == 1])
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("limit", [1 << 20, 20, 3])
+def test_components_of_a_path_and_a_star(spark, limit):
+    """In one task, contracted in several and joined by stars, and by stars almost alone."""
     edges = [(i, i + 1) for i in range(100)] + [(500, i) for i in range(501, 600)] + [(7, 7), (900, 901), (901, 900)]
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3), limit).collect()}
     assert got == {**{i: 0 for i in range(101)}, **{i: 500 for i in range(500, 600)}, 900: 900, 901: 900}
 
 
@@ -98,7 +100,7 @@ def test_a_large_star_is_split(spark):
         joined = _large_star(edges).groupBy("v").agg(F.count("*"), F.countDistinct("u"))
         assert [tuple(r) for r in joined.collect()] == [(0, n - 1, n - 1)]
         assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
-        assert {tuple(r) for r in components(edges).groupBy("root").count().collect()} == {(0, n)}
+        assert {tuple(r) for r in components(edges, 1 << 16).groupBy("root").count().collect()} == {(0, n)}
     finally:
         for k, v in held.items():
             spark.conf.set(k, v)
