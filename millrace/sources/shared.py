@@ -51,10 +51,11 @@ def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFram
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"millrace_{uuid.uuid4().hex}"
-    df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", new_path(spark, "buckets")).saveAsTable(name)
-    found = spark.table(name)
-    spark.sql(f"DROP TABLE {name}")  # the name alone: the files are its owner's, and `found` knows them
-    return found
+    try:
+        df.repartition(buckets, column).write.bucketBy(buckets, column).option("path", new_path(spark, "buckets")).saveAsTable(name)
+        return spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # the name alone: the files are its owner's, and what is given back knows them
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -83,7 +84,7 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     others are written with their numbers.
     """
     used = {c.lower() for c in df.columns}
-    name, file, place = ("row" + "_" * next(i for i in range(99) if f"row{'_' * i}{end}" not in used) + end for end in ("", "file", "place"))
+    name, file, place, count = ("row" + "_" * next(i for i in range(99) if f"row{'_' * i}{end}" not in used) + end for end in ("", "file", "place", "count"))
     if is_scan(df):
         try:
             placed = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
@@ -91,8 +92,8 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
             placed = None
         if placed is not None:
             # One row a file.
-            files = table(placed.select(file).distinct().withColumn("_n", F.row_number().over(Window.orderBy(file)).cast("long")))
+            files = table(placed.select(file).distinct().withColumn(count, F.row_number().over(Window.orderBy(file)).cast("long")))
             if files.count() <= MOST_FILES:
-                at = F.shiftleft("_n", 40).bitwiseOR(F.col(place))
+                at = F.shiftleft(count, 40).bitwiseOR(F.col(place))
                 return placed.join(F.broadcast(files), file).select(*[F.col(f"`{c}`") for c in df.columns], at.alias(name)), name
     return table(df.withColumn(name, F.monotonically_increasing_id())), name

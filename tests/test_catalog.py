@@ -200,6 +200,18 @@ def test_numbers_stay_when_the_cores_change(spark, kind, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
+@pytest.mark.parametrize("scan", [True, False])
+def test_numbers_beside_any_column(spark, scan, tmp_path):
+    names = ["_n", "_N_", "row", "row_", "rowfile", "rowplace", "rowcount", "row_count", "a.b", "_metadata" if not scan else "m"]
+    docs = spark.range(9).select(*[F.col("id").alias(c) for c in names])
+    if scan:
+        docs.write.parquet(f"{tmp_path}/t")
+        docs = spark.read.parquet(f"{tmp_path}/t")
+    rows, name = shared.numbered(docs)
+    assert rows.columns == [*names, name] and name == "row__" and rows.select(name).distinct().count() == 9
+    assert sorted(map(tuple, rows.drop(name).collect())) == [(i,) * len(names) for i in range(9)]
+
+
 def test_single_and_schema(shelf):
     assert source.single(shelf.where("id = 'a'")).count() == 1
     for wrong in (shelf, shelf.where("false")):
