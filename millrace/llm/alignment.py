@@ -1,43 +1,52 @@
 """Alignment of two tokenizers' tokens over the same bytes: groups between common ends, links of tokens that overlap, and
 how often each pair of ids is linked in the whole corpus.
 
-Both vocabularies always part a text at a single space between other characters, so groups and links stay within the chunks
-between such spaces. Texts are taken slice by slice: a slice's distinct chunks are laid end to end and tokenised once, and
-its documents are lists of their numbers. Python does no more than that: it gives each side's ends in bytes, and the ends
-again with the ids and with the indices in the lower half of one number.
-
-From there on Spark's array functions do all. The ends that both sides have (array_intersect) close the groups; sorted in
-among a side's tokens they part its ids into groups and chunks. All ends sorted together give the links: at place k of
-that order the index of a token of one side is known, and so how many tokens of the other side end before, k less that index.
+Python only tokenises: it gives each side's ends in bytes, and the ends again with the ids in the lower half of one number.
+Both vocabularies always part a text at a single space between other characters, so each distinct chunk between such spaces
+is tokenised once as long as it is remembered, and a long text is dealt out over several rows.
+
+From there on Spark's array functions do all. The ends that both sides have (array_intersect) close the groups: sorted in
+among a side's tokens they part its ids, and both sides' parts are put together. A group's ids tell the bytes of its tokens and
+so their overlaps, so links are made once for each distinct group, from its ends in order: at place k of that order the index
+of a token of one side is known, and so how many tokens of the other end before, k less that index.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import map_batches, text_or_empty
 from millrace.llm.packing import Encoder
-from millrace.sources.shared import table
+from millrace.sources.shared import new_path, table
 
-#: Characters of text in a slice, but for a longer text, and those of distinct chunks that are tokenised at once.
-SLICE, PIECE = 1 << 21, 1 << 12
+#: A text of more chunks than this is dealt out over several rows.
+PART_CHUNKS = 1 << 13
 
-#: Pairs whose counts are broadcast, some 16 MB; the rarer ones are joined by a shuffle.
-COMMON_PAIRS = 1 << 18
+#: Characters of text whose tokens make one Arrow batch, and those of new chunks that are tokenised at once.
+STEP, PIECE = 1 << 19, 1 << 12
+
+#: Tokens of distinct chunks that a task remembers, but for those of one step.
+REMEMBERED = 1 << 20
+
+#: Groups whose sums are broadcast, some 30 MB; the rarer ones are joined by a shuffle.
+COMMON_GROUPS = 1 << 18
+
+#: Bytes of distinct groups that a file's dictionary takes.
+DICTIONARY = 16 << 20
 
 _seam = re.compile(r"(?<=\S) (?=\S)")
 _outer_blank = re.compile(r"\A\s|\s\Z").search
 _other_blanks = re.compile(r"\s\s|\A\s|\s\Z").search
 
-#: The lower half of a sorted end: an id or an index, and a bit for side b; the marks come after both.
-SIDE, INDEX, GROUP_END, CHUNK_END, LOWER_HALF = 1 << 31, (1 << 31) - 1, (1 << 32) - 2, (1 << 32) - 1, (1 << 32) - 1
+#: The lower half of a sorted end: an id or an index, and a bit for side b; MARK comes after both.
+SIDE, INDEX, MARK = 1 << 31, (1 << 31) - 1, (1 << 32) - 1
 
 
 class Tokenizers:
@@ -62,26 +71,60 @@ class Tokenizers:
         a = self.encoder.plain_ids(" " + text)  # each byte is a token of this vocabulary, so none is lost
         return [a.astype(np.int64), np.array(b, np.int64)] if self.sizes[0][a].sum() == len(data) else None
 
-    def laid(self, chunks: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        """Both sides' ids of the chunks laid end to end with a space before each, and which chunks can't be had back."""
-        found, bad, first = [[np.empty(0, np.int64)] for _ in range(2)], [], 0
+
+class Chunks:
+    """Numbers of distinct chunks, and their ids on both sides; a chunk that can't be had back from its tokens is not `whole`."""
+
+    def __init__(self, tokenizers: Tokenizers):
+        self.tokenizers = tokenizers
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.whole = np.empty(0, bool)
+        self.ids = [np.empty(0, np.int64)] * 2
+        self.firsts = [np.zeros(1, np.int64)] * 2
+
+    def numbers(self, texts: list[str]) -> list[np.ndarray]:
+        known, old = self.known, len(self.known)
+        found = [np.fromiter((known.setdefault(c, len(known)) for c in chunks), np.int64, len(chunks)) for chunks in map(chunks_of, texts)]
+        self._learn(list(islice(known, old, None)))
+        return found
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Chunks laid end to end are tokenised together; one with blanks at its ends, a text's first or last, by itself."""
+        found, whole, first = [[], []], np.ones(len(chunks), bool), 0
         while first < len(chunks):
-            # A text's first and last chunk may have blanks at their ends, and are not parted there from others.
             last, size = first, 0
             while last < len(chunks) and size < PIECE and (last == first or not _outer_blank(chunks[last])):
                 size += len(chunks[last]) + 1 if not _outer_blank(chunks[last]) else PIECE
                 last += 1
-            tries = [(self.ids(" ".join(chunks[first:last])), first)]
+            tries = [(self.tokenizers.ids(" ".join(chunks[first:last])), first)]
             if tries[0][0] is None:
-                tries = [(self.ids(c), i) for i, c in enumerate(chunks[first:last], first)]
+                tries = [(self.tokenizers.ids(c), i) for i, c in enumerate(chunks[first:last], first)]
             for ids, i in tries:
                 if ids is None:
-                    bad.append(i)
+                    whole[i] = False
                 else:
                     for side in range(2):
                         found[side].append(ids[side])
             first = last
-        return [np.concatenate(x) for x in found], bad
+        chunk_ends = np.cumsum([(len(c.encode()) + 1) * w for c, w in zip(chunks, whole)], dtype=np.int64)
+        for side in range(2):
+            ids = np.concatenate([np.empty(0, np.int64), *found[side]])
+            upto = np.searchsorted(np.cumsum(self.tokenizers.sizes[side][ids]), chunk_ends, "right")
+            self.firsts[side] = np.append(self.firsts[side], self.firsts[side][-1] + upto)
+            self.ids[side] = np.append(self.ids[side], ids)
+        self.whole = np.append(self.whole, whole)
+
+    def tokens(self, side: int, numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of chunks, their ends from their row's start, and the rows' offsets in them; rows: offsets in numbers."""
+        firsts = self.firsts[side]
+        counts = firsts[numbers + 1] - firsts[numbers]
+        upto = np.append(0, np.cumsum(counts))
+        ids = self.ids[side][np.arange(upto[-1]) + np.repeat(firsts[numbers] - upto[:-1], counts)]
+        ends, offsets = np.cumsum(self.tokenizers.sizes[side][ids]), upto[rows]
+        return ids, ends - np.repeat(np.append(0, ends)[offsets[:-1]], np.diff(offsets)), offsets
 
 
 def chunks_of(text: str) -> list[str]:
@@ -90,119 +133,102 @@ def chunks_of(text: str) -> list[str]:
     return _seam.split(text) if _other_blanks(text) else text.split(" ")
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, size: int = SLICE) -> DataFrame:
-    """docs (id, text) to slices: docs (id, n_a, n_b and numbers of its chunks; a text without tokens has no chunks), and for
-    the distinct chunks end to end chunk_ends, how often each is used, and each side's ends, ids (end << 32 | id) and at
-    (end << 32 | index, with a bit for side b); a_chunk is the chunk of each token of side a."""
+def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: int = PART_CHUNKS) -> DataFrame:
+    """docs (row, id, text) to rows of parts (row, id, part, parts) with each side's ends and ids (end << 32 | id). A text
+    without tokens has one part, of none."""
     kind = docs.schema["id"].dataType.simpleString()
-    sides = ", ".join(f"{s}_ends array<int>, {s}_ids array<long>, {s}_at array<long>" for s in "ab")
-    schema = f"slice long, docs array<struct<id: {kind}, n_a: long, n_b: long, numbers: array<int>>>, chunk_ends array<int>, uses array<int>, a_chunk array<int>, {sides}"
-
-    def one(values: np.ndarray, kind: np.dtype) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values.astype(kind)))
+    schema = f"row long, id {kind}, part int, parts int, " + ", ".join(f"{s}_ends array<int>, {s}_ids array<long>" for s in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizers = Tokenizers(ranks_path, pieces_path)
-
-        def numbered(texts: list[str | None]) -> tuple[list[str], list[np.ndarray]]:
-            known: dict[str, int] = {}
-            numbers = [np.fromiter((known.setdefault(c, len(known)) for c in chunks), np.int32, len(chunks)) for chunks in map(chunks_of, texts)]
-            return list(known), numbers
-
-        def made(number: int, keys: list, kind: pa.DataType, texts: list[str | None]) -> pa.RecordBatch:
-            chunks, numbers = numbered(texts)
-            ids, bad = tokenizers.laid(chunks)
-            if bad:
-                bad = np.isin(np.arange(len(chunks)), bad)
-                chunks, numbers = numbered([None if bad[n].any() else t for n, t in zip(numbers, texts)])
-                ids, _ = tokenizers.laid(chunks)
-            chunk_ends = np.cumsum([len(c.encode()) + 1 for c in chunks] or [0][:0])
-            all_numbers = np.concatenate([np.empty(0, np.int32), *numbers])
-            columns, counts = [], []
+        chunks = Chunks(Tokenizers(ranks_path, pieces_path))
+
+        def made(docs: list[tuple], texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
+            if len(chunks.ids[0]) > REMEMBERED:
+                chunks.forget()
+            rows, numbers, offsets = [], [np.empty(0, np.int64)], [0]
+            for doc, found in zip(docs, chunks.numbers(texts)):
+                if not chunks.whole[found].all():
+                    found = found[:0]
+                parts = max(1, -(-len(found) // part_chunks))
+                for part in range(parts):
+                    rows.append((*doc, part, parts))
+                    offsets.append(min(len(found), (part + 1) * part_chunks) - part * part_chunks)
+                numbers.append(found)
+            offsets, numbers = np.cumsum(offsets), np.concatenate(numbers)
+            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), kind, pa.int32(), pa.int32()))]
             for side in range(2):
-                ends = np.cumsum(tokenizers.sizes[side][ids[side]])
-                counts.append(np.diff(np.searchsorted(ends, chunk_ends, "right"), prepend=0))
-                columns += [one(ends, np.int32), one(ends << 32 | ids[side], np.int64), one(ends << 32 | side * SIDE | np.arange(len(ends)), np.int64)]
-            offsets = pa.array(np.append(0, np.cumsum([len(n) for n in numbers])).astype(np.int32))
-            fields = [pa.array(keys, kind), *(pa.array([int(c[n].sum()) for n in numbers], pa.int64()) for c in counts), pa.ListArray.from_arrays(offsets, pa.array(all_numbers))]
-            docs = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), pa.StructArray.from_arrays(fields, ["id", "n_a", "n_b", "numbers"]))
-            uses = np.bincount(all_numbers, minlength=len(chunks))
-            first = [pa.array([number], pa.int64()), docs, one(chunk_ends, np.int32), one(uses, np.int32), one(np.repeat(np.arange(len(chunks)), counts[0]), np.int32)]
-            return pa.RecordBatch.from_arrays([*first, *columns], names=["slice", "docs", "chunk_ends", "uses", "a_chunk", *(f"{s}_{n}" for s in "ab" for n in ("ends", "ids", "at"))])
-
-        number = TaskContext.get().partitionId() << 33
-        keys, texts, held, kind = [], [], 0, None
+                ids, ends, at = chunks.tokens(side, numbers, offsets)
+                columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ends.astype(np.int32), ends << 32 | ids)]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "id", "part", "parts", *(f"{s}_{n}" for s in "ab" for n in ("ends", "ids"))])
+
         for batch in batches:
-            kind = batch.column(0).type
-            for key, text in zip(batch.column(0), batch.column(1)):
-                keys.append(key.as_py())
+            docs, texts, size = [], [], 0
+            for row, key, text in zip(*(batch.column(i) for i in range(3))):
+                docs.append((row.as_py(), key.as_py()))
                 texts.append(text.as_py())
-                held += len(texts[-1])
-                if held >= size:
-                    yield made(number, keys, kind, texts)
-                    keys, texts, held, number = [], [], 0, number + 1
-        if keys:
-            yield made(number, keys, kind, texts)
+                size += len(texts[-1])
+                if size >= STEP:
+                    yield made(docs, texts, batch.column(1).type)
+                    docs, texts, size = [], [], 0
+            if docs:
+                yield made(docs, texts, batch.column(1).type)
 
-    return map_batches(docs.select("id", "text"), run, schema)
+    return map_batches(docs.select("row", "id", "text"), run, schema)
 
 
 def _parted(side: str) -> Column:
-    """The ids of one side: parted by commas, by semicolons at the ends of groups and by # at those of chunks."""
-
-    def marks(ends: Column | str, mark: int) -> Column:
-        return F.transform(ends, lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(mark)))
-
-    tokens = F.sort_array(F.concat(f"{side}_ids", marks("inner_ends", GROUP_END), marks("chunk_ends", CHUNK_END)))
-    named = F.array_join(F.transform(tokens, lambda x: x.bitwiseAND(F.lit(LOWER_HALF)).cast("string")), ",")
-    for mark, sign in ((GROUP_END, ";"), (CHUNK_END, "#")):
-        named = F.replace(named, F.lit(f",{mark},"), F.lit(sign))
-    return F.regexp_replace(named, f",{CHUNK_END}$", "")
-
-
-def _chunk_groups() -> Column:
-    """Of each chunk its groups, `a1,a2|b1;a3|b2,b3`."""
-    both = lambda a, b: F.concat(a, F.lit("|"), b)
-    several = lambda a, b: F.array_join(F.zip_with(F.split(a, ";"), F.split(b, ";"), both), ";")
-    return F.zip_with(F.split(_parted("a"), "#"), F.split(_parted("b"), "#"), lambda a, b: F.when(F.contains(a, F.lit(";")), several(a, b)).otherwise(both(a, b)))
-
-
-def links_of(slices: DataFrame, width: int, kind: str) -> DataFrame:
-    """slices to the links of their distinct chunks, a row each (slice, chunk, uses, pair), pair being a_id * width + b_id,
-    and one more row for the slice itself: slice and docs (id, n_a, n_b, numbers, groups_sha256)."""
-    found = slices.withColumn("inner_ends", F.array_except(F.array_intersect("a_ends", "b_ends"), "chunk_ends")).withColumn("groups", _chunk_groups())
-
-    def doc(d: Column) -> Column:
-        groups = F.array_join(F.transform(d["numbers"], lambda n: F.col("groups")[n]), ";")
-        # The test of the column of groups also keeps it a column, made once and not for each of its uses.
-        sha = F.when((F.size(d["numbers"]) > 0) & (F.size("groups") > 0), F.sha2(groups.cast("binary"), 256)).otherwise("")
-        return F.struct(*[d[c].alias(c) for c in ("id", "n_a", "n_b", "numbers")], sha.alias("groups_sha256"))
-
-    ends = F.concat(F.sort_array(F.concat("a_at", "b_at")), F.array(F.lit(-1).cast("long")))
-    found = found.select("slice", F.transform("docs", doc).alias("docs"), "uses", "a_chunk", "a_ids", "b_ids", ends.alias("ends"))
+    """The ids of one side, in groups: those of a group are parted by commas."""
+    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(MARK)))
+    named = F.array_join(F.transform(F.sort_array(F.concat(f"{side}_ids", marks)), lambda x: x.bitwiseAND(F.lit(MARK)).cast("string")), ",")
+    return F.split(F.regexp_replace(F.replace(named, F.lit(f",{MARK},"), F.lit(";")), f",{MARK}$", ""), ";")
+
+
+def grouped(tokens: DataFrame) -> DataFrame:
+    """tokens to (row, id, part, parts, n_a, n_b, groups), groups being `a1,a2|b1`, `a3|b2,b3` and so on, and their hash if this is the only part."""
+    both = F.zip_with(_parted("a"), _parted("b"), lambda a, b: F.concat(a, F.lit("|"), b))
+    found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
+    found = found.withColumn("groups", F.when(F.size("common") > 0, both).otherwise(F.array().cast("array<string>")))
+    named = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
+    return found.select("row", "id", "part", "parts", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "groups", F.when(F.col("parts") == 1, named).alias("groups_sha256"))
+
+
+def links_of(groups: DataFrame, sizes: list[np.ndarray], width: int) -> DataFrame:
+    """groups (group, n) to their links (group, n, pair), pair being a_id * width + b_id; sizes: of both sides' tokens by id."""
+    a, b = (F.split(F.substring_index("group", "|", end), ",").cast("array<long>") for end in (1, -1))
+    found = groups.select("group", "n", a.alias("a"), b.alias("b"))
+    single = (F.size("a") == 1) & (F.size("b") == 1)
+    plain = found.where(single).select("group", "n", (F.col("a")[0] * width + F.col("b")[0]).alias("pair"))
+
+    def at(side: str) -> Column:
+        size = F.split(F.lit(",".join(map(str, sizes[side == "b"]))), ",").cast("array<int>")  # constant, so made once
+        ends = F.aggregate(side, F.array(F.lit(0).cast("long")), lambda ends, i: F.concat(ends, F.array(F.element_at(ends, -1) + size[i.cast("int")])))
+        return F.transform(F.slice(ends, 2, F.size(side)), lambda e, i: F.shiftleft(e, 32).bitwiseOR(i.cast("long") + (SIDE if side == "b" else 0)))
+
+    found = found.where(~single).select("*", F.sort_array(F.concat(at("a"), at("b"))).alias("ends"))
     found = found.select("*", F.posexplode_outer("ends").alias("k", "x"))  # never empty; without `outer` the planner adds a test that sorts again
     x, k = F.col("x"), F.col("k")
     index = x.bitwiseAND(F.lit(INDEX)).cast("int")
     of_a = x.bitwiseAND(F.lit(SIDE)) == 0
-    # A common end stands there twice: side a's gives the link.
+    # A common end, which is the group's, stands there twice: side a's gives the link.
     again = ~of_a & (k > 0) & (F.shiftright(F.col("ends")[F.greatest(k - 1, F.lit(0))], 32) == F.shiftright(x, 32))
-    at = {s: F.when(of_a == (s == "a"), index).otherwise(k - index) for s in "ab"}
-    a, b = (F.col(f"{s}_ids")[at[s]].bitwiseAND(F.lit(INDEX)) for s in "ab")
-    own = x < 0
-    chunk = F.when(~own, F.col("a_chunk")[at["a"]])
-    found = found.where(own | ~again).select("slice", chunk.alias("chunk"), F.when(~own, a * width + b).cast(kind).alias("pair"), F.when(own, F.col("docs")).alias("docs"), "uses")
-    return found.select("slice", "chunk", F.when(F.col("chunk").isNotNull(), F.col("uses")[F.col("chunk")]).alias("uses"), "pair", "docs")
+    of = {s: F.col(s)[F.when(of_a == (s == "a"), index).otherwise(k - index)] for s in "ab"}
+    return plain.unionByName(found.where(~again).select("group", "n", (of["a"] * width + of["b"]).alias("pair")))
 
 
-def counted(links: DataFrame, width: int) -> DataFrame:
-    """(pair, n, best): how many links hold a pair, and 1 where no pair of its b id is in more; links: pair and uses."""
-    counts = table(links.groupBy("pair").agg(F.sum("uses").alias("n")).withColumn("b", F.col("pair") % width))
-    most = counts.groupBy("b").agg(F.max("n").alias("most"))
-    return table(counts.join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best")))
+def group_sums(groups: DataFrame, sizes: list[np.ndarray]) -> DataFrame:
+    """groups (group, n) with n_best and count_sum, sums over the links of one group, by the counts of all groups' links."""
+    width = len(sizes[1])
+    links = table(links_of(groups, sizes, width))
+    counts = table(links.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("b", F.col("pair") % width))
+    most = counts.groupBy("b").agg(F.max("count").alias("most"))
+    judged = counts.join(most, "b").select("pair", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
+    # A frequent pair stands in many groups: written, so that Spark can split its rows.
+    met = links.select("group", "n", "pair").join(table(judged), "pair")
+    return table(met.groupBy("group").agg(F.first("n").alias("n"), F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")))
 
 
 def least_common(counts: DataFrame, limit: int) -> int:
-    """The least power of two that no more than `limit` pairs reach."""
+    """The least power of two that no more than `limit` values of n reach."""
     by_bits = dict(map(tuple, counts.groupBy(F.length(F.bin("n")).alias("bits")).count().collect()))  # 63 rows at the most
     total = 0
     for bits in range(63, 0, -1):
@@ -212,26 +238,19 @@ def least_common(counts: DataFrame, limit: int) -> int:
     return 1
 
 
-def sums_of(links: DataFrame, counts: DataFrame, limit: int) -> DataFrame:
-    """For each slice arrays by the number of a chunk: links, best and n, their sums. The counts of the most frequent pairs, `limit`
-    at the most, are broadcast; a link of another pair meets its count in a shuffle. Such a pair has few links, so none is hot."""
-    least = least_common(counts, limit)
-    links = links.select("slice", "chunk", "pair")
-    sums = lambda df: df.groupBy("slice", "chunk").agg(F.count(F.lit(1)).alias("links"), F.sum("best").alias("best"), F.sum("n").alias("n"))
-    found = links.join(F.broadcast(counts.where(F.col("n") >= least)), "pair", "left")
-    if least > 1:
-        rare = found.where("n is null").select("slice", "chunk", "pair").join(counts.where(F.col("n") < least).hint("merge"), "pair")
-        both = sums(found.where("n is not null")).unionByName(sums(rare))
-        found = both.groupBy("slice", "chunk").agg(*[F.sum(c).alias(c) for c in ("links", "best", "n")])
-    else:
-        found = sums(found)
-    # Each chunk has a link, so the place in order is its number.
-    chunks = F.sort_array(F.collect_list(F.struct("chunk", "links", "best", "n")))
-    by_slice = found.groupBy("slice").agg(chunks.alias("chunks"))
-    return by_slice.select("slice", *[F.col("chunks")[c].alias(c) for c in ("links", "best", "n")])
-
-
-def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SLICE, common_pairs: int = COMMON_PAIRS) -> DataFrame:
+def sums_of(rows: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """(row, n_best, count_sum) of rows (row, group). The sums of the most frequent groups, `limit` at the most, are broadcast;
+    another group meets its own in a shuffle. Such a group is in few places, so none is hot."""
+    least = least_common(known, limit)
+    sums = lambda df: df.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    marked = rows.join(F.broadcast(known.where(F.col("n") >= least).drop("n")), "group", "left")
+    if least == 1:
+        return sums(marked)
+    rare = marked.where("n_best is null").select("row", "group").join(known.where(F.col("n") < least).hint("merge"), "group")
+    return sums(marked.where("n_best is not null")).unionByName(sums(rare))
+
+
+def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", part_chunks: int = PART_CHUNKS, common_groups: int = COMMON_GROUPS) -> DataFrame:
     """One row a document: the id column, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups_sha256.
 
     A's tokens are those of the byte-level vocabulary over a space and the text, B's those of the sentencepiece model over
@@ -240,23 +259,24 @@ def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc
     rows count again; n_best are the links whose pair is, or ties for, the most frequent of its B id, count_sum adds up
     the links' counts. Repeated and null ids are rows of their own, an empty table gives no rows, other columns are ignored.
 
-    Memory grows with the longest text: by the tokens of its distinct chunks, the numbers of all, and its string of groups.
+    Memory is bounded but for a chunk without single spaces, which is tokenised at once, and for the string of groups of a
+    document of several parts. A group of thousands of tokens costs as their number squared, once.
     """
-    tokenizers = Tokenizers(ranks_path, pieces_path)
-    width = len(tokenizers.decoded)
-    kind = "int" if width * tokenizers.encoder.full.n_vocab < 1 << 31 else "long"
-    named = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = table(links_of(tokenised(named, ranks_path, pieces_path, size), width, kind))
-    links = rows.where("pair is not null").select("slice", "chunk", "uses", "pair")
-    sums = sums_of(links, counted(links.select("pair", "uses"), width), common_pairs)
-    found = rows.where("docs is not null").select("slice", "docs").join(sums, "slice", "left")
-
-    def doc(d: Column) -> Column:
-        total = lambda c: F.aggregate(d["numbers"], F.lit(0).cast("long"), lambda sum_, n: sum_ + F.col(c)[n])
-        sums = F.struct(total("links").alias("n_links"), total("best").alias("n_best"), total("n").alias("count_sum"))
-        return F.struct(d["id"].alias(id_col), *[d[c].alias(c) for c in ("n_a", "n_b", "groups_sha256")], sums.alias("sums"))
-
-    found = found.select(F.inline(F.transform("docs", doc)))
+    sizes = Tokenizers(ranks_path, pieces_path).sizes
+    named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    found = grouped(tokenised(named, ranks_path, pieces_path, part_chunks))
+    path = new_path(docs.sparkSession, "groups")
+    found.write.option("parquet.dictionary.page.size", DICTIONARY).parquet(path)
+    parts = docs.sparkSession.read.schema(found.schema).parquet(path)
+    single = parts.select("row", F.explode("groups").alias("group"))
+    known = group_sums(table(single.groupBy("group").agg(F.count(F.lit(1)).alias("n"))), sizes)
+    several = parts.where("parts > 1").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", F.array_join("groups", ";").alias("groups")))).alias("all"))
+    several = several.select("row", F.sha2(F.array_join(F.transform("all", lambda p: p["groups"]), ";").cast("binary"), 256).alias("groups_sha256"))
+    counts = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b")] + [F.size("groups").cast("long").alias("n_groups")]
+    own = parts.select("row", "id", *counts, "groups_sha256")
+    every = own.unionByName(sums_of(single, known, common_groups), allowMissingColumns=True).unionByName(several, allowMissingColumns=True)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    found = every.groupBy("row").agg(F.max("id").alias(id_col), *map(total, ("n_a", "n_b", "n_groups", "n_best", "count_sum")), F.max("groups_sha256").alias("groups_sha256"))
     # The distinct ends are those of both sides less the common ones, and one link ends at each.
-    n_groups = F.col("n_a") + F.col("n_b") - F.col("sums.n_links")
-    return found.select(id_col, "n_a", "n_b", n_groups.alias("n_groups"), "sums.n_links", "sums.n_best", "sums.count_sum", "groups_sha256")
+    n_links = F.col("n_a") + F.col("n_b") - F.col("n_groups")
+    return found.select(id_col, "n_a", "n_b", "n_groups", n_links.alias("n_links"), "n_best", "count_sum", "groups_sha256")

@@ -89,12 +89,12 @@ def same(got, wanted):
 ODD = ["", None, " ", "  a  b ", "<s>x</s><unk>", "<|endoftext|> x", "a▁b", "a\x00b", "\n\n a", "你好 é\U0001f600", "é ", "a\tb\r\n", "<0x0A>", "�", "a  b", "ｆｕｌｌ width", "=" * 500, "ab" * 2000, " " * 300 + "x", "don't can't  won't", "\x1c x \x1c", "x \u0085 y", "1234567 89 000", "ﬁ ① Å", "x​y z﻿"]
 
 
-@pytest.mark.parametrize(("size", "common"), [(1 << 21, 1 << 18), (20, 10), (1, 0)])
-def test_odd_texts(spark, plain_tokens, size, common):
-    """Small slices give what one large one does, and so do pairs that are joined in place of broadcast."""
+@pytest.mark.parametrize(("part", "common"), [(1 << 13, 1 << 18), (5, 10), (1, 0)])
+def test_odd_texts(spark, plain_tokens, part, common):
+    """Parts of a text give what the whole one does, and so do groups that are joined in place of broadcast."""
     texts = list(enumerate(ODD)) + [(100, "the cat  sat on the mat. " * 30), (100, "the cat sat"), (None, "the cat sat"), (101, None)]
     docs = spark.createDataFrame([(k, t, 1, "x") for k, t in texts], "doc_id long, text string, row int, pair string").repartition(3)
-    same(alignment.align(docs, RANKS, PIECES, size=size, common_pairs=common).collect(), plain_rows(texts, plain_tokens))
+    same(alignment.align(docs, RANKS, PIECES, part_chunks=part, common_groups=common).collect(), plain_rows(texts, plain_tokens))
 
 
 def test_odd_documents(spark, odd, texts, plain_tokens):
