@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, mixed, prefix_sums, smallest, span_hashes, steps, text_or_empty
+from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, lean, map_batches, mixed, prefix_sums, smallest, span_hashes, steps, text_or_empty
 
 BITS = 18
 #: Of each byte: 0 white space and controls, 1 letters and digits, 2 punctuation.
@@ -108,7 +108,7 @@ def train(labelled: DataFrame, max_train: int = 8000, epochs: int = 3, text_col:
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype(np.float32).tobytes()], pa.binary())], names=["weights"])
 
     sample = labelled.select(text_or_empty(text_col).alias("text"), F.col(label_col).cast("int").alias("y"), F.col(order_col).alias("o")).orderBy("o", "text").limit(max_train)
-    found = sample.coalesce(1).select("text", "y").mapInArrow(run, "weights binary").first()
+    found = sample.coalesce(1).select("text", "y").mapInArrow(lean(run), "weights binary").first()
     return np.frombuffer(found["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -126,7 +126,7 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
             p = 1 / (1 + np.exp(-np.clip(logits + weights[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
 
-    return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
+    return map_batches(docs.select(F.col(id_col), text_or_empty(text_col).alias("text")), run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
 def fold(id_col: Column, folds: int) -> Column:

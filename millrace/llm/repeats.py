@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, Powers, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty, utf8
+from millrace.llm.common import BATCH_BYTES, BYTE_POWERS, BYTE_VALUES, LOWER, SPACE, WORD_POWERS, Powers, map_batches, mixed, prefix_sums, span_hashes, spans_of, steps, text_or_empty, utf8
 from millrace.llm.suffix_array import common_with_previous, suffix_array
 from millrace.sources.shared import bucketed, table
 
@@ -103,7 +103,7 @@ def stretches(docs: DataFrame, length: int, gram: int, words: bool = False) -> D
                         part = values[at : at + REACH + length - 1]
                         yield from emit(rows[low:high], np.array([at]), part, np.array([0, len(part)]), powers)
 
-    return docs.select("row", "text").mapInArrow(run, STRETCH)
+    return map_batches(docs.select("row", "text"), run, STRETCH)
 
 
 def repeated_in_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
@@ -146,7 +146,30 @@ def repeated_in_shards(pieces: DataFrame, length: int, shard_bytes: int) -> Data
         if parts:
             yield solve(parts)
 
-    return pieces.select("key", "row", "start", "once", "data").mapInArrow(run, "row long, first long, last long")
+    return map_batches(pieces.select("key", "row", "start", "once", "data"), run, "row long, first long, last long")
+
+
+def cut_pieces(rows: DataFrame) -> DataFrame:
+    """rows (row, text, wanted) to (key, classes, once, start, row, data): of each text the bytes of the stretches that are wanted.
+
+    A text is taken once, whatever the number of its stretches, and gives batches of some BATCH_BYTES.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, text, wanted in zip(batch.column("row").to_pylist(), batch.column("text"), batch.column("wanted")):
+                data, _ = utf8(pa.array([text.as_py()], pa.string()))
+                fields = {f: wanted.values.field(f) for f in ("key", "classes", "once", "start", "size")}
+                start, size = fields["start"].to_numpy(), fields["size"].to_numpy()
+                bounds = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // BATCH_BYTES, prepend=0, append=-1))
+                first = 0
+                for last in np.unique(np.append(bounds[bounds > 0], len(size))).tolist():
+                    cuts = [data[a : a + n].tobytes() for a, n in zip(start[first:last].tolist(), size[first:last].tolist())]
+                    part = [fields[f].slice(first, last - first) for f in ("key", "classes", "once", "start")]
+                    yield pa.RecordBatch.from_arrays([*part, pa.array(np.full(len(cuts), row)), pa.array(cuts, pa.binary())], names=["key", "classes", "once", "start", "row", "data"])
+                    first = last
+
+    return map_batches(rows.select("row", "text", "wanted"), run, "key long, classes long, once boolean, start long, row long, data binary")
 
 
 def counted_singly(pieces: DataFrame, length: int) -> DataFrame:
@@ -161,7 +184,7 @@ def counted_singly(pieces: DataFrame, length: int) -> DataFrame:
                 columns = [pa.array(one), pa.array(two), pa.array(np.full(len(at), row)), pa.array(at + start), pa.array(np.full(len(at), once))]
                 yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "row", "first", "once"])
 
-    singles = table(pieces.select("key", "row", "start", "once", "data").mapInArrow(run, "h1 long, h2 long, row long, first long, once boolean"))
+    singles = table(map_batches(pieces.select("key", "row", "start", "once", "data"), run, "h1 long, h2 long, row long, first long, once boolean"))
     many = table(singles.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")).hint("merge")
     return singles.where("once").join(many, ["h1", "h2"]).select("row", "first", (F.col("first") + 1).alias("last"))
 
@@ -233,9 +256,7 @@ def repeats(
     open_keys = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes"), F.min("n").alias("least")).where("least = 1").drop("least")
     samples = classes.join(table(open_keys), "key").select("key", "classes", (F.col("n") == 1).alias("once"), "one.*")
     wanted = samples.groupBy("row").agg(F.collect_list(F.struct("key", "classes", "once", "start", "size")).alias("wanted"))
-    data = F.encode("text", "UTF-8")
-    pieces = rows.select("row", "text").join(wanted, "row").select("row", data.alias("data"), F.explode("wanted").alias("w"))
-    pieces = table(pieces.select("w.*", "row", F.substring("data", F.col("w.start").cast("int") + 1, F.col("w.size")).alias("data")))
+    pieces = table(cut_pieces(rows.select("row", "text").join(wanted, "row")))
     in_shards = repeated_in_shards(pieces.where(F.col("classes") <= crowd).repartition("key").sortWithinPartitions("key"), length, shard_bytes)
     singly = counted_singly(pieces.where(F.col("classes") > crowd), length)
     # A merge join: of the joins that deal out both sides, the one whose frequent keys Spark splits.
@@ -286,4 +307,4 @@ def removed(rows: DataFrame, length: int, passage: int, id_col: str) -> DataFram
                 names=["row", id_col, "n_bytes", "spans", "kept", "passages"],
             )
 
-    return rows.select("row", "id", "text", "hit", "met").mapInArrow(run, schema)
+    return map_batches(rows.select("row", "id", "text", "hit", "met"), run, schema)

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -104,3 +105,14 @@ def test_suffix_array(data):
     for k in range(1, len(sa)):
         a, b = data[sa[k - 1] :], data[sa[k] :]
         assert shared[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def test_pieces_of_a_long_text(spark):
+    """Of 16 MB some 100,000 pieces: in seconds, where a copy of the text for each would take hours."""
+    n, size = 16 << 20, 600
+    rows = spark.createDataFrame([(7, "abcdefgh" * (n // 8))], "row long, text string")
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - size), F.lit(160)), lambda i: F.struct((i % 5).cast("long").alias("key"), F.lit(2).cast("long").alias("classes"), F.lit(True).alias("once"), i.cast("long").alias("start"), F.lit(size).alias("size")))
+    began = time.time()
+    got = repeats.cut_pieces(rows.withColumn("wanted", places)).agg(F.count(F.lit(1)), F.sum(F.octet_length("data")), F.min(F.col("data").cast("string").startswith("abc")), F.max("start"), F.min("row")).first()
+    count = (n - size) // 160 + 1
+    assert tuple(got) == (count, count * size, True, (count - 1) * 160, 7) and time.time() - began < 60
