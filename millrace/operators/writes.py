@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import blank_to_null, file_ext, now_millis, object_path, owned_by, present, public_url, trimmed
 from millrace.operators.listing import age, positions
+from millrace.sources.objects import Objects
 from millrace.sources.products import COLUMNS
+from millrace.sources.shared import table
 from millrace.sources.versions import Versioned
 
 #: What a patch sets, and how each is cleaned.
@@ -93,3 +95,24 @@ def patch_files(products: Versioned, patches: DataFrame, user: str | None = None
     """`updated` on a Versioned table, in one commit: only the files that hold a patched id are written again; gives those."""
     keys = latest(patches).where(~_fields_missing()).select(F.col("id").alias("key"))
     return products.rewrite(keys, lambda rows: updated(rows, patches, user, check_owner))
+
+
+def upload(drafts: DataFrame, images: DataFrame, objects: Objects, products: Versioned, base_url: str, now: Column) -> DataFrame:
+    """Stores the images of valid drafts and then their products; gives (draft_id, reject_reason) of those not stored.
+
+    drafts: those of `validated`, with draft_id (unique); images: (image_uri, content). Reasons are those of `validated`, then
+    `unread`, where there is no such image, and `taken`, where the image's name is. A product's id is its image's name, which is its
+    own since names are taken once.
+    """
+    judged = table(validated(drafts))
+    valid = judged.where("reject_reason is null").drop("reject_reason")
+    path = object_path(file_ext(F.col("image_uri")), F.concat(F.unix_millis(now).cast("string"), F.lit("-"), F.col("draft_id").cast("string")))
+    named = table(valid.join(images.select("image_uri").distinct(), "image_uri", "left_semi").withColumn("path", path))
+    taken = objects.put(named.join(images, "image_uri").select(F.col("draft_id").alias("source"), "path", "content"))
+    good = named.join(taken.select(F.col("source").alias("draft_id")), "draft_id", "left_anti")
+    fields = {c: f(F.col(c)) for c, f in FIELDS.items()}
+    rows = good.withColumns(fields | {"id": F.col("path"), "image_url": public_url(base_url, F.col("path")), "owner_id": F.col("user_id"), "created_at": now.cast("timestamp_ntz")})
+    products.append(rows.select(*COLUMNS))
+    unread = valid.join(named.select("draft_id"), "draft_id", "left_anti").select("draft_id", F.lit("unread").alias("reject_reason"))
+    bad = judged.where("reject_reason is not null").select("draft_id", "reject_reason")
+    return bad.unionByName(unread).unionByName(taken.select(F.col("source").alias("draft_id"), "reject_reason"))

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from millrace.functions import text
 from millrace.operators import likes, listing, maintained, writes
 from millrace.plans.catalog_sql import ORACLES
+from millrace.sources.objects import Objects
 from millrace.sources.products import SCHEMA, from_tables
 from millrace.sources.shared import new_path
+from millrace.sources.shelves import Shelves, lay_out
 from millrace.sources.versions import Versioned
 
 NOW = 1_700_000_000_000
@@ -218,10 +220,27 @@ def not_found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.not_found(p, keys).unionByName(listing.not_found(p, keys, listing.NOT_FOUND_TO_EDIT))
 
 
+def shelved_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """products_both, from the layout for listings."""
+    path = new_path(spark, "shelves")
+    lay_out(from_tables(spark, sf_dir), path)
+    return Shelves(spark, path).products_by("PROMO", "Brand#13")
+
+
+def taken_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages stored as objects, in two batches, under names that many share: what finds its name taken."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = text.object_path(text.file_ext(F.col("url")), F.lit(NOW) + F.col("page_id") % 40)
+    found = pages.select(F.col("page_id").alias("source"), F.when(F.col("page_id") % 9 != 0, name).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    objects = Objects(spark, new_path(spark, "objects"))
+    first = objects.put(found.where("source % 2 = 1"))
+    return first.unionByName(objects.put(found.where("source % 2 = 0")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [feed, categories, brands_in_category, products_both, products_category, products_brand, products_all, product_detail, product_details, liked_set, owner_editable]
     own += [normalize_drafts, rejected_drafts, apply_update, owner_updates, refused_updates, added_products, empty_listings, apply_insert, image_path_fields, brand_route, listing_title, edit_form]
-    own += [pinned_rows, patched_files, repeated_ids, feed_toggled, brands_after_changes, not_found_pages]
+    own += [pinned_rows, patched_files, repeated_ids, feed_toggled, brands_after_changes, not_found_pages, shelved_products, taken_names]
     return {f.__name__: f for f in own}
 
 

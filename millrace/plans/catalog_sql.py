@@ -90,6 +90,10 @@ SELECT page_id, ext, 'image/' || CASE WHEN ext = 'jpg' THEN 'jpeg' ELSE ext END
     "repeated_ids": f"""WITH {PRODUCTS}, named AS (SELECT CASE WHEN id::BIGINT % 50 <> 0 THEN CASE id::BIGINT % 3 WHEN 0 THEN id WHEN 1 THEN 'n' || id ELSE 't' || (id::BIGINT // 6) END END AS key FROM products)
 SELECT key, CASE WHEN key IS NULL THEN 'missing' WHEN key IN (SELECT id FROM products) THEN 'stored' ELSE 'twice' END AS reject_reason
 FROM named GROUP BY key HAVING key IS NULL OR count(*) > 1 OR key IN (SELECT id FROM products)""",
+    "taken_names": f"""WITH e AS (SELECT page_id, lower(string_split(string_split(url, '.')[-1], '?')[1]) AS x FROM pages),
+named AS (SELECT page_id AS source, CASE WHEN page_id % 9 <> 0 THEN 'products/' || (1700000000000 + page_id % 40) || '.' || {EXT} END AS path FROM e),
+firsts AS (SELECT path, arg_min(source, (source % 2 = 0, source)) AS first FROM named GROUP BY path)
+SELECT source, n.path, CASE WHEN n.path IS NULL THEN 'missing' ELSE 'taken' END AS reject_reason FROM named n LEFT JOIN firsts f ON n.path = f.path WHERE n.path IS NULL OR source <> first""",
     "brands_after_changes": f"""WITH {PRODUCTS}, now AS (
   SELECT id, created_at, CASE WHEN id::BIGINT % 7 = 0 THEN brand || 'x' ELSE brand END AS brand FROM products UNION ALL
   SELECT 'n' || id, TIMESTAMP '2023-11-14 22:13:20', brand FROM products WHERE id LIKE '%3'),
@@ -99,3 +103,4 @@ SELECT brand, row_number() OVER (ORDER BY ord) - 1 AS pos FROM firsts""",
 SELECT key, message FROM keys, (VALUES ('Not found'), ('Product not found')) v(message) WHERE NOT EXISTS (SELECT 1 FROM products p WHERE p.id = key AND category <> 'PROMO')""",
 }
 ORACLES["feed_toggled"] = ORACLES["feed"]
+ORACLES["shelved_products"] = ORACLES["products_both"]

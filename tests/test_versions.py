@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from millrace.operators import likes, listing, maintained, writes
 from millrace.sources import products as source
 from millrace.sources import versions as v
+from millrace.sources.objects import Objects, read_images
+from millrace.sources.shelves import Shelves, lay_out
 from millrace.sources.store import Store
 
 DAY = dt.datetime(2024, 1, 1)
@@ -202,3 +204,53 @@ def test_one_toggle_touches_one_page(spark, tmp_path):
     assert len(pages) == 8 and len(feed.toggle(spark.createDataFrame([(2, "p0030"), (3, "p0002"), (4, "p0002")], "seq long, id string"))) == 1
     assert len(set(pages) & set(feed.held.version().files)) == 7
     assert ids(feed.held.rows().where("liked")) == ["p0001", "p0030"]
+
+
+def files_read(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numFiles").get().value()
+
+
+def test_a_listing_reads_one_shelf(spark, small, tmp_path):
+    products = source.from_tables(spark, small).unionByName(shelf(spark, 9).withColumn("category", F.when(F.col("id") != "p0003", "")))
+    lay_out(products, f"{tmp_path}/s", 16, 40)
+    held = Shelves(spark, f"{tmp_path}/s")
+    for asked in (("PROMO", "Brand#13"), ("PROMO", None), ("", "b1"), (None, None), ("none", None)):
+        assert sorted(map(tuple, held.products_by(*asked).collect())) == sorted(map(tuple, listing.products_by(products, *asked).collect()))
+    for category in ("PROMO", "", None):
+        assert sorted(map(tuple, held.brands(category).collect())) == sorted(map(tuple, listing.brands(products, category).collect()))
+    every = files_read(held.products_by())
+    assert 0 < files_read(held.products_by("PROMO", "Brand#13")) <= every / 3
+    plan = held.products_by("PROMO", "Brand#13")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(shelf" in plan and "EqualTo(brand,Brand#13)" in plan
+
+
+def test_objects_are_never_overwritten(spark, tmp_path):
+    held = Objects(spark, f"{tmp_path}/o")
+    schema = "source long, path string, content binary"
+    rows = [(1, "a.jpeg", b"one"), (2, "a.jpeg", b"two"), (3, "b.png", b"x"), (4, None, b"y")]
+    assert sorted(map(tuple, held.put(spark.createDataFrame(rows, schema).repartition(4)).collect())) == [(2, "a.jpeg", "taken"), (4, None, "missing")]
+    again = spark.createDataFrame([(5, "a.jpeg", b"five"), (6, "c.jpg", b"six")], schema)
+    assert [tuple(r) for r in held.put(again).collect()] == [(5, "a.jpeg", "taken")]
+    assert sorted((r["path"], r["mime"], bytes(r["content"])) for r in held.rows().collect()) == [("a.jpeg", "image/jpeg", b"one"), ("b.png", "image/png", b"x"), ("c.jpg", "image/jpeg", b"six")]
+    assert held.get("b.png").count() == 1 and "EqualTo(path,b.png)" in held.get("b.png")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uploads_from_image_files(spark, tmp_path):
+    """Image files to objects and products; the largest file is not opened."""
+    (tmp_path / "i" / "more").mkdir(parents=True)
+    for name, data in (("a.JPEG", b"\xff\x00a"), ("more/b.png", b"b"), ("big.png", b"x" * 5000)):
+        (tmp_path / "i" / name).write_bytes(data)
+    images = read_images(spark, f"{tmp_path}/i", most=4000)
+    uri = lambda name: f"file:{tmp_path}/i/{name}"
+    rows = [(1, uri("a.JPEG"), " t ", "u"), (2, uri("more/b.png"), "t", "u"), (3, uri("big.png"), "t", "u"), (4, None, "t", "u"), (5, uri("a.JPEG"), " ", "u"), (6, uri("a.JPEG"), "t", None)]
+    drafts = spark.createDataFrame([(i, image, title, "b", "1", "c", "", user) for i, image, title, user in rows], "draft_id long, image_uri string, title string, brand string, price string, category string, url string, user_id string")
+    objects, products = Objects(spark, f"{tmp_path}/o"), v.Versioned(spark, f"{tmp_path}/p", source.SCHEMA, "id")
+    now = F.timestamp_millis(F.lit(1_700_000_000_000))
+    asked = writes.upload(drafts, images, objects, products, "https://s/", now)
+    assert sorted(map(tuple, asked.collect())) == [(3, "unread"), (4, "image"), (5, "fields"), (6, "user")]
+    assert sorted((r["title"], r["image_url"], r["owner_id"]) for r in products.rows().collect()) == [("t", "https://s/products/1700000000000-1.jpg", "u"), ("t", "https://s/products/1700000000000-2.png", "u")]
+    assert {r["path"]: bytes(r["content"]) for r in objects.rows().collect()} == {"products/1700000000000-1.jpg": b"\xff\x00a", "products/1700000000000-2.png": b"b"}
+    again = writes.upload(drafts.where("draft_id < 3"), images, objects, products, "https://s/", now)
+    assert sorted(map(tuple, again.collect())) == [(1, "taken"), (2, "taken")] and products.rows().count() == 2
