@@ -26,15 +26,50 @@ from millrace.sources.shared import table
 
 WIDTH, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 6
+#: Bytes of one text whose words are hashed at once.
+WINDOW = 1 << 20
 #: An odd multiplier for each minimum, and for each place in a band.
 FACTORS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, BANDS * ROWS + ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def windows(data: np.ndarray, width: int, limit: int) -> Iterator[np.ndarray]:
+    """Stretches of a text of some `limit` bytes, each of `width` words or more, such that each run of `width` words is in
+    just one; the whole text if it has fewer words."""
+    first = 0
+    while first < len(data):
+        size = limit
+        while True:
+            last = first + size
+            blank = np.flatnonzero(SPACE[data[last : last + limit]])[:1] if last < len(data) else None
+            if blank is not None and not len(blank):  # a word of more than limit bytes
+                size += limit
+                continue
+            last = len(data) if blank is None else last + int(blank[0])
+            inner = ~SPACE[data[first:last]]
+            starts = np.flatnonzero(inner & np.append(True, ~inner[:-1])) if len(inner) else inner
+            if len(starts) >= width or blank is None:
+                break
+            size *= 2
+        if len(starts) >= width or first == 0:
+            yield data[first:last]
+        if last == len(data):
+            return
+        first += int(starts[-(width - 1)]) if width > 1 else last - first
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's shingles and the offsets of the rows; of a text of fewer words, of all of them.
 
-    A-Z are lower-cased, and only \\x20 and \\x09-\\x0D part words.
+    A-Z are lower-cased, and only \\x20 and \\x09-\\x0D part words. One long text is taken window by window, so that no more
+    than the 8 bytes of each hash grow with it.
     """
+    if len(offsets) > 2 or len(data) <= 2 * WINDOW:
+        return _shingles(data, offsets, width)
+    found = np.concatenate([np.empty(0, np.uint64), *(_shingles(w, np.array([0, len(w)]), width)[0] for w in windows(data, width, WINDOW))])
+    return found, np.array([0, len(found)])
+
+
+def _shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     starts, ends, rows = spans_of(~SPACE[data], offsets)
     words = span_hashes(prefix_sums(BYTE_VALUES[LOWER[data]], BYTE_POWERS), starts, ends, BYTE_POWERS)

@@ -36,24 +36,31 @@ GENERATOR = 0b110001110101
 
 
 def fingerprint(text: str | None, width: int = 3) -> int:
-    """Each bit is 1 if it is set in over half of the hashes of the shingles of `width` words; 0 without words."""
+    """Each bit is 1 if it is set in over half of the hashes of the shingles of `width` words; 0 without words.
+
+    A long text is taken window by window, so that no more than its bytes grow with it.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
+    parts = [data] if len(data) <= 2 * minhash.WINDOW else map(bytes, minhash.windows(np.frombuffer(data, np.uint8), width, minhash.WINDOW))
+    bits, count = np.zeros(64, np.int64), 0
+    for hashes in (shingle_hashes(part, width) for part in parts):
+        count += len(hashes)
+        for at in range(0, len(hashes), 1 << 14):
+            part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > count, bitorder="little").view("<u8")[0])
+
+
+def shingle_hashes(data: bytes, width: int) -> np.ndarray:
     words = data.lower().split()  # of bytes: A-Z only, and only \x20 and \x09-\x0D part words
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = [0, *ends[:-width].tolist()]
-    ends = (ends[width - 1 :] - 1).tolist()
+    ends = (ends[min(width, len(words)) - 1 :] - 1).tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
-    bits = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 14):
-        part = hashes[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        bits += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends)], np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, set_width: int = 0, row_col: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import minhash, simhash
 from millrace.llm.components import _large_star, components
 
 
@@ -39,6 +39,28 @@ def test_fingerprint(words):
     assert simhash.fingerprint(text) == plain_fingerprint(text)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "É", "x\x0b", " ", "  \n", "zz", "longer", "y" * 30]), max_size=60), st.integers(1, 6), st.integers(1, 40))
+def test_windows_hold_each_shingle_once(parts, width, limit):
+    data = "".join(f"{p} " if i % 3 else p for i, p in enumerate(parts)).encode()
+    words = data.split()
+    wanted = [tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    found = []
+    for part in minhash.windows(np.frombuffer(data, np.uint8), width, limit):
+        w = bytes(part).split()
+        found += [tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))] if w else []
+    assert found == wanted
+
+
+def test_a_long_text_in_windows(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["one", "Two", "é", "x" * 90]) for _ in range(n)) for n in (4, 500, 2000)] + ["y" * 5000, " " * 3000]
+    whole = [(simhash.fingerprint(t), [x.tolist() for x in minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5)]) for t in texts]
+    monkeypatch.setattr(minhash, "WINDOW", 100)
+    assert [(simhash.fingerprint(t), [x.tolist() for x in minhash.shingles(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5)]) for t in texts] == whole
+    assert [f for f, _ in whole] == [plain_fingerprint(t) for t in texts]
+
+
 def test_near_groups_of_odd_documents(odd, texts):
     prints = [(k, plain_fingerprint(t)) for k, t in texts]
     root = classes({f for _, f in prints})
