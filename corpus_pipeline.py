@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept. All but the last return the columns of docs,
 whatever their names, and no docs give no rows. Rows are numbered once, in a written table, so a null or repeated id and a
 row that repeats another as a whole are rows of their own. `run` writes each stage's result to the shared folder and reads it
-again; those tables go when the driver ends.
+again, and frees it when the stage after it is written; what is left goes when the driver ends.
 """
 
 from __future__ import annotations
@@ -14,13 +14,17 @@ from millrace.llm import decontaminate, exact_dedup, language_id, minhash, packi
 from millrace.llm.common import without
 from millrace.llm.queries import byte_bpe_ranks, with_crc
 from millrace.sources.shared import new_path, numbered
+from millrace.sources.store import Store
 
 #: No stage before the packing can be expressed without trained models or XXH64.
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents whose language is `und` (null, no letter) or that fit no learned language."""
+    """Rejects documents whose language is `und` (null, no letter), and the few whose words speak for all languages nearly alike.
+
+    A text in a language that was never learned mostly passes: scores are shares among the learned ones. Repeated rows are judged alike.
+    """
     return language_id.known_languages(docs, language_id.train(docs))
 
 
@@ -48,7 +52,8 @@ def clean_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences, with their token ids; a null or empty text is the end id alone."""
+    """The pieces of all documents in their sequences, with their token ids; a null or empty text is the end id alone. Repeated rows are
+    documents of their own."""
     return with_crc(packing.pack(docs, byte_bpe_ranks()))
 
 
@@ -57,9 +62,12 @@ STAGES = [("language_id", language_stage), ("exact_dedup", exact_stage), ("near_
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packed pieces of what all stages keep of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            Store(spark, before).delete("")
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
