@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import BYTE_POWERS, BYTE_VALUES, LOWER, lean, map_batches, mixed, prefix_sums, smallest, span_hashes, steps, text_or_empty
 
 BITS = 18
+#: Bytes of one text that are taken at once.
+WINDOW = 1 << 20
+#: The longest n-grams are of three tokens, and a token's shape looks at the one before.
+CARRIED = 3
 #: Of each byte: 0 white space and controls, 1 letters and digits, 2 punctuation.
 KINDS = np.zeros(256, np.uint8)
 KINDS[33:127] = 2
@@ -62,6 +66,24 @@ def ngrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (np.concatenate(grams) >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate(rows), n_tokens
 
 
+def windows(data: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, int]]:
+    """Stretches of a text of some `limit` bytes that end with a token, and how many bytes of each repeat the last CARRIED tokens of
+    the one before. Its n-grams are those of the stretches less those of what is repeated."""
+    kind, first, carried = KINDS, 0, 0
+    while first + carried < len(data):
+        last = first + carried + limit
+        step = limit
+        while last < len(data) and kind[data[last]] == kind[data[last - 1]]:
+            same = np.flatnonzero(kind[data[last : last + step]] != kind[data[last - 1]])[:1]
+            last += int(same[0]) if len(same) else step
+        part = data[first : min(last, len(data))]
+        yield part, carried
+        own = kind[part]
+        starts = np.flatnonzero((own > 0) & (own != np.append(0, own[:-1])))
+        keep = int(starts[-min(CARRIED, len(starts))]) if len(starts) else len(part)
+        first, carried = first + keep, len(part) - keep
+
+
 class Ftrl:
     """Per-coordinate FTRL-Proximal for the logistic loss (McMahan et al.)."""
 
@@ -112,6 +134,19 @@ def train(labelled: DataFrame, max_train: int = 8000, epochs: int = 3, text_col:
     return np.frombuffer(found["weights"], np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 
 
+def sums(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the sum of its n-grams' weights, and the number of tokens; one long text is taken window by window."""
+    if len(offsets) > 2 or len(data) <= 2 * WINDOW:
+        at, row, n_tokens = ngrams(data, offsets)
+        return np.bincount(row, weights[at], len(offsets) - 1), n_tokens
+    total = np.zeros((2, 1))
+    for part, carried in windows(data, WINDOW):
+        for sign, piece in ((1, part), (-1, part[:carried])):
+            at, row, n_tokens = ngrams(piece, np.array([0, len(piece)]))
+            total += sign * np.array([np.bincount(row, weights[at], 1), n_tokens])
+    return total[0], total[1]
+
+
 def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id column and the probability `score` of label 1, for each row."""
     handle = docs.sparkSession.sparkContext.broadcast(weights)
@@ -121,8 +156,8 @@ def score(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col
         for batch in batches:
             logits = np.zeros(batch.num_rows)
             for low, high, data, offsets in steps(batch.column(1)):
-                at, row, n_tokens = ngrams(data, offsets)
-                logits[low:high] = np.bincount(row, weights[at], high - low) / np.sqrt(np.maximum(n_tokens, 1))
+                total, n_tokens = sums(data, offsets, weights)
+                logits[low:high] = total / np.sqrt(np.maximum(n_tokens, 1))
             p = 1 / (1 + np.exp(-np.clip(logits + weights[-1], -35, 35)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=[id_col, "score"])
 

@@ -9,6 +9,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from millrace.llm import language_id, quality
 from millrace.llm.common import BYTE_VALUES, utf8
@@ -231,3 +233,28 @@ def test_ngrams_stay_within_rows(text):
     two = quality.ngrams(data, np.array([0, len(text), 2 * len(text)]))
     assert two[2].tolist() == one[2].tolist() * 2
     assert sorted(two[0][two[1] == 1].tolist()) == sorted(one[0].tolist())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", "!", "..", " ", "\n", "same", "same ", "x" * 40, "?!" * 20]), max_size=60), st.integers(1, 50))
+def test_quality_of_windows(parts, limit):
+    """A text's n-grams are those of its windows less those of what windows repeat."""
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    weights = np.random.default_rng(1).standard_normal((1 << quality.BITS) + 1)
+    at, row, n_tokens = quality.ngrams(data, np.array([0, len(data)]))
+    total, n = 0.0, 0
+    for part, carried in quality.windows(data, limit):
+        for sign, piece in ((1, part), (-1, part[:carried])):
+            a, _, k = quality.ngrams(piece, np.array([0, len(piece)]))
+            total += sign * weights[a].sum()
+            n += sign * int(k[0])
+    assert n == int(n_tokens.sum()) and abs(total - weights[at].sum()) < 1e-6
+
+
+def test_quality_of_a_long_text(monkeypatch):
+    data = np.frombuffer(("The cat, the cat SAT!! on the mat. " * 400).encode(), np.uint8)
+    weights = np.random.default_rng(2).standard_normal((1 << quality.BITS) + 1)
+    whole = quality.sums(data, np.array([0, len(data)]), weights)
+    monkeypatch.setattr(quality, "WINDOW", 500)
+    found = quality.sums(data, np.array([0, len(data)]), weights)
+    assert np.allclose(whole[0], found[0]) and (whole[1] == found[1]).all()
