@@ -258,3 +258,44 @@ def test_quality_of_a_long_text(monkeypatch):
     monkeypatch.setattr(quality, "WINDOW", 500)
     found = quality.sums(data, np.array([0, len(data)]), weights)
     assert np.allclose(whole[0], found[0]) and (whole[1] == found[1]).all()
+
+
+def test_fit_by_plain_updates():
+    """AdaGrad on the conditional log-likelihood of sequences and spliced ones, by listing all labellings and one coordinate at a time."""
+    texts = [("the cat sat", 0), ("le chat noir", 1), ("the the dog", 0), ("the cat", 0), ("chat chat le", 1), ("le", 1)]
+    data, offsets = utf8(pa.array([t for t, _ in texts], pa.string()))
+    words = language_id.words_of(data, offsets)
+    truth = np.array([texts[r][1] for r in words.row])
+    model = language_id.fit(words, truth, ["en", "fr"], epochs=2, batch=3, rate=0.2, seed=7)
+
+    names = [w for t, _ in texts for w in t.split()]
+    assert set(model.lexicon) == {words.hashes[names.index(w)] for w, n in Counter(names).items() if n >= 3}
+    lexicon = language_id.lexicon_features(words.hashes, model.lexicon)
+    first = [*words.first, len(words.grams)]
+    features = [[*words.grams[first[i] : first[i + 1]].tolist(), *words.affixes[i].tolist(), int(lexicon[i])] for i in range(len(names))]
+    runs = [np.flatnonzero(words.row == r) for r in range(len(texts))]
+    rng = np.random.default_rng(7)
+    for i in rng.permutation(len(runs))[: len(runs) // 2].tolist():
+        other = runs[rng.integers(len(texts))]
+        runs.append(np.concatenate([runs[i][: rng.integers(len(runs[i])) + 1], other[rng.integers(len(other)) :]]))
+
+    weights, squares = Counter(), Counter()  # by (feature, label) and by (label, next label)
+    for _ in range(2):
+        for part in np.array_split(rng.permutation(len(runs)), max(1, len(runs) // 3)):
+            gradient = Counter()
+            for run in (runs[i].tolist() for i in part):
+                own = lambda y: Counter([(f, y[p]) for p, i in enumerate(run) for f in features[i]] + [("step", a, b) for a, b in zip(y, y[1:])])  # noqa: E731, B023
+                every = [own(y) for y in itertools.product((0, 1), repeat=len(run))]
+                scores = [sum(weights[c] * n for c, n in x.items()) for x in every]
+                z = sum(map(math.exp, scores))
+                for c, n in own([truth[i] for i in run]).items():
+                    gradient[c] += n / len(part)
+                for x, s in zip(every, scores):
+                    for c, n in x.items():
+                        gradient[c] -= math.exp(s) / z * n / len(part)
+            for c, g in gradient.items():
+                squares[c] += g * g
+                weights[c] += 0.2 * g / math.sqrt(squares[c] + 1e-2)
+    got = {c: model.transitions[c[1], c[2]] if c[0] == "step" else model.weights[c[0], c[1]] for c in weights}
+    assert len(got) > 60 and all(abs(got[c] - weights[c]) < 1e-4 for c in weights)
+    assert np.count_nonzero(model.weights) <= len(got)
