@@ -27,14 +27,35 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: Paths of intermediate tables that are not yet freed.
+_held: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str = "table") -> str:
-    """A path in the shared folder for an intermediate table; it is deleted when the driver ends."""
+    """A path in the shared folder for an intermediate table; it is deleted by `free`, or when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _file_system(spark, path).deleteOnExit(_hadoop_path(spark, path))
+    _held.append(path)
     return path
 
 
+def free(spark: SparkSession) -> int:
+    """Deletes the intermediate tables made so far, for a long session between queries whose results are stored: what was
+    made from them can't be read any more. Gives their number."""
+    gone, _held[:] = list(_held), []
+    for path in gone:
+        _file_system(spark, path).delete(_hadoop_path(spark, path), True)
+    return len(gone)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def table(df: DataFrame) -> DataFrame:
     """df by way of a table in the shared folder: computed once, safe from lost executors, of a size known to the planner."""
     spark = df.sparkSession

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import shutil
 import time
 
@@ -200,6 +201,14 @@ def test_numbers_stay_when_the_cores_change(spark, kind, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
+def test_tables_are_freed(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_held", [])
+    rows = shared.table(spark.range(5))
+    files = [f.removeprefix("file://") for f in rows.inputFiles()]
+    assert files and all(map(os.path.exists, files)) and shared.free(spark) == 1
+    assert not any(map(os.path.exists, files)) and shared.free(spark) == 0
+
+
 @pytest.mark.parametrize("scan", [True, False])
 def test_numbers_beside_any_column(spark, scan, tmp_path):
     names = ["_n", "_N_", "row", "row_", "rowfile", "rowplace", "rowcount", "row_count", "a.b", "_metadata" if not scan else "m"]
