@@ -239,7 +239,10 @@ class Versioned:
             made, filters = self._write(rows)
             while set(files) <= set(base.files):
                 kept = tuple(f for f in base.files if f not in files)
-                if self._commit(base, (*kept, *made), (*base.filters, *filters)):
+                # Filters of commits none of whose files are left go with them.
+                commits = {f.split("/")[1] for f in kept}
+                old = tuple(f for f in base.filters if f.split("/")[1] in commits)
+                if self._commit(base, (*kept, *made), (*old, *filters)):
                     return files
                 base = self.version()
         raise Conflict(f"{self.path} changed {TRIES} times meanwhile")

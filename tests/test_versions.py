@@ -112,6 +112,18 @@ def test_filters_miss_nothing(spark, tmp_path):
     assert met.count() - 40_000 < 40
 
 
+def test_filters_go_with_their_files(spark, tmp_path):
+    found = v.Versioned(spark, f"{tmp_path}/t", "id string, n long", "id")
+    found.append(spark.createDataFrame([("a", 1), ("b", 1)], "id string, n long").coalesce(1))
+    found.append(spark.createDataFrame([("c", 1)], "id string, n long").coalesce(1))
+    for _ in range(3):
+        found.rewrite(spark.createDataFrame([("a",)], "key string"), lambda rows: rows.withColumn("n", F.col("n") + 1))
+    assert len(found.version().filters) == len(found.version().files) == 2
+    assert found.free() == [1, 2, 3, 4] and len(found.store.names("keys")) == 2
+    assert sorted(map(tuple, found.rows().collect())) == [("a", 4), ("b", 4), ("c", 1)]
+    assert [tuple(r) for r in found.append(spark.createDataFrame([("b", 9)], "id string, n long")).collect()] == [("b", "stored")]
+
+
 def test_two_writers(spark, table, monkeypatch):
     """A commit that comes in between: keys it stored are refused, files it replaced are looked for again."""
     commit, first = v.Versioned._commit, []
