@@ -1,28 +1,32 @@
 """Alignment of two tokenizers' tokens over the same bytes: groups between common ends, links of tokens that overlap, and
 how often each pair of ids is linked in the whole corpus.
 
-Python only tokenises: it gives each side's ends in bytes, and the ends again with the ids in the lower half of one number.
-Both vocabularies always part a text at a single space between other characters, so each distinct chunk between such spaces
-is tokenised once as long as it is remembered, and a long text is dealt out over several rows.
-
-From there on Spark's array functions do all. The ends that both sides have (array_intersect) close the groups: sorted in
-among a side's tokens they part its ids, and both sides' parts are put together. A group's ids tell the bytes of its tokens and
-so their overlaps, so links are made once for each distinct group, from its ends in order: at place k of that order the index
-of a token of one side is known, and so how many tokens of the other end before, k less that index.
+Both vocabularies always part a text at a single space between other characters, so the chunks between such spaces can be
+tokenised and aligned by themselves, and each distinct one only once as long as a task remembers it. Python numbers the chunks
+and tokenises the new ones, laid end to end in pieces: each side's ends in bytes, and the ends again with the ids in the lower
+half of one number. A long text is dealt out over several rows.
+
+Spark's array functions make the groups of each piece. The ends that both sides have (array_intersect) close them: sorted in
+among a side's tokens they part its ids, and both sides' parts are put together. The next step of the same task lays the
+groups of each document's chunks end to end, by their numbers; rows reach it in the order in which they were made. A group's
+ids tell the bytes of its tokens and so their overlaps, so links are made once for each distinct group, from its ends in order: at
+place k of that order the index of a token of one side is known, and so how many tokens of the other end before, k less that index.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import islice
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, text_or_empty
+from millrace.llm.common import map_batches, text_or_empty, utf8
 from millrace.llm.packing import Encoder
 from millrace.sources.shared import new_path, table
 
@@ -32,8 +36,8 @@ PART_CHUNKS = 1 << 13
 #: Characters of text whose tokens make one Arrow batch, and those of new chunks that are tokenised at once.
 STEP, PIECE = 1 << 19, 1 << 12
 
-#: Tokens of distinct chunks that a task remembers, but for those of one step.
-REMEMBERED = 1 << 20
+#: Tokens of distinct chunks that a task remembers, but for those of one step; chunks whose groups are laid out at once.
+REMEMBERED, LAID_CHUNKS = 1 << 21, 1 << 17
 
 #: Groups whose sums are broadcast, some 30 MB; the rarer ones are joined by a shuffle.
 COMMON_GROUPS = 1 << 18
@@ -42,7 +46,6 @@ COMMON_GROUPS = 1 << 18
 DICTIONARY = 16 << 20
 
 _seam = re.compile(r"(?<=\S) (?=\S)")
-_outer_blank = re.compile(r"\A\s|\s\Z").search
 _other_blanks = re.compile(r"\s\s|\A\s|\s\Z").search
 
 #: The lower half of a sorted end: an id or an index, and a bit for side b; MARK comes after both.
@@ -72,59 +75,74 @@ class Tokenizers:
         return [a.astype(np.int64), np.array(b, np.int64)] if self.sizes[0][a].sum() == len(data) else None
 
 
+class Numbers(dict):
+    """Keys' numbers in the order in which they are first asked for; those not yet taken are `new`."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, key: str) -> int:
+        self.new.append(key)
+        self[key] = found = len(self)
+        return found
+
+    def take(self) -> list[str]:
+        found, self.new = self.new, []
+        return found
+
+
 class Chunks:
-    """Numbers of distinct chunks, and their ids on both sides; a chunk that can't be had back from its tokens is not `whole`."""
+    """Numbers of distinct chunks, and how many tokens they have on both sides; one that can't be had back from its tokens is not `whole`."""
 
     def __init__(self, tokenizers: Tokenizers):
         self.tokenizers = tokenizers
+        self.epoch = 0
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.epoch += 1
+        self.known = Numbers()
         self.whole = np.empty(0, bool)
-        self.ids = [np.empty(0, np.int64)] * 2
-        self.firsts = [np.zeros(1, np.int64)] * 2
+        self.counts = [np.empty(0, np.int32)] * 2
 
     def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        known, old = self.known, len(self.known)
-        found = [np.fromiter((known.setdefault(c, len(known)) for c in chunks), np.int64, len(chunks)) for chunks in map(chunks_of, texts)]
-        self._learn(list(islice(known, old, None)))
-        return found
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Chunks laid end to end are tokenised together; one with blanks at its ends, a text's first or last, by itself."""
-        found, whole, first = [[], []], np.ones(len(chunks), bool), 0
+        number = self.known.__getitem__
+        return [np.fromiter(map(number, chunks), np.int32, len(chunks)) for chunks in map(chunks_of, texts)]
+
+    def learn(self) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """What `numbers` found for the first time, tokenised: pieces of chunks laid end to end, in the order of their numbers,
+        in lists of about STEP bytes. Of a piece: where its chunks end, and both sides' ids. One that is not whole has no length."""
+        chunks = self.known.take()
+        sizes = np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks], np.int64) + 1
+        upto = np.append(0, np.cumsum(sizes))
+        alone = [i for i, c in enumerate(chunks) if c[0].isspace() or c[-1].isspace()]  # a text's first or last chunk
+        whole, counts = [], [[], []]
+        found, first, given = [], 0, 0
         while first < len(chunks):
-            last, size = first, 0
-            while last < len(chunks) and size < PIECE and (last == first or not _outer_blank(chunks[last])):
-                size += len(chunks[last]) + 1 if not _outer_blank(chunks[last]) else PIECE
-                last += 1
-            tries = [(self.tokenizers.ids(" ".join(chunks[first:last])), first)]
-            if tries[0][0] is None:
-                tries = [(self.tokenizers.ids(c), i) for i, c in enumerate(chunks[first:last], first)]
-            for ids, i in tries:
-                if ids is None:
-                    whole[i] = False
-                else:
-                    for side in range(2):
-                        found[side].append(ids[side])
+            last = max(first + 1, int(np.searchsorted(upto, upto[first] + PIECE)))
+            at = bisect_left(alone, first)
+            if at < len(alone):
+                last = min(last, max(alone[at], first + 1))
+            last = min(last, len(chunks))
+            ids, good = self.tokenizers.ids(" ".join(chunks[first:last])), np.ones(last - first, bool)
+            if ids is None:
+                tries = [self.tokenizers.ids(c) for c in chunks[first:last]]
+                good = np.array([t is not None for t in tries])
+                ids = [np.concatenate([np.empty(0, np.int64), *(t[side] for t in tries if t is not None)]) for side in range(2)]
+            ends = np.cumsum(sizes[first:last] * good)
+            for side in range(2):
+                places = np.searchsorted(np.cumsum(self.tokenizers.sizes[side][ids[side]]), ends, "right")
+                counts[side].append(np.diff(places, prepend=0).astype(np.int32))
+            whole.append(good)
+            found.append((ends, *ids))
+            if upto[last] - given >= STEP:
+                yield found
+                found, given = [], upto[last]
             first = last
-        chunk_ends = np.cumsum([(len(c.encode()) + 1) * w for c, w in zip(chunks, whole)], dtype=np.int64)
-        for side in range(2):
-            ids = np.concatenate([np.empty(0, np.int64), *found[side]])
-            upto = np.searchsorted(np.cumsum(self.tokenizers.sizes[side][ids]), chunk_ends, "right")
-            self.firsts[side] = np.append(self.firsts[side], self.firsts[side][-1] + upto)
-            self.ids[side] = np.append(self.ids[side], ids)
-        self.whole = np.append(self.whole, whole)
-
-    def tokens(self, side: int, numbers: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The ids of chunks, their ends from their row's start, and the rows' offsets in them; rows: offsets in numbers."""
-        firsts = self.firsts[side]
-        counts = firsts[numbers + 1] - firsts[numbers]
-        upto = np.append(0, np.cumsum(counts))
-        ids = self.ids[side][np.arange(upto[-1]) + np.repeat(firsts[numbers] - upto[:-1], counts)]
-        ends, offsets = np.cumsum(self.tokenizers.sizes[side][ids]), upto[rows]
-        return ids, ends - np.repeat(np.append(0, ends)[offsets[:-1]], np.diff(offsets)), offsets
+        if found:
+            yield found
+        self.whole = np.concatenate([self.whole, *whole])
+        self.counts = [np.concatenate([self.counts[side], *counts[side]]) for side in range(2)]
 
 
 def chunks_of(text: str) -> list[str]:
@@ -133,33 +151,52 @@ def chunks_of(text: str) -> list[str]:
     return _seam.split(text) if _other_blanks(text) else text.split(" ")
 
 
-def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: int = PART_CHUNKS) -> DataFrame:
-    """docs (row, id, text) to rows of parts (row, id, part, parts) with each side's ends and ids (end << 32 | id). A text
-    without tokens has one part, of none."""
+def lists(rows: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, kind), *rows]).astype(kind)))
+
+
+def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: int = PART_CHUNKS, remembered: int = REMEMBERED) -> DataFrame:
+    """docs (row, id, text) to rows of two sorts, in an order that counts. Those of new chunks have each side's ends and ids
+    (end << 32 | id), where the chunks end (upto) and a null row. After them those of parts of documents have (row, id, part, parts),
+    counts of tokens and the numbers of their chunks, by their order since `epoch` last changed. A text without tokens has one part, of no chunks.
+    """
     kind = docs.schema["id"].dataType.simpleString()
-    schema = f"row long, id {kind}, part int, parts int, " + ", ".join(f"{s}_ends array<int>, {s}_ids array<long>" for s in "ab")
+    arrays = "".join(f", {s}_ends array<int>, {s}_ids array<long>" for s in "ab")
+    schema = f"epoch int, upto array<int>{arrays}, row long, id {kind}, part int, parts int, n_a int, n_b int, numbers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(Tokenizers(ranks_path, pieces_path))
-
-        def made(docs: list[tuple], texts: list[str], kind: pa.DataType) -> pa.RecordBatch:
-            if len(chunks.ids[0]) > REMEMBERED:
+        tokenizers = Tokenizers(ranks_path, pieces_path)
+        chunks = Chunks(tokenizers)
+
+        def batch_of(columns: dict, n: int, kind: pa.DataType) -> pa.RecordBatch:
+            ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
+            kinds = {"epoch": pa.int32(), "upto": ints, "a_ends": ints, "a_ids": longs, "b_ends": ints, "b_ids": longs, "row": pa.int64(), "id": kind}
+            kinds |= {"part": pa.int32(), "parts": pa.int32(), "n_a": pa.int32(), "n_b": pa.int32(), "numbers": pa.binary()}
+            columns = {"epoch": pa.array([chunks.epoch] * n, pa.int32())} | columns
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+        def made(docs: list[tuple], texts: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            if chunks.counts[0].sum() > remembered:
                 chunks.forget()
-            rows, numbers, offsets = [], [np.empty(0, np.int64)], [0]
-            for doc, found in zip(docs, chunks.numbers(texts)):
+            numbers = chunks.numbers(texts)
+            for pieces in chunks.learn():
+                columns = {"upto": lists([p[0] for p in pieces], np.int32)}
+                for side, name in enumerate("ab"):
+                    ids = [p[side + 1] for p in pieces]
+                    ends = [np.cumsum(tokenizers.sizes[side][i]) for i in ids]
+                    columns |= {f"{name}_ends": lists(ends, np.int32), f"{name}_ids": lists([e << 32 | i for e, i in zip(ends, ids)], np.int64)}
+                yield batch_of(columns, len(pieces), kind)
+            rows = []
+            for doc, found in zip(docs, numbers):
                 if not chunks.whole[found].all():
                     found = found[:0]
                 parts = max(1, -(-len(found) // part_chunks))
                 for part in range(parts):
-                    rows.append((*doc, part, parts))
-                    offsets.append(min(len(found), (part + 1) * part_chunks) - part * part_chunks)
-                numbers.append(found)
-            offsets, numbers = np.cumsum(offsets), np.concatenate(numbers)
-            columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), kind, pa.int32(), pa.int32()))]
-            for side in range(2):
-                ids, ends, at = chunks.tokens(side, numbers, offsets)
-                columns += [pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x)) for x in (ends.astype(np.int32), ends << 32 | ids)]
-            return pa.RecordBatch.from_arrays(columns, names=["row", "id", "part", "parts", *(f"{s}_{n}" for s in "ab" for n in ("ends", "ids"))])
+                    own = found[part * part_chunks : (part + 1) * part_chunks]
+                    rows.append((*doc, part, parts, *(int(chunks.counts[side][own].sum()) for side in range(2)), own.tobytes()))
+            names = ["row", "id", "part", "parts", "n_a", "n_b", "numbers"]
+            kinds = [pa.int64(), kind, *[pa.int32()] * 4, pa.binary()]
+            yield batch_of({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds))}, len(rows), kind)
 
         for batch in batches:
             docs, texts, size = [], [], 0
@@ -168,10 +205,10 @@ def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: i
                 texts.append(text.as_py())
                 size += len(texts[-1])
                 if size >= STEP:
-                    yield made(docs, texts, batch.column(1).type)
+                    yield from made(docs, texts, batch.column(1).type)
                     docs, texts, size = [], [], 0
             if docs:
-                yield made(docs, texts, batch.column(1).type)
+                yield from made(docs, texts, batch.column(1).type)
 
     return map_batches(docs.select("row", "id", "text"), run, schema)
 
@@ -184,12 +221,79 @@ def _parted(side: str) -> Column:
 
 
 def grouped(tokens: DataFrame) -> DataFrame:
-    """tokens to (row, id, part, parts, n_a, n_b, groups), groups being `a1,a2|b1`, `a3|b2,b3` and so on, and their hash if this is the only part."""
+    """tokens with `common`, the ends that both sides have, and `groups`, as `a1,a2|b1`, `a3|b2,b3` and so on, in place of both sides' tokens."""
     both = F.zip_with(_parted("a"), _parted("b"), lambda a, b: F.concat(a, F.lit("|"), b))
     found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
     found = found.withColumn("groups", F.when(F.size("common") > 0, both).otherwise(F.array().cast("array<string>")))
-    named = F.when(F.size("groups") > 0, F.sha2(F.array_join("groups", ";").cast("binary"), 256)).otherwise("")
-    return found.select("row", "id", "part", "parts", F.size("a_ends").alias("n_a"), F.size("b_ends").alias("n_b"), "groups", F.when(F.col("parts") == 1, named).alias("groups_sha256"))
+    return found.drop("a_ends", "a_ids", "b_ends", "b_ids")
+
+
+class Laid:
+    """The groups of numbered chunks, to be laid end to end: each chunk's end is a common one, so a text's groups are its chunks'."""
+
+    def __init__(self):
+        self.forget(None)
+
+    def forget(self, epoch: int | None) -> None:
+        self.epoch = epoch
+        self.values = pa.array([], pa.string())
+        self.firsts = np.zeros(1, np.int64)
+        self.texts: list[str] = []
+
+    def learn(self, pieces: pa.RecordBatch) -> None:
+        if pieces.column("epoch")[0].as_py() != self.epoch:
+            self.forget(pieces.column("epoch")[0].as_py())
+        values = pieces.column("groups").flatten()
+        # Ends of all pieces in one order: a piece's number, then the place.
+        common, upto = (np.asarray(c.flatten()) + (np.repeat(np.arange(len(c)), np.diff(np.asarray(c.offsets))) << 32) for c in map(pieces.column, ("common", "upto")))
+        ends = np.searchsorted(common, upto, "right")
+        names = values.to_pylist()
+        self.texts += [names[i] if j == i + 1 else ";".join(names[i:j]) for i, j in pairwise([0, *ends.tolist()])]
+        self.firsts = np.append(self.firsts, self.firsts[-1] + ends)
+        self.values = pa.concat_arrays([self.values, values])
+
+    def groups(self, numbers: np.ndarray, offsets: np.ndarray) -> pa.ListArray:
+        firsts = self.firsts[numbers]
+        counts = self.firsts[numbers + 1] - firsts
+        upto = np.append(0, np.cumsum(counts))
+        places = np.arange(upto[-1]) + np.repeat(firsts - upto[:-1], counts)
+        return pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), self.values.take(pa.array(places)))
+
+
+def of_documents(found: DataFrame) -> DataFrame:
+    """What `grouped` gives to (row, id, n_a, n_b, groups, groups_sha256), one row a part; the hash, of all parts, stands in the last one."""
+    schema = f"row long, id {found.schema['id'].dataType.simpleString()}, n_a int, n_b int, groups array<string>, groups_sha256 string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, sha = Laid(), None
+
+        def laid(docs: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal sha
+            data, offsets = utf8(docs.column("numbers"))
+            numbers, offsets, hashes = data.view(np.int32), offsets // 4, []
+            for part, parts, first, last in zip(docs.column("part").to_pylist(), docs.column("parts").to_pylist(), offsets, offsets[1:]):
+                if not part:
+                    sha = hashlib.sha256()
+                sha.update((";" * (part > 0) + ";".join(map(known.texts.__getitem__, numbers[first:last].tolist()))).encode())
+                hashes.append(None if part + 1 < parts else sha.hexdigest() if last > first else "")
+            columns = [*map(docs.column, ("row", "id", "n_a", "n_b")), known.groups(numbers, offsets), pa.array(hashes, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_a", "n_b", "groups", "groups_sha256"])
+
+        for batch in batches:
+            is_doc = np.asarray(batch.column("row").is_valid())
+            edges = [0, *(np.flatnonzero(np.diff(is_doc)) + 1).tolist(), len(is_doc)]
+            for first, last in pairwise(edges):
+                if not is_doc[first]:
+                    known.learn(batch.slice(first, last - first))
+                    continue
+                sizes = np.append(0, np.cumsum(np.diff(utf8(batch.column("numbers").slice(first, last - first))[1]) // 4))
+                at = 0
+                while at < last - first:
+                    after = max(at + 1, int(np.searchsorted(sizes, sizes[at] + LAID_CHUNKS, "right")) - 1)
+                    yield laid(batch.slice(first + at, after - at))
+                    at = after
+
+    return map_batches(found, run, schema)
 
 
 def links_of(groups: DataFrame, sizes: list[np.ndarray], width: int) -> DataFrame:
@@ -250,7 +354,7 @@ def sums_of(rows: DataFrame, known: DataFrame, limit: int) -> DataFrame:
     return sums(marked.where("n_best is not null")).unionByName(sums(rare))
 
 
-def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", part_chunks: int = PART_CHUNKS, common_groups: int = COMMON_GROUPS) -> DataFrame:
+def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc_id", text_col: str = "text", part_chunks: int = PART_CHUNKS, common_groups: int = COMMON_GROUPS, remembered: int = REMEMBERED) -> DataFrame:
     """One row a document: the id column, n_a, n_b, n_groups, n_links, n_best, count_sum (long) and groups_sha256.
 
     A's tokens are those of the byte-level vocabulary over a space and the text, B's those of the sentencepiece model over
@@ -259,22 +363,20 @@ def align(docs: DataFrame, ranks_path: str, pieces_path: str, id_col: str = "doc
     rows count again; n_best are the links whose pair is, or ties for, the most frequent of its B id, count_sum adds up
     the links' counts. Repeated and null ids are rows of their own, an empty table gives no rows, other columns are ignored.
 
-    Memory is bounded but for a chunk without single spaces, which is tokenised at once, and for the string of groups of a
-    document of several parts. A group of thousands of tokens costs as their number squared, once.
+    Memory is bounded but for a text itself with the list of its chunks, and for a chunk without single spaces, which is
+    tokenised at once. A group of thousands of tokens costs as their number squared, once.
     """
     sizes = Tokenizers(ranks_path, pieces_path).sizes
     named = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    found = grouped(tokenised(named, ranks_path, pieces_path, part_chunks))
+    found = of_documents(grouped(tokenised(named, ranks_path, pieces_path, part_chunks, remembered)))
     path = new_path(docs.sparkSession, "groups")
     found.write.option("parquet.dictionary.page.size", DICTIONARY).parquet(path)
     parts = docs.sparkSession.read.schema(found.schema).parquet(path)
     single = parts.select("row", F.explode("groups").alias("group"))
     known = group_sums(table(single.groupBy("group").agg(F.count(F.lit(1)).alias("n"))), sizes)
-    several = parts.where("parts > 1").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("part", F.array_join("groups", ";").alias("groups")))).alias("all"))
-    several = several.select("row", F.sha2(F.array_join(F.transform("all", lambda p: p["groups"]), ";").cast("binary"), 256).alias("groups_sha256"))
     counts = [F.col(c).cast("long").alias(c) for c in ("n_a", "n_b")] + [F.size("groups").cast("long").alias("n_groups")]
     own = parts.select("row", "id", *counts, "groups_sha256")
-    every = own.unionByName(sums_of(single, known, common_groups), allowMissingColumns=True).unionByName(several, allowMissingColumns=True)
+    every = own.unionByName(sums_of(single, known, common_groups), allowMissingColumns=True)
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     found = every.groupBy("row").agg(F.max("id").alias(id_col), *map(total, ("n_a", "n_b", "n_groups", "n_best", "count_sum")), F.max("groups_sha256").alias("groups_sha256"))
     # The distinct ends are those of both sides less the common ones, and one link ends at each.

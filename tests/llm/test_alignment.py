@@ -112,6 +112,26 @@ def test_empty(empty):
     assert alignment.align(empty, RANKS, PIECES).columns == NAMES and alignment.align(empty, RANKS, PIECES).count() == 0
 
 
+def test_repeated_chunks_are_aligned_once(spark):
+    """However often a chunk stands in a task's texts, the array functions get its tokens once."""
+    docs = spark.createDataFrame([(i, i, "the cat sat on the mat " * 50 + f"number{i}") for i in range(20)], "row long, id long, text string").coalesce(1)
+    assert alignment.tokenised(docs, RANKS, PIECES).select(F.sum(F.size("a_ends"))).first()[0] < 100
+
+
+@pytest.mark.parametrize("remembered", [0, 20, 1 << 20])
+def test_forgotten_chunks(spark, plain_tokens, remembered):
+    """Numbers that begin anew in each batch, or after some, tell the same groups."""
+    texts = [(i, f"the cat{i % 7} sat  on {'a mat ' * (i % 5)}") for i in range(40)] + list(enumerate(ODD, 40))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "3")
+    try:
+        same(alignment.align(docs, RANKS, PIECES, part_chunks=4, remembered=remembered).collect(), plain_rows(texts, plain_tokens))
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_least_common(spark):
     counts = spark.createDataFrame([(1,), (1,), (2,), (3,), (9,)], "n long")
     assert [alignment.least_common(counts, n) for n in (0, 1, 2, 3, 4, 5)] == [16, 4, 4, 2, 2, 1]
