@@ -37,7 +37,7 @@ PART_CHUNKS = 1 << 13
 STEP, PIECE = 1 << 19, 1 << 12
 
 #: Tokens of distinct chunks that a task remembers, but for those of one step; chunks whose groups are laid out at once.
-REMEMBERED, LAID_CHUNKS = 1 << 21, 1 << 17
+REMEMBERED, LAID_CHUNKS = 1 << 20, 1 << 17
 
 #: Groups whose sums are broadcast, some 30 MB; the rarer ones are joined by a shuffle.
 COMMON_GROUPS = 1 << 18
