@@ -7,7 +7,7 @@ and tokenises the new ones, laid end to end in pieces: each side's ends in bytes
 half of one number. A long text is dealt out over several rows.
 
 Spark's array functions make the groups of each piece. The ends that both sides have (array_intersect) close them: sorted in
-among a side's tokens they part its ids, and both sides' parts are put together. The next step of the same task lays the
+among a side's tokens they part its ids. The next step of the same task puts both sides' parts together and lays the
 groups of each document's chunks end to end, by their numbers; rows reach it in the order in which they were made. A group's
 ids tell the bytes of its tokens and so their overlaps, so links are made once for each distinct group, from its ends in order: at
 place k of that order the index of a token of one side is known, and so how many tokens of the other end before, k less that index.
@@ -23,17 +23,18 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_batches, text_or_empty, utf8
+from millrace.llm.common import map_batches, steps, text_or_empty, utf8
 from millrace.llm.packing import Encoder
 from millrace.sources.shared import new_path, table
 
 #: A text of more chunks than this is dealt out over several rows.
 PART_CHUNKS = 1 << 13
 
-#: Characters of text whose tokens make one Arrow batch, and those of new chunks that are tokenised at once.
+#: Bytes of text whose tokens make one Arrow batch, and those of new chunks that are tokenised at once.
 STEP, PIECE = 1 << 19, 1 << 12
 
 #: Tokens of distinct chunks that a task remembers, but for those of one step; chunks whose groups are laid out at once.
@@ -46,10 +47,13 @@ COMMON_GROUPS = 1 << 18
 DICTIONARY = 16 << 20
 
 _seam = re.compile(r"(?<=\S) (?=\S)")
-_other_blanks = re.compile(r"\s\s|\A\s|\s\Z").search
+
+#: The blanks among the bytes of ASCII, and the bytes that other blanks begin with in UTF-8, two or three bytes long.
+BLANK, LEADS = (np.isin(np.arange(256), found) for found in ([*range(9, 14), *range(28, 33)], [0xC2, 0xE1, 0xE2, 0xE3]))
 
 #: The lower half of a sorted end: an id or an index, and a bit for side b; MARK comes after both.
 SIDE, INDEX, MARK = 1 << 31, (1 << 31) - 1, (1 << 32) - 1
+BETWEEN = f",{MARK},"
 
 
 class Tokenizers:
@@ -68,7 +72,7 @@ class Tokenizers:
     def ids(self, text: str) -> list[np.ndarray] | None:
         """Both sides' ids, or None if either's bytes are not a space and the text."""
         data = b" " + text.encode()
-        b = self.pieces.encode([text], num_threads=1)[0]
+        b = self.pieces.encode(text)
         if b"".join(map(self.decoded.__getitem__, b)) != data:
             return None
         a = self.encoder.plain_ids(" " + text)  # each byte is a token of this vocabulary, so none is lost
@@ -105,17 +109,32 @@ class Chunks:
         self.whole = np.empty(0, bool)
         self.counts = [np.empty(0, np.int32)] * 2
 
-    def numbers(self, texts: list[str]) -> list[np.ndarray]:
-        number = self.known.__getitem__
-        return [np.fromiter(map(number, chunks), np.int32, len(chunks)) for chunks in map(chunks_of, texts)]
+    def numbers(self, texts: pa.Array) -> list[np.ndarray]:
+        """Of each text. One whose spaces all stand singly is parted and its words made distinct by Arrow, before they are looked up."""
+        parted = pc.split_pattern(texts, " ")
+        words = parted.flatten().dictionary_encode()
+        places, offsets = np.asarray(words.indices), np.asarray(parted.offsets) - parted.offsets[0].as_py()
+        other = blank_ends(words.dictionary)
+        odd = np.logical_or.reduceat(other[places], offsets[:-1])  # each text has a word, if an empty one
+        number, numbers = self.known.__getitem__, np.zeros(len(other), np.int32)
+        if not other.all():
+            names = words.dictionary.filter(pa.array(~other))
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names), " ")[0].as_py()  # faster than one by one
+            numbers[~other] = np.fromiter(map(number, joined.split(" ")), np.int32, len(names))
+        found = np.split(numbers[places], offsets[1:-1])
+        for i in np.flatnonzero(odd).tolist():
+            chunks = chunks_of(texts[i].as_py())
+            found[i] = np.fromiter(map(number, chunks), np.int32, len(chunks))
+        return found
 
-    def learn(self) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    def learn(self) -> Iterator[list[tuple[np.ndarray, ...]]]:
         """What `numbers` found for the first time, tokenised: pieces of chunks laid end to end, in the order of their numbers,
-        in lists of about STEP bytes. Of a piece: where its chunks end, and both sides' ids. One that is not whole has no length."""
+        in lists of about STEP bytes. Of a piece: where its chunks end, both sides' ids and both sides' ends. A chunk that is not whole has no length."""
         chunks = self.known.take()
-        sizes = np.array([len(c) if c.isascii() else len(c.encode()) for c in chunks], np.int64) + 1
+        column = pa.array(chunks, pa.string())
+        sizes = np.diff(utf8(column)[1]) + 1
         upto = np.append(0, np.cumsum(sizes))
-        alone = [i for i, c in enumerate(chunks) if c[0].isspace() or c[-1].isspace()]  # a text's first or last chunk
+        alone = np.flatnonzero(blank_ends(column)).tolist()  # a text's first or last chunk
         whole, counts = [], [[], []]
         found, first, given = [], 0, 0
         while first < len(chunks):
@@ -130,11 +149,11 @@ class Chunks:
                 good = np.array([t is not None for t in tries])
                 ids = [np.concatenate([np.empty(0, np.int64), *(t[side] for t in tries if t is not None)]) for side in range(2)]
             ends = np.cumsum(sizes[first:last] * good)
+            token_ends = [np.cumsum(self.tokenizers.sizes[side][ids[side]]) for side in range(2)]
             for side in range(2):
-                places = np.searchsorted(np.cumsum(self.tokenizers.sizes[side][ids[side]]), ends, "right")
-                counts[side].append(np.diff(places, prepend=0).astype(np.int32))
+                counts[side].append(np.diff(np.searchsorted(token_ends[side], ends, "right"), prepend=0).astype(np.int32))
             whole.append(good)
-            found.append((ends, *ids))
+            found.append((ends, *ids, *token_ends))
             if upto[last] - given >= STEP:
                 yield found
                 found, given = [], upto[last]
@@ -146,9 +165,21 @@ class Chunks:
 
 
 def chunks_of(text: str) -> list[str]:
-    if not text:
-        return []
-    return _seam.split(text) if _other_blanks(text) else text.split(" ")
+    return _seam.split(text) if text else []
+
+
+def blank_ends(words: pa.Array) -> np.ndarray:
+    """Which words are empty, or have a blank at either end."""
+    data, offsets = utf8(words)
+    found = offsets[1:] == offsets[:-1]
+    some = np.flatnonzero(~found)
+    first, last = offsets[some], offsets[some + 1]
+    found[some] = BLANK[data[first]] | BLANK[data[last - 1]]
+    other = LEADS[data[first]] | LEADS[data[np.maximum(last - 2, 0)]] | LEADS[data[np.maximum(last - 3, 0)]]
+    for i in some[other].tolist():
+        word = words[i].as_py()
+        found[i] = word[0].isspace() or word[-1].isspace()
+    return found
 
 
 def lists(rows: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
@@ -156,12 +187,12 @@ def lists(rows: list[np.ndarray], kind: np.dtype) -> pa.ListArray:
 
 
 def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: int = PART_CHUNKS, remembered: int = REMEMBERED) -> DataFrame:
-    """docs (row, id, text) to rows of two sorts, in an order that counts. Those of new chunks have each side's ends and ids
-    (end << 32 | id), where the chunks end (upto) and a null row. After them those of parts of documents have (row, id, part, parts),
+    """docs (row, id, text) to rows of two sorts, in an order that counts. Those of new chunks have each side's ends
+    (end << 32 | MARK) and ids (end << 32 | id), where the chunks end (upto) and a null row. After them those of parts of documents have (row, id, part, parts),
     counts of tokens and the numbers of their chunks, by their order since `epoch` last changed. A text without tokens has one part, of no chunks.
     """
     kind = docs.schema["id"].dataType.simpleString()
-    arrays = "".join(f", {s}_ends array<int>, {s}_ids array<long>" for s in "ab")
+    arrays = "".join(f", {s}_ends array<long>, {s}_ids array<long>" for s in "ab")
     schema = f"epoch int, upto array<int>{arrays}, row long, id {kind}, part int, parts int, n_a int, n_b int, numbers binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,24 +201,24 @@ def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: i
 
         def batch_of(columns: dict, n: int, kind: pa.DataType) -> pa.RecordBatch:
             ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-            kinds = {"epoch": pa.int32(), "upto": ints, "a_ends": ints, "a_ids": longs, "b_ends": ints, "b_ids": longs, "row": pa.int64(), "id": kind}
+            kinds = {"epoch": pa.int32(), "upto": ints, "a_ends": longs, "a_ids": longs, "b_ends": longs, "b_ids": longs, "row": pa.int64(), "id": kind}
             kinds |= {"part": pa.int32(), "parts": pa.int32(), "n_a": pa.int32(), "n_b": pa.int32(), "numbers": pa.binary()}
             columns = {"epoch": pa.array([chunks.epoch] * n, pa.int32())} | columns
             return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
 
-        def made(docs: list[tuple], texts: list[str], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        def made(docs: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            kind = docs.column(1).type
             if chunks.counts[0].sum() > remembered:
                 chunks.forget()
-            numbers = chunks.numbers(texts)
+            numbers = chunks.numbers(docs.column(2))
             for pieces in chunks.learn():
                 columns = {"upto": lists([p[0] for p in pieces], np.int32)}
                 for side, name in enumerate("ab"):
-                    ids = [p[side + 1] for p in pieces]
-                    ends = [np.cumsum(tokenizers.sizes[side][i]) for i in ids]
-                    columns |= {f"{name}_ends": lists(ends, np.int32), f"{name}_ids": lists([e << 32 | i for e, i in zip(ends, ids)], np.int64)}
+                    ends = [p[side + 3] << 32 for p in pieces]
+                    columns |= {f"{name}_ends": lists([e | MARK for e in ends], np.int64), f"{name}_ids": lists([e | p[side + 1] for e, p in zip(ends, pieces)], np.int64)}
                 yield batch_of(columns, len(pieces), kind)
             rows = []
-            for doc, found in zip(docs, numbers):
+            for *doc, found in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist(), numbers):
                 if not chunks.whole[found].all():
                     found = found[:0]
                 parts = max(1, -(-len(found) // part_chunks))
@@ -199,33 +230,23 @@ def tokenised(docs: DataFrame, ranks_path: str, pieces_path: str, part_chunks: i
             yield batch_of({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate(zip(names, kinds))}, len(rows), kind)
 
         for batch in batches:
-            docs, texts, size = [], [], 0
-            for row, key, text in zip(*(batch.column(i) for i in range(3))):
-                docs.append((row.as_py(), key.as_py()))
-                texts.append(text.as_py())
-                size += len(texts[-1])
-                if size >= STEP:
-                    yield from made(docs, texts, batch.column(1).type)
-                    docs, texts, size = [], [], 0
-            if docs:
-                yield from made(docs, texts, batch.column(1).type)
+            for first, last, *_ in steps(batch.column(2), STEP):
+                yield from made(batch.slice(first, last - first))
 
     return map_batches(docs.select("row", "id", "text"), run, schema)
 
 
-def _parted(side: str) -> Column:
-    """The ids of one side, in groups: those of a group are parted by commas."""
-    marks = F.transform("common", lambda e: F.shiftleft(e.cast("long"), 32).bitwiseOR(F.lit(MARK)))
-    named = F.array_join(F.transform(F.sort_array(F.concat(f"{side}_ids", marks)), lambda x: x.bitwiseAND(F.lit(MARK)).cast("string")), ",")
-    return F.split(F.regexp_replace(F.replace(named, F.lit(f",{MARK},"), F.lit(";")), f",{MARK}$", ""), ";")
+def grouped(tokens: DataFrame) -> DataFrame:
+    """tokens with `common`, the ends that both sides have, and each side's ids as text, `a` and `b`: commas between them, and
+    where a group ends, BETWEEN."""
+    found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))  # of nulls, null
+    inner = F.slice("common", 1, F.greatest(F.size("common") - 1, F.lit(0)))
 
+    def parted(side: str) -> Column:
+        marked = F.sort_array(F.concat(f"{side}_ids", inner))
+        return F.array_join(F.transform(marked, lambda x: x.bitwiseAND(F.lit(MARK)).cast("string")), ",")
 
-def grouped(tokens: DataFrame) -> DataFrame:
-    """tokens with `common`, the ends that both sides have, and `groups`, as `a1,a2|b1`, `a3|b2,b3` and so on, in place of both sides' tokens."""
-    both = F.zip_with(_parted("a"), _parted("b"), lambda a, b: F.concat(a, F.lit("|"), b))
-    found = tokens.withColumn("common", F.array_intersect("a_ends", "b_ends"))
-    found = found.withColumn("groups", F.when(F.size("common") > 0, both).otherwise(F.array().cast("array<string>")))
-    return found.drop("a_ends", "a_ids", "b_ends", "b_ids")
+    return found.select("*", parted("a").alias("a"), parted("b").alias("b")).drop("a_ends", "a_ids", "b_ends", "b_ids")
 
 
 class Laid:
@@ -238,17 +259,18 @@ class Laid:
         self.epoch = epoch
         self.values = pa.array([], pa.string())
         self.firsts = np.zeros(1, np.int64)
-        self.texts: list[str] = []
 
     def learn(self, pieces: pa.RecordBatch) -> None:
         if pieces.column("epoch")[0].as_py() != self.epoch:
             self.forget(pieces.column("epoch")[0].as_py())
-        values = pieces.column("groups").flatten()
-        # Ends of all pieces in one order: a piece's number, then the place.
-        common, upto = (np.asarray(c.flatten()) + (np.repeat(np.arange(len(c)), np.diff(np.asarray(c.offsets))) << 32) for c in map(pieces.column, ("common", "upto")))
-        ends = np.searchsorted(common, upto, "right")
-        names = values.to_pylist()
-        self.texts += [names[i] if j == i + 1 else ";".join(names[i:j]) for i, j in pairwise([0, *ends.tolist()])]
+        some = pc.greater(pc.list_value_length(pieces.column("common")), 0)
+        values = pc.binary_join_element_wise(*(pc.split_pattern(pieces.column(side).filter(some), BETWEEN).flatten() for side in "ab"), "|")
+
+        def in_order(column: pa.ListArray, shift: int) -> np.ndarray:
+            """Ends of all pieces in one order: a piece's number, then the place."""
+            return (np.repeat(np.arange(len(column)), np.diff(np.asarray(column.offsets))) << 32) + (np.asarray(column.flatten()) >> shift)
+
+        ends = np.searchsorted(in_order(pieces.column("common"), 32), in_order(pieces.column("upto"), 0), "right")
         self.firsts = np.append(self.firsts, self.firsts[-1] + ends)
         self.values = pa.concat_arrays([self.values, values])
 
@@ -271,12 +293,15 @@ def of_documents(found: DataFrame) -> DataFrame:
             nonlocal sha
             data, offsets = utf8(docs.column("numbers"))
             numbers, offsets, hashes = data.view(np.int32), offsets // 4, []
-            for part, parts, first, last in zip(docs.column("part").to_pylist(), docs.column("parts").to_pylist(), offsets, offsets[1:]):
+            groups = known.groups(numbers, offsets)
+            texts, ends = utf8(pc.binary_join(groups, ";"))
+            for part, parts, first, last in zip(docs.column("part").to_pylist(), docs.column("parts").to_pylist(), ends.tolist(), ends[1:].tolist()):
                 if not part:
                     sha = hashlib.sha256()
-                sha.update((";" * (part > 0) + ";".join(map(known.texts.__getitem__, numbers[first:last].tolist()))).encode())
+                sha.update(b";" * (part > 0))
+                sha.update(texts[first:last])
                 hashes.append(None if part + 1 < parts else sha.hexdigest() if last > first else "")
-            columns = [*map(docs.column, ("row", "id", "n_a", "n_b")), known.groups(numbers, offsets), pa.array(hashes, pa.string())]
+            columns = [*map(docs.column, ("row", "id", "n_a", "n_b")), groups, pa.array(hashes, pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=["row", "id", "n_a", "n_b", "groups", "groups_sha256"])
 
         for batch in batches:

@@ -1,7 +1,10 @@
 import collections
 import hashlib
+import random
+import sys
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +121,44 @@ def test_repeated_chunks_are_aligned_once(spark):
     assert alignment.tokenised(docs, RANKS, PIECES).select(F.sum(F.size("a_ends"))).first()[0] < 100
 
 
+def test_a_word_is_looked_up_once_a_step():
+    """Words of the same texts are made distinct by Arrow, and the numbers are those of the chunks of each text."""
+    seen = []
+
+    class Counted(alignment.Numbers):
+        def __getitem__(self, key):
+            seen.append(key)
+            return super().__getitem__(key)
+
+    rng = random.Random(3)
+    parts = ["the", "cat", "é", "你好", " ", " ", " ", " ", "  ", "\n", "\x1c", "\x85", "\xa0", "\u3000", "\u2003"]
+    texts = ["the cat sat on the mat"] * 500 + [t or "" for t in ODD] + ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(300)]
+    chunks = alignment.Chunks(None)
+    chunks.known = Counted()
+    found = chunks.numbers(pa.array([*["x"] * 3, *texts]).slice(3))
+    assert len(seen) < 2500
+    names = list(chunks.known)
+    assert [[names[i] for i in numbers] for numbers in found] == [alignment._seam.split(t) if t else [] for t in texts]
+
+
+def test_blank_ends():
+    """As Python and its regular expressions have blanks, of any length in UTF-8."""
+    words = [c for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and ((c := chr(i)).isspace() or i < 0x3100 or i % 97 == 0)]
+    words = ["", *words, *(w + c for c in words if c.isspace() for w in ("a", "é", "好"))]
+    assert alignment.blank_ends(pa.array(words)).tolist() == [not w or w[0].isspace() or w[-1].isspace() for w in words]
+    assert alignment.blank_ends(pa.array([], pa.string())).tolist() == []
+
+
+def test_groups_stay_text_until_they_are_laid(spark):
+    """Spark makes one string a piece and side, not one a group."""
+    docs = spark.createDataFrame([(1, 1, "unbelievable 你好 cat")], "row long, id long, text string")
+    found = alignment.grouped(alignment.tokenised(docs, RANKS, PIECES))
+    assert dict(found.dtypes)["a"] == dict(found.dtypes)["b"] == "string" and "groups" not in found.columns
+    piece = found.where("row is null").first()
+    sides = [piece[side].split(alignment.BETWEEN) for side in "ab"]
+    assert [len(side) for side in sides] == [len(piece["common"])] * 2 and found.where("row is not null and a is not null").count() == 0
+
+
 @pytest.mark.parametrize("remembered", [0, 20, 1 << 20])
 def test_forgotten_chunks(spark, plain_tokens, remembered):
     """Numbers that begin anew in each batch, or after some, tell the same groups."""
