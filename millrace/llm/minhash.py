@@ -5,10 +5,13 @@ probability (1 - s ** ROWS) ** BANDS: 6e-5 at 0.8, less above. Candidates are ve
 hashes, so no pair below the bound is linked.
 
 Where more than `crowd` texts share a band, each is first compared with the least of them only. A band that then holds
-several components (of texts that share a passage, say) is not paired off: its texts meet by an exact prefix-filtered
-join. Shingles are ordered by the number of these texts that hold them, the rarest first; two sets as similar as asked have one
-in common among the first |x| - ceil(similarity * |x|) + 1 of each. What most of the texts share comes last in the order and
-makes no pairs. So no pair of two components is left out.
+several components is not paired off. Its texts join the group of the component that most of them are in, and each group has a
+center: the shingles that over half of its texts hold. Two texts differ in just what one of their differences from the center has
+and the other has not, so of two that are similar enough
+- either their differences are so few that the text nearest to the center is similar to both: one link each, or
+- they have some differences in common: these texts meet by an exact prefix-filtered join of the differences, ordered by the number
+  of texts that have them, the rarest first.
+What most texts of a group share is no difference, and makes no pairs. So no pair of two components of a band is left out.
 """
 
 from __future__ import annotations
@@ -129,37 +132,61 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return map_batches(docs, run, "row long, held binary")
 
 
-def shingle_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(row, h) of docs (row, text), of the rows of `wanted` at least: the distinct hashes, one a row."""
-    docs, chosen = some_texts(docs, wanted)
+def set_rows(sets: DataFrame) -> DataFrame:
+    """(main, h) of sets (main, held): a row for each hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(chosen, batches):
-            rows = batch.column(0).to_numpy()
-            for low, high, data, offsets in steps(batch.column(1)):
-                hashes, at = shingles(data, offsets, width)
-                order = np.lexsort((hashes, row := np.repeat(np.arange(low, high), np.diff(at))))
-                hashes, row = hashes[order], row[order]
-                new = np.append(True, (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1]))[: len(row)]
-                yield pa.RecordBatch.from_arrays([pa.array(rows[row[new]]), pa.array(hashes[new].view(np.int64))], names=["row", "h"])
+        for batch in batches:
+            for main, held in zip(batch.column(0).to_pylist(), batch.column(1)):
+                h = np.frombuffer(held.as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), main, np.int64)), pa.array(h)], names=["main", "h"])
 
-    return map_batches(docs, run, "row long, h long")
+    return map_batches(sets.select("main", "held"), run, "main long, h long")
 
 
-def prefixes(texts: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
-    """texts (row, fp, size, root) once for each shingle `h` of its prefix that another of them holds; docs has row and text.
+def differences(texts: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
+    """texts (main, row, fp, size, root), with the differences `h` of each from the center of its group `main`; docs has row and text.
 
-    rest: as many of the text's shingles come no sooner than h in the order.
+    excess: how many more these are than half of what two texts of this size may differ in. Two are similar if the sum of theirs is at
+    most twice the number of differences in common. near: those of the text of the least excess (excess, row, fp, root).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for held, center in zip(batch.column(5), batch.column(6)):
+                center = center.values.to_numpy() if center.is_valid else np.empty(0, np.int64)
+                found.append(np.setxor1d(np.frombuffer(held.as_py(), np.int64), center, assume_unique=True))
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *found])))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], lists], names=["main", "row", "fp", "size", "root", "h"])
+
+    sets = table(texts.join(shingle_sets(docs, texts, width), "row").select("main", "row", "fp", "size", "root", "held"))
+    often = table(set_rows(sets).groupBy("main", "h").agg(F.count(F.lit(1)).alias("n")))
+    total = table(sets.groupBy("main").agg(F.count(F.lit(1)).alias("total")))
+    center = table(often.join(total, "main").where("2 * n > total").groupBy("main").agg(F.collect_list("h").alias("center")))
+    apart = map_batches(sets.join(center, "main", "left"), run, "main long, row long, fp long, size long, root long, h array<long>")
+    apart = table(apart.withColumn("excess", F.size("h") - F.col("size") * (1 - similarity) / (1 + similarity)))
+    near = table(apart.groupBy("main").agg(F.min(F.struct("excess", "row", "fp", "root", "size")).alias("near")))
+    return apart.join(near, "main")
+
+
+def prefixes(found: DataFrame) -> DataFrame:
+    """found (main, row, fp, size, root, excess, apart, low, h) once for each difference `h` of its prefix that one that is apart has in common with it.
+
+    low: the least excess in the group; apart: whether it is not linked with the text of that. rest: as many of the text's
+    differences come no sooner than h in the order.
     """
-    held = table(shingle_rows(docs, texts, width))
-    often = table(held.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    common = held.join(often, "h").join(texts, "row")
-    own = W.partitionBy("row")
-    # Those that no other text holds come first in the order, and can't meet.
-    shared = F.count(F.lit(1)).over(own)
-    most = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
-    placed = common.withColumns({"rest": shared - F.row_number().over(own.orderBy("n", "h")) + 1, "least": F.col("size") - most + 1})
-    return table(placed.where("rest >= least").select("h", "rest", *texts.columns))
+    each = found.withColumn("h", F.explode("h"))
+    often = table(each.groupBy("main", "h").agg(F.count(F.lit(1)).alias("n"), F.max("apart").alias("met")).where("n > 1 and met").drop("met"))
+    common = each.join(often, ["main", "h"])
+    own = W.partitionBy("main", "row")
+    # Those that no other text has come first in the order, and can't meet.
+    rest = F.count(F.lit(1)).over(own) - F.row_number().over(own.orderBy("n", "h")) + 1
+    # What is not apart meets what is, whose excess is over -low.
+    least = F.col("excess") + F.when(F.col("apart"), F.col("low")).otherwise(-F.col("low"))
+    placed = common.withColumn("rest", rest).where(2 * F.col("rest") >= least - 1e-6)
+    return table(placed.select("main", "h", "rest", "row", "fp", "size", "root", "excess", "apart"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -194,10 +221,10 @@ def similar_components(
     keyed = table(ones.select("fp", "row", "size", F.explode("keys").alias("key")))
     shared = table(keyed.join(table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")).hint("merge"), "key"))
 
-    def sides(u: DataFrame, v: DataFrame, where: Column, by: str = "key") -> DataFrame:
-        u, v = (x.select(by, *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in (by, "n")]) for x, y in ((u, "u"), (v, "v")))
+    def sides(u: DataFrame, v: DataFrame, where: Column, by: tuple[str, ...] = ("key",)) -> DataFrame:
+        u, v = (x.select(*by, *[F.col(c).alias(f"{c}_{y}") for c in x.columns if c not in (*by, "n")]) for x, y in ((u, "u"), (v, "v")))
         sized = F.least("size_u", "size_v") >= similarity * F.greatest("size_u", "size_v") - 1e-9
-        pairs = u.join(v, by).where(where & sized & (F.col("fp_u") != F.col("fp_v")) & ~linked(F.col("fp_u"), F.col("fp_v")))
+        pairs = u.join(v, list(by)).where(where & sized & (F.col("fp_u") != F.col("fp_v")) & ~linked(F.col("fp_u"), F.col("fp_v")))
         return pairs.select(F.col("fp_u").alias("u"), F.col("fp_v").alias("v"), "row_u", "row_v")
 
     few, many = shared.where(F.col("n") <= crowd), shared.where(F.col("n") > crowd)
@@ -210,16 +237,21 @@ def similar_components(
     counted = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
     main = counted.groupBy("key").agg(F.max(F.struct("n", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
     placed = placed.join(table(main.select("key", F.col("x.root").alias("main"))), "key")
-    crowds = table(placed.groupBy("row", "fp", "size", "root").agg(F.max(F.col("root") != F.col("main")).alias("apart")))
+    crowds = table(placed.select("main", "row", "fp", "size", "root").distinct())
     if crowds.isEmpty():
         return roots
-    meeting = prefixes(crowds, texts, similarity, width)
+    found = differences(crowds, texts, similarity, width)
+    close = F.col("excess") + F.col("near.excess") <= 1e-6
+    stars = found.where(close & (F.col("root") != F.col("near.root"))).select(F.col("fp").alias("u"), F.col("near.fp").alias("v"), F.col("row").alias("row_u"), F.col("near.row").alias("row_v"))
+    found = found.withColumns({"root": F.when(close, F.col("near.root")).otherwise(F.col("root")), "low": F.col("near.excess")})
+    found = table(found.withColumn("apart", F.col("root") != F.col("near.root")).drop("near"))
+    meeting = prefixes(found)
     # Of two that are both apart, the one of the lesser row comes first.
     once = (F.col("root_u") != F.col("root_v")) & (~F.col("apart_v") | (F.col("row_u") < F.col("row_v")))
-    # Position: at their first common shingle two texts still have before them all that they share.
-    enough = F.least("rest_u", "rest_v") >= (F.col("size_u") + F.col("size_v")) * (similarity / (1 + similarity)) - 1e-9
-    rest = sides(meeting.where("apart"), meeting, once & enough, "h")
-    more = verified(rest, texts, similarity, width)
+    # Position: at their first common difference two texts still have before them all that they have in common.
+    enough = 2 * F.least("rest_u", "rest_v") >= F.col("excess_u") + F.col("excess_v") - 1e-6
+    rest = sides(meeting.where("apart"), meeting, once & enough, ("main", "h"))
+    more = verified(stars.unionByName(rest), texts, similarity, width)
     if more.isEmpty():
         return roots
     return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))

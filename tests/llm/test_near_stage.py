@@ -87,3 +87,25 @@ def test_planted_copies(spark, tmp_path, crowd):
     pairs = {(g, mine[key]) for g, (key, _) in zip(plain_groups(rows), rows)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
     assert len(pairs) < len(set(plain_fingerprint(t) for t in texts)) - 50
+
+
+def test_one_large_group_is_not_paired_off(spark, tmp_path, monkeypatch):
+    """Copies of one text with one to six words changed, many of which are like none of the others: few pairs are looked at, no link is lost."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    texts = [" ".join(edited(rng, base, rng.randint(1, 6))) for _ in range(400)]
+    # Groups within it: further changes to copies that are themselves far from the text.
+    for _ in range(5):
+        far = edited(rng, base, 8)
+        texts += [" ".join(edited(rng, far, rng.randint(1, 2))) for _ in range(6)]
+    rows = list(enumerate(texts))
+    looked, verified = [], minhash.verified
+
+    def counted(pairs, *args):
+        looked.append(pairs.count())
+        return verified(pairs, *args)
+
+    monkeypatch.setattr(minhash, "verified", counted)
+    assert stage(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), tmp_path) == kept(rows)
+    assert len(set(plain_groups(rows))) > 50
+    assert len(looked) == 2 and looked[1] < 4 * len(rows)
